@@ -9,6 +9,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Texts may be long: batches for Python are bounded by rows and bytes, so a worker's memory does not follow the partition's size.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 _ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -17,6 +19,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     env = spark.sparkContext.environment
     if _ROOT not in env.get("PYTHONPATH", ""):
         env["PYTHONPATH"] = ":".join(x for x in (_ROOT, env.get("PYTHONPATH", "")) if x)
+    for name, value in ARROW.items():
+        spark.conf.set(name, value)
     return spark
 
 
