@@ -26,7 +26,7 @@ from .common import drop_materialized, materialize, prepare, release, table
 
 WIDTH = 200
 #: Bytes handled as one numpy array; longer texts get an array of their own. Positions inside must fit 20 bits.
-CHUNK = 200_000
+CHUNK = 64_000
 
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _LETTERS = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -44,15 +44,20 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def identifiers(x: np.ndarray, lengths: tuple[int, ...]) -> list[np.ndarray]:
     """For each length, the bucket identifier of the string of that length at every place of the byte array x."""
     known = {1: _LETTERS[x]}
-
-    def of(n: int) -> np.ndarray:
-        if n not in known:
-            half = n // 2 if n % 2 == 0 else n - 1
-            a, b = of(half), of(n - half)
-            known[n] = _mix(a[: max(0, len(x) - n + 1)], b[half : half + max(0, len(x) - n + 1)])
-        return known[n]
-
-    return [of(n) for n in lengths]
+    for n in lengths:
+        _refine(known, n, len(x))
+    return [known[n] for n in lengths]
+
+
+def _refine(known: dict[int, np.ndarray], n: int, size: int) -> None:
+    """Adds the identifiers of length n from those of two shorter lengths, the second at the later offset."""
+    if n in known:
+        return
+    half = n // 2 if n % 2 == 0 else n - 1
+    _refine(known, half, size)
+    _refine(known, n - half, size)
+    count = max(0, size - n + 1)
+    known[n] = _mix(known[half][:count], known[n - half][half : half + count])
 
 
 def _sliding_min(v: np.ndarray, w: int) -> np.ndarray:
