@@ -10,7 +10,9 @@ it too and travel as one run. Round by round only buckets with more than one mem
 
 1. runs meet by q-gram bucket; buckets of one run are unique suffixes and end here;
 2. buckets are refined by the identifiers at both ends of the run; runs that agree there agree in every window;
-3. only runs that still differ within a shared bucket (mostly the two ends of a passage) open into single windows.
+3. only runs that still differ within a shared bucket (mostly the two ends of a passage) are cut into cells of a few
+   windows, aligned to the q-gram, which meet by the identifier of the string that all windows of the cell hold;
+4. only cells that still differ within a shared bucket open into single windows.
 
 Identifiers are 64-bit hashes compared within a q-gram bucket that is itself 64 bits.
 """
@@ -69,18 +71,17 @@ def _sliding_min(v: np.ndarray, w: int) -> np.ndarray:
     return v
 
 
-def runs_of(x: np.ndarray, width: int) -> dict[str, np.ndarray] | None:
-    """Runs of windows of one text (or chunk of texts) that share their smallest q-gram: bucket, refined identifier, first window, windows less one, and the windows' identifiers."""
+def windows_of(x: np.ndarray, width: int) -> dict[str, np.ndarray] | None:
+    """For every window: the place of its smallest q-gram (at); and the identifiers of q-grams, half windows and windows."""
     q = max(1, width // 4)
     if len(x) < width:
         return None
-    grams, whole = identifiers(x, (q, width))
+    grams, half, whole = identifiers(x, (q, width // 2, width))
     place_bits = np.uint64(max(20, int(len(x)).bit_length()))
     low = (np.uint64(1) << place_bits) - np.uint64(1)
     key = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
     at = (_sliding_min(key, width - q + 1) & low).astype(np.int64)
-    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    return {"at": at, "first": first, "grams": grams, "whole": whole}
+    return {"at": at, "grams": grams, "half": half, "whole": whole}
 
 
 def _texts(batch_text: pa.Array) -> list[bytes]:
@@ -100,94 +101,140 @@ def _chunks(texts: list[bytes], wanted) -> list[list[int]]:
     return out
 
 
-def _chunk_runs(texts: list[bytes], rows: list[int], width: int):
-    """Runs of several texts at once: (row number within rows, start in its text, run arrays), windows over two texts left out."""
-    x = np.frombuffer(b"".join(texts[i] for i in rows), dtype=np.uint8)
-    r = runs_of(x, width)
-    if r is None:
-        return None
-    sizes = np.array([len(texts[i]) for i in rows], dtype=np.int64)
-    ends = np.cumsum(sizes)
-    at, n = r["at"], len(r["at"])
-    # windows that lie within one text
-    owner = np.searchsorted(ends, np.arange(n), side="right")
-    inside = np.arange(n) + width <= ends[owner]
-    change = np.empty(n, dtype=bool)
-    change[0] = True
-    change[1:] = (at[1:] != at[:-1]) | (owner[1:] != owner[:-1]) | (inside[1:] != inside[:-1])
-    lo = np.flatnonzero(change)
-    hi = np.append(lo[1:], n) - 1
-    ok = inside[lo]
-    lo, hi = lo[ok], hi[ok]
-    begins = ends - sizes
-    grams, whole = r["grams"], r["whole"]
-    p = at[lo]
-    refined = _mix(_mix(whole[lo], whole[hi]), ((hi - lo) * 1024 + (p - lo)).astype(np.uint64))
-    return owner[lo], lo - begins[owner[lo]], hi - lo, grams[p].view(np.int64), refined.view(np.int64), p - lo, whole, lo, begins
+class _Runs:
+    """Runs of neighbouring windows with one smallest q-gram, in several texts laid end to end; windows over two texts are left out."""
+
+    def __init__(self, texts: list[bytes], rows: list[int], width: int):
+        self.width, self.rows = width, np.asarray(rows)
+        x = np.frombuffer(b"".join(texts[i] for i in rows), dtype=np.uint8)
+        w = windows_of(x, width)
+        self.grams, self.half, self.whole, at = w["grams"], w["half"], w["whole"], w["at"]
+        sizes = np.array([len(texts[i]) for i in rows], dtype=np.int64)
+        ends, n = np.cumsum(sizes), len(at)
+        begins = ends - sizes
+        owner = np.searchsorted(ends, np.arange(n), side="right")
+        inside = np.arange(n) + width <= ends[owner]
+        change = np.append(True, (at[1:] != at[:-1]) | (owner[1:] != owner[:-1]) | (inside[1:] != inside[:-1]))
+        lo = np.flatnonzero(change)
+        hi = np.append(lo[1:], n) - 1
+        ok = inside[lo]
+        self.lo, self.hi = lo[ok], hi[ok]
+        self.owner, self.p = owner[self.lo], at[self.lo]
+        self.begin = begins[self.owner]
+
+    def refined(self, lo, hi, p):
+        return _mix(_mix(self.whole[lo], self.whole[hi]), ((hi - lo) * 1024 + (p - lo)).astype(np.uint64))
+
+    def find(self, owner: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Numbers of the runs that hold these windows."""
+        big = np.int64(1) << np.int64(40)
+        return np.searchsorted(self.owner * big + self.lo - self.begin, owner * big + start, side="right") - 1
+
+
+def _spread(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For groups of n members: each member's group and its number within it."""
+    return np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
 def _runs_batches(width: int):
     def run(batches):
         for batch in batches:
             texts = _texts(batch.column(2))
-            ids, hashes = batch.column(0), batch.column(1)
             for rows in _chunks(texts, [i for i, t in enumerate(texts) if len(t) >= width]):
-                got = _chunk_runs(texts, rows, width)
-                if got is None or not len(got[0]):
-                    continue
-                owner, start, more, bucket, refined, _, _, _, _ = got
-                take = pa.array(np.asarray(rows)[owner])
-                yield pa.record_batch([pa.array(bucket), pa.array(refined), ids.take(take), hashes.take(take), pa.array((start << 16) | more)], names=["bucket", "refined", "id", "th", "run"])
+                r = _Runs(texts, rows, width)
+                take = pa.array(r.rows[r.owner])
+                yield _packed(r.grams[r.p], r.refined(r.lo, r.hi, r.p), batch, take, ((r.lo - r.begin) << 16) | (r.hi - r.lo), np.ones(len(take), np.int32))
+
+    return run
+
+
+def _packed(bucket, refined, batch, take, run, weight):
+    cols = [pa.array(bucket.view(np.int64)), pa.array(refined.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array(run), pa.array(weight.astype(np.int32))]
+    return pa.record_batch(cols, names=["bucket", "refined", "id", "th", "run", "weight"])
+
+
+def _asked(batch, width: int):
+    """Chunk by chunk: the runs, and of each listed run or cell its text's number in the chunk, first and last window, and 2 if others like it are known, else 1."""
+    texts, need = _texts(batch.column(2)), batch.column(3).to_pylist()
+    for rows in _chunks(texts, [i for i, x in enumerate(need) if x]):
+        r = _Runs(texts, rows, width)
+        owner = np.repeat(np.arange(len(rows)), [len(need[i]) for i in rows])
+        asked = np.array([v for i in rows for v in need[i]], dtype=np.int64)
+        start, more = asked >> 17, (asked >> 1) & 0xFFFF
+        k = r.find(owner, start)
+        first = start + r.begin[k]
+        yield r, k, first, first + more, (asked & 1) + 1
+
+
+def _cell_batches(width: int):
+    """Cuts the listed runs into cells: windows whose distance to the q-gram has one quotient by the cell's size."""
+    size = max(1, min(16, width // 4))
+    core = width - size + 1
+
+    def run(batches):
+        for batch in batches:
+            for r, k, lo, hi, weight in _asked(batch, width):
+                p = r.p[k]
+                low = (p - hi) // size
+                each, step = _spread((p - lo) // size - low + 1)
+                p, lo, hi, cell, weight, owner, begin = p[each], lo[each], hi[each], low[each] + step, weight[each], r.owner[k][each], r.begin[k][each]
+                a, b = np.maximum(lo, p - cell * size - size + 1), np.minimum(hi, p - cell * size)
+                c = p - cell * size
+                bucket = _mix(_mix(r.half[c], r.half[c + core - width // 2]), r.grams[p] + cell.astype(np.uint64))
+                yield _packed(bucket, r.refined(a, b, p), batch, pa.array(r.rows[owner]), ((a - begin) << 16) | (b - a), weight)
 
     return run
 
 
 def _open_batches(width: int):
-    """Opens the listed runs of each text into windows; windows met twice in this batch are settled here."""
+    """Opens the listed cells into windows; windows met twice in this batch are settled here."""
 
     def run(batches):
         for batch in batches:
-            texts, need = _texts(batch.column(2)), batch.column(3).to_pylist()
-            ids, hashes = batch.column(0), batch.column(1)
             parts = []
-            for rows in _chunks(texts, [i for i, x in enumerate(need) if x]):
-                got = _chunk_runs(texts, rows, width)
-                if got is None:
-                    continue
-                owner, start, more, bucket, _, inner, whole, lo, _ = got
-                # runs of (row, start) that are asked for, and whether others like them are known already
-                asked_owner = np.concatenate([np.full(len(need[i]), k) for k, i in enumerate(rows)])
-                asked = np.array([v for i in rows for v in need[i]], dtype=np.int64)
-                big = np.int64(1) << np.int64(40)
-                have = owner * big + start  # ascending
-                k = np.searchsorted(have, asked_owner * big + (asked >> 1))
-                n = more[k] + 1
-                each = np.repeat(np.arange(len(k)), n)
-                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                wid = _mix(_mix(whole[lo[k][each] + step], bucket[k][each].view(np.uint64)), (inner[k][each] - step).astype(np.uint64))
-                parts.append((wid, np.asarray(rows)[owner[k][each]], start[k][each] + step, (asked & 1)[each]))
+            for r, k, lo, hi, weight in _asked(batch, width):
+                each, step = _spread(hi - lo + 1)
+                s, p = lo[each] + step, r.p[k][each]
+                wid = _mix(_mix(r.whole[s], r.grams[p]), (p - s).astype(np.uint64))
+                parts.append((wid, r.rows[r.owner[k]][each], s - r.begin[k][each], weight[each]))
             if not parts:
                 continue
-            wid, row, start, known = (np.concatenate(x) for x in zip(*parts))
+            wid, row, start, weight = (np.concatenate(x) for x in zip(*parts))
             order = np.argsort(wid, kind="stable")
-            wid, row, start, known = wid[order], row[order], start[order], known[order]
+            wid, row, start, weight = wid[order], row[order], start[order], weight[order]
             new = np.append(True, wid[1:] != wid[:-1])
-            group = np.cumsum(new) - 1
-            total = np.bincount(group, weights=known + 1)[group]
-            # one row for each identifier goes on to meet the other batches; the rest are settled or known
-            settled = (total >= 2) & (known == 0)
-            lead = new & (total >= 2)
-            alone = total < 2
-            out_w = np.concatenate([wid[alone], wid[lead], _mix(wid[settled], (row[settled] * 7919 + start[settled]).astype(np.uint64))])
-            weight = np.concatenate([np.ones(alone.sum(), np.int64), np.full(lead.sum(), 2), np.full(settled.sum(), 3)])
-            src = np.concatenate([row[alone], row[lead], row[settled]])
-            st = np.concatenate([start[alone], start[lead], start[settled]])
-            take = pa.array(src)
-            yield pa.record_batch([pa.array(out_w.view(np.int64)), pa.array(weight, pa.int32()), ids.take(take), hashes.take(take), pa.array(st)], names=["wid", "weight", "id", "th", "start"])
+            total = np.bincount(np.cumsum(new) - 1, weights=weight)[np.cumsum(new) - 1]
+            # one row for each identifier goes on to meet those of other batches; the rest are settled or known
+            alone, lead, settled = total < 2, new & (total >= 2), (total >= 2) & (weight == 1)
+            out = np.concatenate([wid[alone], wid[lead], _mix(wid[settled], (row[settled] * 7919 + start[settled]).astype(np.uint64))])
+            kind = np.repeat(np.array([1, 2, 3], np.int32), [alone.sum(), lead.sum(), settled.sum()])
+            take = pa.array(np.concatenate([row[alone], row[lead], row[settled]]))
+            first = np.concatenate([start[alone], start[lead], start[settled]])
+            yield pa.record_batch([pa.array(out.view(np.int64)), pa.array(kind), batch.column(0).take(take), batch.column(1).take(take), pa.array(first)], names=["wid", "weight", "id", "th", "start"])
 
     return run
 
 
+_ROWS = "bucket long, refined long, id long, th long, run long, weight int"
+
+
+def _meet(rows: DataFrame, name: str) -> DataFrame:
+    """One round of refinement over materialized rows (which it drops): (id, th, run, same, open).
+
+    same: another run of the bucket has the same refined identifier. open: the bucket holds different ones, and this run
+    is to stand for its own in the next round. Members of neither kind are unique and end here.
+    """
+    shared = rows.groupBy("bucket").agg(F.sum("weight").alias("_n"), F.min("refined").alias("_a"), F.max("refined").alias("_b")).where("_n > 1")
+    members = materialize(rows.join(shared.select("bucket", (F.col("_a") != F.col("_b")).alias("differ")), "bucket"), f"{name}-members")
+    drop_materialized(rows)
+    lead = F.struct("id", "th", "run")
+    refined = members.groupBy("bucket", "refined").agg(F.sum("weight").alias("_n"), F.min(lead).alias("lead"))
+    known = members.join(refined, ["bucket", "refined"]).select("id", "th", "run", (F.col("_n") > 1).alias("same"), (F.col("differ") & (lead == F.col("lead"))).alias("open"))
+    known = materialize(known.where("same or open"), f"{name}-known")
+    drop_materialized(members)
+    return known
+
+
 def removed_ranges(n: int, runs, starts, width: int) -> list[tuple[int, int]]:
     """Maximal removed [from, to) ranges of a text of n bytes, from whole runs and single windows."""
     lo = np.concatenate([np.array(runs, dtype=np.int64) >> 16, np.array(starts, dtype=np.int64)])
@@ -238,28 +285,21 @@ def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     key = [F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_sa_id"), F.xxhash64(text).alias("_sa_th"), text.alias("_text")]
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-    runs = materialize(docs.select(*key).mapInArrow(_runs_batches(width), "bucket long, refined long, id long, th long, run long"), "sa-runs")
-    shared = runs.groupBy("bucket").agg(F.count("*").alias("_n"), F.min("refined").alias("_a"), F.max("refined").alias("_b")).where("_n > 1")
-    members = runs.join(shared.select("bucket", (F.col("_a") != F.col("_b")).alias("differ")), "bucket")
-    members = materialize(members, "sa-members")
-    drop_materialized(runs)
-    refined = members.groupBy("bucket", "refined").agg(F.count("*").alias("_n"), F.min(F.struct("id", "th", "run")).alias("lead"))
-    known = members.join(refined, ["bucket", "refined"]).select(
-        "id", "th", "run", (F.col("_n") > 1).alias("same"), (F.col("differ") & (F.struct("id", "th", "run") == F.col("lead"))).alias("open")
-    )
-    known = materialize(known.where("same or open"), "sa-known")
-    drop_materialized(members)
+    def reopened(known: DataFrame) -> DataFrame:
+        ask = F.shiftleft("run", 1).bitwiseOR(F.col("same").cast("long"))
+        need = known.where("open").groupBy(F.col("id").alias("_sa_id"), F.col("th").alias("_sa_th")).agg(F.collect_set(ask).alias("_need"))
+        return docs.select(*key).join(need, ["_sa_id", "_sa_th"]).select("_sa_id", "_sa_th", "_text", "_need")
 
-    ask = F.shiftleft(F.shiftright("run", 16), 1).bitwiseOR(F.col("same").cast("long"))
-    need = known.where("open").groupBy(F.col("id").alias("_sa_id"), F.col("th").alias("_sa_th")).agg(F.collect_set(ask).alias("_need"))
-    opened = docs.select(*key).join(need, ["_sa_id", "_sa_th"]).select("_sa_id", "_sa_th", "_text", "_need")
-    windows = materialize(opened.mapInArrow(_open_batches(width), "wid long, weight int, id long, th long, start long"), "sa-windows")
+    runs = _meet(materialize(docs.select(*key).mapInArrow(_runs_batches(width), _ROWS), "sa-runs"), "sa-runs")
+    cells = _meet(materialize(reopened(runs).mapInArrow(_cell_batches(width), _ROWS), "sa-cells"), "sa-cells")
+    windows = materialize(reopened(cells).mapInArrow(_open_batches(width), "wid long, weight int, id long, th long, start long"), "sa-windows")
     release(spark)
     met = windows.groupBy("wid").agg(F.sum("weight").alias("_t")).where("_t > 1").select("wid")
     hits = windows.where("weight = 1").join(met, "wid").select("id", "th", "start").unionAll(windows.where("weight = 3").select("id", "th", "start"))
 
     nothing = F.lit(None).cast("long")
-    marks = known.where("same").select("id", "th", "run", nothing.alias("start")).unionAll(hits.select("id", "th", nothing.alias("run"), "start"))
+    whole = runs.where("same").unionAll(cells.where("same"))
+    marks = whole.select("id", "th", "run", nothing.alias("start")).unionAll(hits.select("id", "th", nothing.alias("run"), "start"))
     marks = marks.groupBy(F.col("id").alias("_sa_id"), F.col("th").alias("_sa_th")).agg(F.collect_set("run").alias("_runs"), F.collect_set("start").alias("_starts"))
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     joined = docs.select(*key, *rest).repartition(parts, "_sa_id", "_sa_th").join(marks, ["_sa_id", "_sa_th"], "left")
