@@ -225,13 +225,18 @@ def _meet(rows: DataFrame, name: str) -> DataFrame:
     is to stand for its own in the next round. Members of neither kind are unique and end here.
     """
     shared = rows.groupBy("bucket").agg(F.sum("weight").alias("_n"), F.min("refined").alias("_a"), F.max("refined").alias("_b")).where("_n > 1")
-    members = materialize(rows.join(shared.select("bucket", (F.col("_a") != F.col("_b")).alias("differ")), "bucket"), f"{name}-members")
+    # written first, so that both sides of the join are plain exchanges and adaptive execution can split a hot bucket
+    shared = materialize(shared.select("bucket", (F.col("_a") != F.col("_b")).alias("differ")), f"{name}-shared")
+    members = materialize(rows.join(shared, "bucket"), f"{name}-members")
     drop_materialized(rows)
+    drop_materialized(shared)
     lead = F.struct("id", "th", "run")
     refined = members.groupBy("bucket", "refined").agg(F.sum("weight").alias("_n"), F.min(lead).alias("lead"))
+    refined = materialize(refined, f"{name}-refined")
     known = members.join(refined, ["bucket", "refined"]).select("id", "th", "run", (F.col("_n") > 1).alias("same"), (F.col("differ") & (lead == F.col("lead"))).alias("open"))
     known = materialize(known.where("same or open"), f"{name}-known")
     drop_materialized(members)
+    drop_materialized(refined)
     return known
 
 
@@ -295,6 +300,7 @@ def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     windows = materialize(reopened(cells).mapInArrow(_open_batches(width), "wid long, weight int, id long, th long, start long"), "sa-windows")
     release(spark)
     met = windows.groupBy("wid").agg(F.sum("weight").alias("_t")).where("_t > 1").select("wid")
+    met = materialize(met, "sa-met")
     hits = windows.where("weight = 1").join(met, "wid").select("id", "th", "start").unionAll(windows.where("weight = 3").select("id", "th", "start"))
 
     nothing = F.lit(None).cast("long")
