@@ -254,7 +254,7 @@ def removed_ranges(n: int, runs, starts, width: int) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
-def _apply_batches(width: int):
+def _apply_batches(width: int, as_text: bool):
     def run(batches):
         for batch in batches:
             texts = _texts(batch.column("_text"))
@@ -271,21 +271,22 @@ def _apply_batches(width: int):
                 out["_n"].append(len(t))
             names = [n for n in batch.schema.names if n not in ("_text", "_runs", "_starts")]
             cols = [batch.column(n) for n in names]
-            cols += [pa.array(out["_kept"], pa.binary()), pa.array(out["_from"], pa.list_(pa.int64())), pa.array(out["_to"], pa.list_(pa.int64())), pa.array(out["_n"], pa.int64())]
-            yield pa.record_batch(cols, names=[*names, "kept_bytes", "removed_from", "removed_to", "n_bytes"])
+            kept = [k.decode("utf-8", "ignore") for k in out["_kept"]] if as_text else out["_kept"]
+            cols += [pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(out["_from"], pa.list_(pa.int64())), pa.array(out["_to"], pa.list_(pa.int64())), pa.array(out["_n"], pa.int64())]
+            yield pa.record_batch(cols, names=[*names, "kept", "removed_from", "removed_to", "n_bytes"])
 
     return run
 
 
-def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, as_text: bool = False) -> DataFrame:
     """Removes every byte covered by a `width`-byte string that also starts anywhere else in the column.
 
-    Returns docs' columns (but the text) and kept_bytes (binary), removed_from and removed_to (arrays: maximal removed
-    ranges), n_bytes. Null text is empty; repeated rows are documents of their own, so their long strings all go; ids may
+    Returns docs' columns (but the text) and kept (the remaining bytes; with as_text a string, without characters that a cut
+    went through), removed_from and removed_to (arrays: maximal removed byte ranges), n_bytes. Null text is empty; repeated rows are documents of their own, so their long strings all go; ids may
     be null or repeat; an empty table stays empty. Columns of docs that clash with the four new ones are replaced.
     """
     spark = prepare(docs.sparkSession)
-    docs = docs.drop("kept_bytes", "removed_from", "removed_to", "n_bytes")
+    docs = docs.drop("kept", "removed_from", "removed_to", "n_bytes")
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = [F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_sa_id"), F.xxhash64(text).alias("_sa_th"), text.alias("_text")]
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -311,7 +312,7 @@ def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     joined = docs.select(*key, *rest).repartition(parts, "_sa_id", "_sa_th").join(marks, ["_sa_id", "_sa_th"], "left")
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in docs.columns if c != text_col)
     return joined.select("_text", "_runs", "_starts", *rest).mapInArrow(
-        _apply_batches(width), f"{schema}, kept_bytes binary, removed_from array<bigint>, removed_to array<bigint>, n_bytes bigint"
+        _apply_batches(width, as_text), f"{schema}, kept {'string' if as_text else 'binary'}, removed_from array<bigint>, removed_to array<bigint>, n_bytes bigint"
     )
 
 
@@ -320,7 +321,7 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "doc_id",
         "n_bytes",
-        (F.col("n_bytes") - F.length("kept_bytes")).cast("long").alias("n_removed"),
+        (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"),
         F.size("removed_from").cast("long").alias("n_spans"),
-        F.sha2("kept_bytes", 256).alias("kept_sha256"),
+        F.sha2("kept", 256).alias("kept_sha256"),
     )

@@ -38,13 +38,13 @@ def test_matches_brute_force(spark):
         assert len(got) == len(texts)
         for r in got:
             spans = list(zip(r.removed_from, r.removed_to))
-            assert (r.n_bytes, sum(b - a for a, b in spans), len(spans), hashlib.sha256(r.kept_bytes).hexdigest()) == want[r.doc_id], (width, r.doc_id)
+            assert (r.n_bytes, sum(b - a for a, b in spans), len(spans), hashlib.sha256(r.kept).hexdigest()) == want[r.doc_id], (width, r.doc_id)
 
 
 def test_repeated_ids_and_rows(spark):
     t = "one two three four five six seven " * 3
     df = spark.createDataFrame([(1, t), (1, t), (1, "short"), (None, t + "!"), (None, None)], "doc_id long, text string")
-    got = sorted((r.n_bytes, len(r.kept_bytes)) for r in suffix_array_dedup(df, width=24).collect())
+    got = sorted((r.n_bytes, len(r.kept)) for r in suffix_array_dedup(df, width=24).collect())
     assert got == [(0, 0), (5, 5), (102, 0), (102, 0), (103, 1)]
 
 
