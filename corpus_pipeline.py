@@ -1,8 +1,69 @@
-"""From raw documents to packed sequences, stage by stage."""
+"""From raw documents to packed sequences: five stages, each over all that the one before has kept.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and, but for the last, returns the columns of documents. Null texts count as empty, rows
+without a doc_id go through like any, repeated rows are documents of their own until the near-duplicate stage keeps one of
+them, and an empty table gives an empty result; columns beside those of documents go through the filters and have no effect.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from leafloom.llm.common import materialize, prepare, table
+from leafloom.llm.mixing import DOMAIN_WEIGHTS, LANG_WEIGHTS, mix
+from leafloom.llm.packing import pack
+from leafloom.llm.quality import THRESHOLD, fit_on, score_documents
+from leafloom.llm.simhash import keep_one
+from leafloom.llm.suffix_dedup import suffix_array_dedup
+
+#: The mix takes this share of the tokens that reach it, in one epoch, so that no document is used twice.
+MIX_PERCENT, MIX_EPOCHS, MIX_SEED = 80, 1, "pipeline-1"
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality model scores at the threshold or above."""
+    prepare(spark)
+    model = fit_on(docs, table(spark, sf_dir, "labels"))
+    return score_documents(docs, model, keep_from=THRESHOLD).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash group."""
+    return keep_one(docs)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the long byte strings that occur elsewhere too; a document that is left empty stays as an empty one."""
+    out = suffix_array_dedup(docs, as_text=True)
+    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return out.select(*[new[c].alias(c) if new.get(c) is not None else F.col(f"`{c}`") for c in docs.columns])
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the hierarchical budgets take."""
+    chosen = mix(docs, {"domain": DOMAIN_WEIGHTS, "lang": LANG_WEIGHTS}, MIX_PERCENT, MIX_EPOCHS, MIX_SEED)
+    none = F.lit(-(2**63))
+    chosen = chosen.select(F.coalesce("doc_id", none).alias("_mix_id"), F.col("text_md5").alias("_mix_md5"))
+    keyed = docs.withColumns({"_mix_id": F.coalesce(F.col("doc_id").cast("long"), none), "_mix_md5": F.md5(F.coalesce("text", F.lit("")))})
+    return keyed.join(chosen, ["_mix_id", "_mix_md5"], "left_semi").select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences."""
+    return pack(docs)
+
+
+STAGES = [("quality classifier", quality), ("SimHash near-dedup", near_duplicates), ("suffix-array dedup", repeats), ("mixing to target weights", mixing), ("packing", packing)]
+
+#: Tokenizing and fingerprinting are beyond SQL; tests/llm/test_pipeline.py holds every stage against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError("no stages yet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs, f"stage{k + 1}")
+    return docs
