@@ -22,8 +22,6 @@ END = 0
 SHARD_TOKENS = 1 << 18
 
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
-_BREAK = re.compile(r"\s")
-_ODD = re.compile(r"(?:^|\s) | (?:\s|$)")
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -36,7 +34,8 @@ class WordCachedTokenizer:
     """Same ids as tokenizer.encode(text, add_special_tokens=False) for byte-level BPE with the usual word pattern.
 
     Its words never run over a single space between two other characters that aren't white space, so the pieces between such
-    spaces are encoded by the library once each and remembered. Texts that hold a special token's string go to it whole.
+    spaces are encoded by the library once each (with the space before them) and remembered. Texts that hold a special
+    token's string go to the library whole.
     """
 
     KEEP, LONGEST = 250_000, 48
@@ -53,41 +52,78 @@ class WordCachedTokenizer:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> dict[str, bytes]:
-        """Pieces without white space but a leading space go to the library in one text, a line each: a line break between them is a word and a token of its own."""
-        one = [x for x in texts if not _BREAK.search(x, 1) and x and not any(s in x for s in self.special)]
-        rest = list(set(texts).difference(one))
-        got = {x: np.array(e.ids, dtype="<u2").tobytes() for x, e in zip(rest, self.plain.encode_batch(rest, add_special_tokens=False))}
-        for at in range(0, len(one), 20_000):
-            some = one[at : at + 20_000]
-            ids = np.array(self.plain.encode("\n".join(some), add_special_tokens=False).ids, dtype="<u2")
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u2").tobytes() for e in self.plain.encode_batch(texts, add_special_tokens=False)]
+
+    def _pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of each piece: with a space before it, or as it is where it begins with a line break.
+
+        Plain words go to the library in one text, a line each: the line break between them is a word and a token of its own.
+        A word and the stops behind it are encoded apart, as they are two words of the pattern.
+        """
+        one, ends, rest = {}, {}, []
+        for x in pieces:
+            base = x.rstrip(".,;:!?")
+            if base == x or not base[-1:].isalpha():
+                base = x
+            else:
+                ends[x] = base
+            plain = base[1:] if base[:1] == "\n" else base
+            if plain and plain.isprintable() and " " not in plain:
+                if base not in self.known:
+                    one[base] = None
+            else:
+                ends.pop(x, None)
+                rest.append(x)
+        got = dict(zip(rest, self._whole([x if x[:1] == "\n" else " " + x for x in rest])))
+        new, line = list(one), np.array([self.line], dtype="<u2").tobytes()
+        for at in range(0, len(new), 20_000):
+            some = new[at : at + 20_000]
+            (e,) = self.plain.encode_batch_fast(["\n".join([x[1:] if x[0] == "\n" else " " + x for x in some])], add_special_tokens=False)
+            ids = np.array(e.ids, dtype="<u2")
             cut = np.flatnonzero(ids == self.line)
-            raw, begin, end = ids.tobytes(), [0, *(2 * cut + 2).tolist()], [*(2 * cut).tolist(), 2 * len(ids)]
-            if len(begin) != len(some):
+            if len(cut) != len(some) - 1:
                 raise AssertionError("a line break inside a piece")
-            got.update(zip(some, [raw[a:b] for a, b in zip(begin, end)]))
+            raw, begin, end = ids.tobytes(), [0, *(2 * cut + 2).tolist()], [*(2 * cut).tolist(), 2 * len(ids)]
+            got.update(zip(some, [line + raw[a:b] if x[0] == "\n" else raw[a:b] for x, a, b in zip(some, begin, end)]))
+        stops = list({x[len(base) :] for x, base in ends.items()})
+        stop_ids = dict(zip(stops, self._whole(stops)))
+        for x, base in ends.items():
+            got[x] = (got.get(base) or self.known[base]) + stop_ids[x[len(base) :]]
         return got
 
+    @staticmethod
+    def _odd(x: str) -> bool:
+        return not x or x[-1].isspace() or (x[0].isspace() and not (x[0] == "\n" and not x[1].isspace()))
+
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > self.KEEP:  # words of the last round stay, those met again move on
             self.known, self.older = {}, self.known
-        pieces, known, older = [], self.known, self.older
-        new: dict[str, None] = {}
+        known, older = self.known, self.older
+        heads, bodies, new = [], [], set()
         for t in texts:
             if any(s in t for s in self.special):
-                parts = [t]
+                head, body = t, []
             else:
-                parts = _SAFE.split(t) if _ODD.search(t) else t.split(" ")
-                parts = [parts[0], *[" " + x for x in parts[1:]]]
-            pieces.append(parts)
-            new.update(dict.fromkeys(x for x in parts if x not in known))
+                head, *body = t.replace("\n", " \n").split(" ")
+                fresh = set(body).difference(known, new)
+                # pieces at other than single white space never get into the cache, so they are among the fresh ones
+                if body and (not head or head[-1].isspace()) or any(map(self._odd, fresh)):
+                    head, *body = _SAFE.split(t)
+                    fresh = set(body).difference(known)
+                new |= fresh
+            heads.append(head)
+            bodies.append(body)
         met = {x: older[x] for x in new if x in older}
         known.update(met)
-        got = self._encode([x for x in new if x not in met])
-        known.update((k, v) for k, v in got.items() if len(k) <= self.LONGEST)
-        long = {k: v for k, v in got.items() if len(k) > self.LONGEST}
-        find = known.get
-        return [np.frombuffer(b"".join([find(x) or long.get(x, b"") for x in parts]), dtype="<u2") for parts in pieces]
+        got = self._pieces(list(new.difference(met)))
+        known.update(got)
+        find = known.__getitem__
+        out = [np.frombuffer(b"".join([h, *map(find, body)]), dtype="<u2") for h, body in zip(self._whole(heads), bodies)]
+        for k in got:
+            if len(k) > self.LONGEST:
+                del known[k]
+        return out
 
 
 _LOADED: dict[str, WordCachedTokenizer] = {}
