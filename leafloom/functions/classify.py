@@ -90,6 +90,11 @@ GOAL_NEEDED = 3
 TASK_GENRES, TASK_GOALS = ("assignment", "meeting"), ("execute", "plan")
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once: without it every use would score all patterns anew."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _hit(text: Column, pattern: str, flags: str = "im") -> Column:
     return text.rlike(f"(?{flags}){pattern}")
 
@@ -107,8 +112,8 @@ def _parts(title: Column, text: Column) -> dict[str, Column]:
     }
 
 
-def genre_scores(title: Column, text: Column) -> dict[str, Column]:
-    at = _parts(title, text)
+def genre_scores(at: dict[str, Column]) -> dict[str, Column]:
+    """Points of each genre, over the parts of a document that _parts() names."""
     out = {}
     for genre, cues in CUES.items():
         where = at["long" if genre in ("paper", "technical") else "head"]
@@ -122,21 +127,29 @@ def genre_scores(title: Column, text: Column) -> dict[str, Column]:
 
 def detect_genre(title: Column, text: Column) -> Column:
     """struct<genre, strong>: null when nothing stands out; strong when several independent cues agree. Mail headers decide by themselves."""
-    at, scores = _parts(title, text), genre_scores(title, text)
+    parts = _parts(title, text)
+    return _let(F.struct(*[c.alias(k) for k, c in parts.items()]), lambda s: _genre_of({k: s[k] for k in parts}))
+
+
+def _genre_of(at: dict[str, Column]) -> Column:
+    scores = genre_scores(at)
     fields = F.array_distinct(F.transform(F.regexp_extract_all(at["top"], F.lit(FIELD), F.lit(1)), lambda x: F.lower(x)))
     order = list(scores)
     ranked = F.array_sort(F.array(*[F.struct((-s).alias("minus"), F.lit(k).alias("k"), F.lit(POINTS_NEEDED[g]).alias("need"), F.lit(g).alias("genre")) for k, (g, s) in enumerate(scores.items())]))
-    best, runner = F.get(ranked, F.lit(0)), F.get(ranked, F.lit(1))
-    points, need, second = -best["minus"], best["need"], -runner["minus"]
     made = lambda g, strong: F.struct(g.alias("genre"), F.lit(strong).alias("strong"))
-    meeting = F.get(F.filter(ranked, lambda x: x["k"] == order.index("meeting")), F.lit(0))
-    return (
-        F.when(F.size(fields) >= 2, made(F.lit("email"), True))
-        .when((points >= need) & (points >= second + 2), made(best["genre"], True))
-        .when((points >= F.greatest(F.lit(2), need - 2)) & (points > second), made(best["genre"], False))
-        .when(_hit(at["head"], r"\bthe (?:meeting|minutes)\b", "i") & (-meeting["minus"] >= 2), made(F.lit("meeting"), False))
-        .otherwise(made(F.lit(None).cast("string"), False))
-    )
+
+    def settled(ranked: Column) -> Column:
+        best, runner = F.get(ranked, F.lit(0)), F.get(ranked, F.lit(1))
+        points, need, second = -best["minus"], best["need"], -runner["minus"]
+        meeting = F.get(F.filter(ranked, lambda x: x["k"] == order.index("meeting")), F.lit(0))
+        return (
+            F.when((points >= need) & (points >= second + 2), made(best["genre"], True))
+            .when((points >= F.greatest(F.lit(2), need - 2)) & (points > second), made(best["genre"], False))
+            .when((-meeting["minus"] >= 2) & _hit(at["head"], r"\bthe (?:meeting|minutes)\b", "i"), made(F.lit("meeting"), False))
+            .otherwise(made(F.lit(None).cast("string"), False))
+        )
+
+    return F.when(F.size(fields) >= 2, made(F.lit("email"), True)).otherwise(_let(ranked, settled))
 
 
 def valid_genre(c: Column) -> Column:
@@ -163,8 +176,7 @@ def suggest_goal(title: Column, text: Column, kind: Column | None = None) -> Col
         if goal == "learn" and kind is not None:
             score = score + F.when((kind == "file") & F.lower(title).endswith(".pdf"), 1).otherwise(0)
         rows.append(F.struct((-score).alias("minus"), F.lit(k).alias("k"), F.lit(goal).alias("goal")))
-    best = F.get(F.array_sort(F.array(*rows)), F.lit(0))
-    return F.when(-best["minus"] >= GOAL_NEEDED, best["goal"])
+    return _let(F.get(F.array_sort(F.array(*rows)), F.lit(0)), lambda best: F.when(-best["minus"] >= GOAL_NEEDED, best["goal"]))
 
 
 # Labels that say what to act on first.

@@ -131,9 +131,9 @@ def years_in(c: Column) -> Column:
 def parse_iso(c: Column, today: Column) -> Column:
     """struct<date, year_inferred>; a date without its year is the next such day from `today` on. Null if there is none."""
     t = strip(c)
-    full = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(t, F.lit("yyyy-MM-dd")))
+    full = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(t, "yyyy-MM-dd"))
     md = F.regexp_extract(t, r"(?i)^(?:-{1,4}|\?{1,4}|null|)-?(\d{2}-\d{2})$", 1)
-    on = [F.try_to_date(F.concat((F.year(today) + k).cast("string"), F.lit("-"), md), F.lit("yyyy-MM-dd")) for k in (0, 1, 4)]
+    on = [F.try_to_date(F.concat((F.year(today) + k).cast("string"), F.lit("-"), md), "yyyy-MM-dd") for k in (0, 1, 4)]
     nxt = F.when(md != "", F.coalesce(*[F.when(d >= today, d) for d in on]))
     return F.when(full.isNotNull(), F.struct(full.alias("date"), F.lit(False).alias("year_inferred"))).when(nxt.isNotNull(), F.struct(nxt.alias("date"), F.lit(True).alias("year_inferred")))
 
@@ -141,7 +141,7 @@ def parse_iso(c: Column, today: Column) -> Column:
 def resolve_date(iso: Column, source: Column, today: Column) -> Column:
     """struct<iso, year_inferred> of a date that the source supports: day and month stand there, and a year that stands there must match."""
     p, years = parse_iso(iso, today), years_in(source)
-    moved = F.try_to_date(F.concat(F.get(years, F.lit(0)).cast("string"), F.date_format(p["date"], "-MM-dd")), F.lit("yyyy-MM-dd"))
+    moved = F.try_to_date(F.concat(F.get(years, F.lit(0)).cast("string"), F.date_format(p["date"], "-MM-dd")), "yyyy-MM-dd")
     made = lambda d, inferred: F.struct(F.date_format(d, "yyyy-MM-dd").alias("iso"), inferred.alias("year_inferred"))
     one = p["year_inferred"] & (F.size(years) == 1)
     out = F.when(one, F.when(moved.isNotNull(), made(moved, F.lit(False)))).when(F.size(years) == 0, made(p["date"], F.lit(True))).when(F.array_contains(years, F.year(p["date"])), made(p["date"], p["year_inferred"]))

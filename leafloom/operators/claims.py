@@ -11,7 +11,7 @@ from leafloom.functions.text import cap_chars, truncate_words
 from leafloom.functions.units import strip
 
 # Words and characters of each field, and how many items are kept.
-CAPS = {"big": (12, 120), "detail": (40, 300), "label": (6, 120), "value": (40, 600), "who": (4, 100), "what": (25, 300), "due": (8, 100), "start_here": (25, 300), "size": (20, 200), "basis": (20, 300)}
+CAPS = {"big": (12, 120), "detail": (40, 300), "label": (5, 120), "value": (30, 600), "who": (8, 100), "what": (25, 300), "due": (10, 100), "deadline": (10, 120), "start_here": (25, 300), "size": (20, 200), "basis": (30, 300)}
 ESSENTIALS, ACTIONS = 7, 12
 
 
@@ -64,7 +64,7 @@ def job_sizes(items: DataFrame, leaves: DataFrame) -> DataFrame:
 
 def deadlines(items: DataFrame, leaves: DataFrame, today: Column) -> DataFrame:
     """items: tree_id, claim_id, iso, time, label, cites. Dates that the source has, with the time if it has that too."""
-    x = cited(items.withColumn("label", capped(F.col("label"), "label")).where("label is not null"), leaves)
+    x = cited(items.withColumn("label", capped(F.col("label"), "deadline")).where("label is not null"), leaves)
     x = x.withColumn("_d", E.resolve_date(F.col("iso"), F.col("source"), today)).where((F.size("cites") > 0) & F.col("_d").isNotNull() & E.supported(F.col("label"), F.col("source")))
     time = strip(F.col("time"))
     return x.withColumns({"iso": F.col("_d.iso"), "year_inferred": F.col("_d.year_inferred"), "time": F.when(E.time_in(time, F.col("source")), time)}).drop("_d")
@@ -87,7 +87,7 @@ def overview_line(kind: Column, what: Column, source: Column) -> Column:
     k = F.concat(F.lower(F.substring(kind, 1, 1)), F.substring(kind, 2, 1000))
     plain = F.concat(F.lit("This is a"), F.when(F.lower(F.substring(kind, 1, 1)).isin(*"aeiou"), "n").otherwise(""), F.lit(" "), k, F.lit("."))
     ok = F.coalesce(strip(what) != "", F.lit(False)) & F.forall(E.prose_numbers(what), lambda t: E.number_in(t, source)) & E.dates_ok(what, source)
-    return F.when(ok, cap_chars(truncate_words(strip(what), 60), 400)).otherwise(plain)
+    return F.when(ok, cap_chars(truncate_words(strip(what), 45), 400)).otherwise(plain)
 
 
 ACTION = r"^([A-Z][a-z]+(?: [A-Z][a-z]+)?) to (.+?)(?: (?:by|on) ((?:[A-Z][a-z]+day )?\d{1,2} [A-Z][a-z]+(?: \d{4})?))?\.?$"

@@ -122,10 +122,15 @@ def unassigned(carried: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- sessions
 
 
+def _micros(c: Column) -> Column:
+    """Microseconds since the epoch, of a time with or without a zone (which then is the session's)."""
+    return F.unix_micros(c.cast("timestamp"))
+
+
 def sessions(events: DataFrame, user: str, ts: str, gap_s: float) -> DataFrame:
     """events with session_no (from 1 for each user): a new one after a pause of more than gap_s seconds. Ties go by event order given in `seq`."""
     w = Window.partitionBy(user).orderBy(ts, "seq")
-    pause = F.unix_micros(F.col(ts)) - F.unix_micros(F.lag(ts).over(w))
+    pause = _micros(F.col(ts)) - _micros(F.lag(ts).over(w))
     new = F.when(pause.isNull() | (pause > gap_s * 1_000_000), 1).otherwise(0)
     return events.withColumn("_new", new).withColumn("session_no", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
@@ -134,7 +139,7 @@ def reading_sessions(events: DataFrame, user: str = "user_id", ts: str = "ts", k
     """A row for each island that an opening event begins: session_ms to the first close, first_zoom_ms, source_checks, max_z."""
     w = Window.partitionBy(user).orderBy(ts, "seq").rowsBetween(Window.unboundedPreceding, 0)
     x = events.withColumn("island", F.sum((F.col(kind) == opens).cast("int")).over(w)).where("island > 0")
-    ms = lambda c: F.unix_micros(c) / 1000
+    ms = lambda c: _micros(c) / 1000
     begun = F.min(F.when(F.col(kind) == opens, ms(F.col(ts))))
     return x.groupBy(user, "island").agg(
         (F.min(F.when(F.col(kind) == closes, ms(F.col(ts)))) - begun).alias("session_ms"), (F.min(F.when(F.col(kind).isin(*dials), ms(F.col(ts)))) - begun).alias("first_zoom_ms"),
@@ -146,9 +151,9 @@ def as_of(events: DataFrame, marks: DataFrame, key: str, ts: str, value: str, wi
     """events with the value of the latest mark of the key at or before them, no older than within_s seconds; null without one. Of marks at one time the largest value counts."""
     m = marks.select(key, ts, F.lit(0).alias("_side"), F.struct(ts, value).alias("_m"), *[F.lit(None).cast(events.schema[c].dataType).alias(c) for c in events.columns if c not in (key, ts)])
     e = events.withColumns({"_side": F.lit(1), "_m": F.lit(None).cast(m.schema["_m"].dataType)})
-    w = Window.partitionBy(key).orderBy(ts, "_side").rangeBetween(Window.unboundedPreceding, 0) if False else Window.partitionBy(key).orderBy(ts, "_side").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(key).orderBy(ts, "_side").rowsBetween(Window.unboundedPreceding, 0)
     x = e.unionByName(m).withColumn("_last", F.max("_m").over(w)).where("_side = 1")
-    fresh = F.unix_micros(F.col(ts)) - F.unix_micros(F.col(f"_last.{ts}")) <= within_s * 1_000_000
+    fresh = _micros(F.col(ts)) - _micros(F.col(f"_last.{ts}")) <= within_s * 1_000_000
     return x.withColumn(value, F.when(fresh, F.col(f"_last.{value}"))).drop("_side", "_m", "_last")
 
 

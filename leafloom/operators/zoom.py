@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,7 +24,10 @@ class Tree:
     def __init__(self, rows: pd.DataFrame):
         r = rows.to_dict("records")
         self.of = {x["node_id"]: x for x in r}
-        self.kids = {x["node_id"]: list(x["children"]) for x in r}
+        self.kids = {x["node_id"]: [] for x in r}
+        for x in r:
+            if x["parent"]:
+                self.kids[x["parent"]].append(x["node_id"])
         self.root = next(x["node_id"] for x in r if not x["parent"])
         self.mid = {k: (x["span_start"] + x["span_end"]) / 2 for k, x in self.of.items()}
 
@@ -117,12 +121,15 @@ def zoom_steps(nodes: DataFrame, anchor: str | None = None) -> DataFrame:
     kind = nodes.schema["tree_id"].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_pos")
-        tokens = expansion_sequence(Tree(pdf.where(pdf.notna(), None)), anchor)
-        return pd.DataFrame({"tree_id": pdf["tree_id"].iloc[0], "step": range(1, len(tokens) + 1), "token": tokens, "node_id": [t.removeprefix(PROSE) for t in tokens], "form": ["prose" if t[0] == PROSE else "expand" for t in tokens]})
+        pdf = pdf.sort_values("doc_pos").astype(object)
+        pdf = pdf.where(pdf.notna(), None).assign(key_points=[json.loads(x or "[]") for x in pdf["key_points"]])
+        tokens = expansion_sequence(Tree(pdf), anchor)
+        rows = [(pdf["tree_id"].iloc[0], k + 1, t, t.removeprefix(PROSE), "prose" if t[0] == PROSE else "expand") for k, t in enumerate(tokens)]
+        return pd.DataFrame(rows, columns=["tree_id", "step", "token", "node_id", "form"])
 
-    cols = ["tree_id", "node_id", "parent", "depth", "doc_pos", "is_leaf", "text", "words", "span_start", "span_end", "importance", "title", "hook", "key_points", "children"]
-    return nodes.select(cols).groupBy("tree_id").applyInPandas(run, f"tree_id {kind}, step int, token string, node_id string, form string")
+    cols = ["tree_id", "node_id", "parent", "depth", "doc_pos", "is_leaf", "text", "words", "span_start", "span_end", "importance", "title", "hook"]
+    packed = nodes.select(*cols, F.to_json(F.col("key_points")).alias("key_points"))
+    return packed.groupBy("tree_id").applyInPandas(run, f"tree_id {kind}, step int, token string, node_id string, form string")
 
 
 # ---------------------------------------------------------------- relational parts
@@ -223,7 +230,7 @@ def initial_z(page_words: DataFrame, minutes: Column, whole_minutes: Column, tot
 
 
 def due_wording(iso: Column, today: Column) -> Column:
-    d = F.date_diff(F.try_to_date(iso, F.lit("yyyy-MM-dd")), today)
+    d = F.date_diff(F.try_to_date(iso, "yyyy-MM-dd"), today)
     late = -d
     return F.when(d == 0, "Due today").when(d == 1, "Due tomorrow").when(d > 1, F.concat(F.lit("Due in "), d.cast("string"), F.lit(" days"))).when(d < 0, F.concat(F.lit("Overdue by "), late.cast("string"), F.when(late == 1, " day").otherwise(" days")))
 
@@ -276,7 +283,10 @@ def treemap(nodes: DataFrame, source: DataFrame, section_ids: DataFrame, width:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("doc_pos")
-        words, kids = dict(zip(pdf["node_id"], pdf["source_words"])), dict(zip(pdf["node_id"], map(list, pdf["children"])))
+        words, kids = dict(zip(pdf["node_id"], pdf["source_words"])), {k: [] for k in pdf["node_id"]}
+        for k, up in zip(pdf["node_id"], pdf["parent"]):
+            if up:
+                kids[up].append(k)
         root = pdf["node_id"].iloc[0]
         top = pdf.loc[pdf["section_no"].notna(), "node_id"].tolist() or kids[root] or [root]
         rows = []
@@ -300,5 +310,5 @@ def treemap(nodes: DataFrame, source: DataFrame, section_ids: DataFrame, width:
         out.insert(0, "tree_id", pdf["tree_id"].iloc[0])
         return out
 
-    x = nodes.select("tree_id", "node_id", "doc_pos", "children").join(source, ["tree_id", "node_id"]).join(section_ids, ["tree_id", "node_id"], "left")
+    x = nodes.select("tree_id", "node_id", "doc_pos", F.coalesce("parent", F.lit("")).alias("parent")).join(source, ["tree_id", "node_id"]).join(section_ids, ["tree_id", "node_id"], "left")
     return x.groupBy("tree_id").applyInPandas(run, f"tree_id {kind}, node_id string, x double, y double, w double, h double, level int")
