@@ -205,9 +205,9 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector: str =
     prepare(df.sparkSession)
     every = materialize(one_per_id(df.select(F.col(id_col), F.col(vector).alias("_v")), id_col, "_v"), "proj-vectors")
     top = F.array_max(F.transform("v", lambda x: F.abs(x)))
-    scaled = every.where(usable("v")).select("vec_id", F.transform("v", lambda x: x / top).alias("v"))
+    scaled = every.where(usable("v")).select("vec_id", F.transform("v", lambda x: F.try_divide(x, top)).alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    unit = scaled.select("vec_id", F.transform("v", lambda x: x / norm).alias("v"))
+    unit = scaled.select("vec_id", F.transform("v", lambda x: F.try_divide(x, norm)).alias("v"))
     found = connected_components(projection_links(unit, unit.count(), threshold, window, seed))
     found = materialize(found.select(F.col("node").alias("vec_id"), "component"), "proj-components")
     counts = link_counts(found.join(unit, "vec_id").select("component", "vec_id", "v"), threshold)

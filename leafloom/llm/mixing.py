@@ -71,8 +71,9 @@ def leaf_budgets(leaves: DataFrame, weights: dict[str, dict[str, int]], percent:
 def mix(docs: DataFrame, weights: dict[str, dict[str, int]] | None = None, percent: int = BUDGET_PERCENT, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
     """(doc_id, text_md5, LEVELS, epoch, n_tokens, prefix_tokens): the documents kept, once for each epoch that takes them.
 
-    Tokens are words between ASCII white space. Null text is empty, and a document without tokens is kept wherever its leaf's prefix
-    reaches it; null lang or source is ''. Repeated rows are documents of their own. Order keys that tie go by text. An empty table gives none.
+    Tokens are words between ASCII white space. Null text is empty; a document without tokens goes along where its leaf takes
+    any, and a leaf without tokens takes none. Null lang or source is ''. Repeated rows are documents of their own. Order keys
+    that tie go by text. An empty table gives none.
     """
     prepare(docs.sparkSession)
     weights = {"domain": DOMAIN_WEIGHTS, "lang": LANG_WEIGHTS} if weights is None else weights
