@@ -38,7 +38,7 @@ class WordCachedTokenizer:
     token's string go to the library whole.
     """
 
-    KEEP, LONGEST = 250_000, 48
+    KEEP, LONGEST = 400_000, 48
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -100,26 +100,22 @@ class WordCachedTokenizer:
         if len(self.known) > self.KEEP:  # words of the last round stay, those met again move on
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        heads, bodies, new = [], [], set()
-        for t in texts:
-            if any(s in t for s in self.special):
-                head, body = t, []
-            else:
-                head, *body = t.replace("\n", " \n").split(" ")
+        bodies, apart, new = [], {}, set()
+        for k, t in enumerate(texts):
+            body = ("\n" + t).replace("\n", " \n").split(" ")[1:]  # as if after a line break, whose id goes again
+            fresh = set(body).difference(known, new)
+            # pieces at other than single white space never get into the cache, so they are among the fresh ones
+            if any(map(self._odd, fresh)) or any(s in t for s in self.special):
+                apart[k], *body = _SAFE.split(t) if not any(s in t for s in self.special) else [t]
                 fresh = set(body).difference(known, new)
-                # pieces at other than single white space never get into the cache, so they are among the fresh ones
-                if body and (not head or head[-1].isspace()) or any(map(self._odd, fresh)):
-                    head, *body = _SAFE.split(t)
-                    fresh = set(body).difference(known)
-                new |= fresh
-            heads.append(head)
+            new |= fresh
             bodies.append(body)
         met = {x: older[x] for x in new if x in older}
         known.update(met)
         got = self._pieces(list(new.difference(met)))
         known.update(got)
-        find = known.__getitem__
-        out = [np.frombuffer(b"".join([h, *map(find, body)]), dtype="<u2") for h, body in zip(self._whole(heads), bodies)]
+        find, first = known.__getitem__, dict(zip(apart, self._whole(list(apart.values()))))
+        out = [np.frombuffer(b"".join([first[k], *map(find, body)]) if k in first else b"".join(map(find, body))[2:], dtype="<u2") for k, body in enumerate(bodies)]
         for k in got:
             if len(k) > self.LONGEST:
                 del known[k]
