@@ -40,6 +40,16 @@ def passes_for(rows: int, threshold: float = THRESHOLD, window: int = WINDOW, mi
     return max(4, math.ceil(math.log(miss) / math.log(1 - meet)))
 
 
+def _unit_batches(batches):
+    for b in batches:
+        for at, to in same_length(b.column(1)):
+            x = matrix(b.column(1).slice(at, to - at))
+            x = x / np.abs(x).max(axis=1)[:, None]  # squares of what is left neither overflow nor vanish
+            x /= np.sqrt((x**2).sum(axis=1))[:, None]
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
+            yield pa.record_batch([b.column(0).slice(at, to - at), flat], names=["vec_id", "v"])
+
+
 def _keys(x: np.ndarray, passes: int, seed: int) -> np.ndarray:
     """(rows, passes) of BITS sign bits, the first projection on top."""
     out = np.empty((len(x), passes), dtype=np.int64)
@@ -204,10 +214,7 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector: str =
     """
     prepare(df.sparkSession)
     every = materialize(one_per_id(df.select(F.col(id_col), F.col(vector).alias("_v")), id_col, "_v"), "proj-vectors")
-    top = F.array_max(F.transform("v", lambda x: F.abs(x)))
-    scaled = every.where(usable("v")).select("vec_id", F.transform("v", lambda x: F.try_divide(x, top)).alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    unit = scaled.select("vec_id", F.transform("v", lambda x: F.try_divide(x, norm)).alias("v"))
+    unit = materialize(every.where(usable("v")).mapInArrow(_unit_batches, "vec_id long, v array<double>"), "proj-unit")
     found = connected_components(projection_links(unit, unit.count(), threshold, window, seed))
     found = materialize(found.select(F.col("node").alias("vec_id"), "component"), "proj-components")
     counts = link_counts(found.join(unit, "vec_id").select("component", "vec_id", "v"), threshold)
