@@ -42,18 +42,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    files, p = _hadoop(spark, path)
+    files.deleteOnExit(p)  # what nothing drops earlier goes when the application ends
     out = spark.read.schema(df.schema).parquet(path)
     out._leafloom_path = path
     return out
 
 
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def drop_materialized(df: DataFrame) -> None:
     """Deletes what materialize() wrote, once nothing reads it any more, and lets Spark drop finished shuffles."""
     spark, path = df.sparkSession, getattr(df, "_leafloom_path", None)
     if path:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        files, p = _hadoop(spark, path)
+        files.delete(p, True)
     release(spark)
 
 
