@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .units import strip
+from .units import let, strip
 
 GENRES = ("assignment", "paper", "news", "email", "meeting", "legal", "technical", "article", "other")
 # Other names of genres.
@@ -90,11 +90,6 @@ GOAL_NEEDED = 3
 TASK_GENRES, TASK_GOALS = ("assignment", "meeting"), ("execute", "plan")
 
 
-def _let(value: Column, body) -> Column:
-    """body(value) with the value computed once: without it every use would score all patterns anew."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _hit(text: Column, pattern: str, flags: str = "im") -> Column:
     return text.rlike(f"(?{flags}){pattern}")
 
@@ -128,7 +123,7 @@ def genre_scores(at: dict[str, Column]) -> dict[str, Column]:
 def detect_genre(title: Column, text: Column) -> Column:
     """struct<genre, strong>: null when nothing stands out; strong when several independent cues agree. Mail headers decide by themselves."""
     parts = _parts(title, text)
-    return _let(F.struct(*[c.alias(k) for k, c in parts.items()]), lambda s: _genre_of({k: s[k] for k in parts}))
+    return let(F.struct(*[c.alias(k) for k, c in parts.items()]), lambda s: _genre_of({k: s[k] for k in parts}))
 
 
 def _genre_of(at: dict[str, Column]) -> Column:
@@ -149,7 +144,7 @@ def _genre_of(at: dict[str, Column]) -> Column:
             .otherwise(made(F.lit(None).cast("string"), False))
         )
 
-    return F.when(F.size(fields) >= 2, made(F.lit("email"), True)).otherwise(_let(ranked, settled))
+    return F.when(F.size(fields) >= 2, made(F.lit("email"), True)).otherwise(let(ranked, settled))
 
 
 def valid_genre(c: Column) -> Column:
@@ -169,14 +164,18 @@ def is_task_like(genre: Column, goal: Column) -> Column:
 
 def suggest_goal(title: Column, text: Column, kind: Column | None = None) -> Column:
     """The goal with most points (first named wins ties), or null below three. kind: paste, file or url."""
-    title, text = F.coalesce(title, F.lit("")), F.substring(F.coalesce(text, F.lit("")), 1, 2000)
+    both = F.struct(F.coalesce(title, F.lit("")).alias("title"), F.substring(F.coalesce(text, F.lit("")), 1, 2000).alias("text"))
+    return let(both, lambda s: _goal_of(s["title"], s["text"], kind))
+
+
+def _goal_of(title: Column, text: Column, kind: Column | None) -> Column:
     rows = []
     for k, goal in enumerate(("execute", "communicate", "decide", "plan", "reference", "learn")):
         score = sum((F.when(_hit(title, p, "i"), 2 * w).otherwise(0) + F.when(_hit(text, p, "i"), w).otherwise(0) for p, w in GOALS[goal]), F.lit(0))
         if goal == "learn" and kind is not None:
             score = score + F.when((kind == "file") & F.lower(title).endswith(".pdf"), 1).otherwise(0)
         rows.append(F.struct((-score).alias("minus"), F.lit(k).alias("k"), F.lit(goal).alias("goal")))
-    return _let(F.get(F.array_sort(F.array(*rows)), F.lit(0)), lambda best: F.when(-best["minus"] >= GOAL_NEEDED, best["goal"]))
+    return let(F.get(F.array_sort(F.array(*rows)), F.lit(0)), lambda best: F.when(-best["minus"] >= GOAL_NEEDED, best["goal"]))
 
 
 # Labels that say what to act on first.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .units import strip
+from .units import let, strip
 
 # Words without content, and the endings that stemming takes off (the first that fits).
 STOP_WORDS = (
@@ -22,12 +22,14 @@ NUMBER = r"(?i)\d[\d,.]*s?|\bbillion\b|\bmillion\b"
 
 
 def stem(word: Column) -> Column:
-    w = F.regexp_replace(F.regexp_replace(F.lower(word), "^['’-]+|['’-]+$", ""), "['’]s$", "")
-    cut = w
-    for suffix in reversed(SUFFIXES):
-        n = len(suffix)
-        cut = F.when(w.endswith(suffix) & (F.length(w) - n >= 4), F.substring(w, F.lit(1), F.length(w) - n)).otherwise(cut)
-    return F.when(w.rlike("[0-9]"), F.replace(w, F.lit(","), F.lit(""))).otherwise(F.substring(cut, 1, 5))
+    def cut(w: Column) -> Column:
+        out = w
+        for suffix in reversed(SUFFIXES):
+            n = len(suffix)
+            out = F.when(w.endswith(suffix) & (F.length(w) - n >= 4), F.substring(w, F.lit(1), F.length(w) - n)).otherwise(out)
+        return F.when(w.rlike("[0-9]"), F.replace(w, F.lit(","), F.lit(""))).otherwise(F.substring(out, 1, 5))
+
+    return let(F.regexp_replace(F.regexp_replace(F.lower(word), "^['’-]+|['’-]+$", ""), "['’]s$", ""), cut)
 
 
 def content_tokens(c: Column) -> Column:
@@ -39,13 +41,11 @@ def content_tokens(c: Column) -> Column:
 
 def overlap(item: Column, source: Column) -> Column:
     """struct<shared, total> of the item's content words."""
-    a = content_tokens(item)
-    return F.struct(F.size(F.array_intersect(a, content_tokens(source))).alias("shared"), F.size(a).alias("total"))
+    return let(content_tokens(item), lambda a: F.struct(F.size(F.array_intersect(a, content_tokens(source))).alias("shared"), F.size(a).alias("total")))
 
 
 def overlap_ok(item: Column, source: Column, floor: float = OVERLAP_FLOOR) -> Column:
-    o = overlap(item, source)
-    return (o["total"] == 0) | (o["shared"] / o["total"] >= floor)
+    return let(overlap(item, source), lambda o: F.when(o["total"] == 0, True).otherwise(o["shared"] / o["total"] >= floor))
 
 
 def number_tokens(c: Column) -> Column:

@@ -17,6 +17,11 @@ CJK = (
 # Full-width punctuation; a run of it alone is no word.
 CJK_PUNCTUATION = r"\x{3000}-\x{3004}\x{3008}-\x{303f}\x{ff01}-\x{ff0f}\x{ff1a}-\x{ff20}\x{ff3b}-\x{ff40}\x{ff5b}-\x{ff65}"
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once. An expression used several times would else be inlined, and computed, each time."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 WORD = f"[^{WHITE}]+"
 UNIT = f"[{CJK}]|[^{WHITE}{CJK}]+"
 WORDS_PER_MINUTE = 238

@@ -205,7 +205,7 @@ def claim_overlap(spark, sf_dir):
     d = _t(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % b.count()).alias("item_id"), F.col("text").alias("source"))
     o = evidence.overlap(F.col("text"), F.col("source"))
     x = d.join(b, "item_id").withColumn("o", o)
-    return x.select("doc_id", "item_id", F.col("o.shared").alias("shared"), F.col("o.total").alias("total"), ((F.col("o.total") == 0) | (F.col("o.shared") / F.col("o.total") >= evidence.OVERLAP_FLOOR)).alias("ok"))
+    return x.select("doc_id", "item_id", F.col("o.shared").alias("shared"), F.col("o.total").alias("total"), F.when(F.col("o.total") == 0, True).otherwise(F.col("o.shared") / F.col("o.total") >= evidence.OVERLAP_FLOOR).alias("ok"))
 
 
 _DATES = "VALUES ('2025-03-14', 'Friday 14 March 2025 at 5 pm', '17:00'), ('03-14', 'due 14 March, 9:30 am', '09:30'), ('02-29', 'on 29 Feb at noon', '12:00'), ('2025-13-01', 'x', '25:00'), ('----12-01', '1/12/2024 midnight', '00:00')"
