@@ -14,7 +14,7 @@ from leafloom.llm.common import materialize, prepare, table
 from leafloom.llm.mixing import DOMAIN_WEIGHTS, LANG_WEIGHTS, mix
 from leafloom.llm.packing import pack
 from leafloom.llm.quality import THRESHOLD, fit_on, score_documents
-from leafloom.llm.simhash import keep_one
+from leafloom.llm.shingle_join import keep_one_alike
 from leafloom.llm.suffix_dedup import suffix_array_dedup
 
 #: The mix takes this share of the tokens that reach it, in one epoch, so that no document is used twice.
@@ -29,8 +29,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group."""
-    return keep_one(docs)
+    """One document of each group that links of five-word Jaccard similarity 0.8 or more hold together."""
+    return keep_one_alike(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs)
 
 
-STAGES = [("quality classifier", quality), ("SimHash near-dedup", near_duplicates), ("suffix-array dedup", repeats), ("mixing to target weights", mixing), ("packing", packing)]
+STAGES = [("quality classifier", quality), ("near-dedup", near_duplicates), ("suffix-array dedup", repeats), ("mixing to target weights", mixing), ("packing", packing)]
 
 #: Tokenizing and fingerprinting are beyond SQL; tests/llm/test_pipeline.py holds every stage against a plain version.
 ORACLE_SQL = None
