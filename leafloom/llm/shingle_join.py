@@ -2,7 +2,8 @@
 
 Two texts are near copies where the Jaccard similarity of their shingle sets is ALIKE[0] / ALIKE[1] or more. In any one order of all
 shingles such sets share a shingle among the first n - ceil(0.8 n) + 1 of each, so only texts that meet under such a shingle are
-compared, and each comparison counts the shared shingles. The order puts shingles that a sample shows to be common last; it decides
+compared: by counts of shingles in BUCKETS parts, whose differences add up to no more than the sets differ in, and what that leaves by
+the shared shingles themselves. The order puts shingles that a sample shows to be common last; it decides
 the cost, never the result. First every text is compared with a window of those it meets, then all that meet and are
 not in one component yet, so a dense group costs no square of its size.
 """
@@ -15,12 +16,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, prepare
+from .common import drop_materialized, materialize, prepare
 from .components import connected_components
 
 WORDS, SEED = 5, 42
 ALIKE = (4, 5)
 WINDOW = 8
+BUCKETS = 256
 #: One text of SAMPLE_OF shows which shingles are common: met COMMON times or more there; at most COMMON_MOST of them are told to the workers.
 SAMPLE_OF, COMMON, COMMON_MOST = 16, 3, 200_000
 
@@ -69,7 +71,9 @@ def _measured(common: np.ndarray, rank: np.ndarray):
             have = [shingles(t) for t in b.column(2).cast(pa.binary()).to_pylist()]
             s = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in have], dtype=np.uint64).view(np.int64)
             files = _arrays([prefix(h, common, rank) for h in have])
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(s), pa.array(np.fromiter(map(len, have), np.int64, len(have))), files, b.column(2)], names=["id", "th", "s", "n", "files", "t"])
+            counts = [np.minimum(np.bincount(h & (BUCKETS - 1), minlength=BUCKETS), 255).astype(np.uint8).tobytes() for h in have]
+            sizes = pa.array(np.fromiter(map(len, have), np.int64, len(have)))
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(s), sizes, files, pa.array(counts, pa.binary())], names=["id", "th", "s", "n", "files", "counts"])
 
     return run
 
@@ -153,14 +157,32 @@ def _all_pairs(batches):
 _PAIRS = "a long, b long, pair boolean"
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _may_be_alike(batches):
+    """Over rows (a, b, na, nb, ca, cb): pairs whose counts by part do not differ by more than those of alike sets can."""
+    for b in batches:
+        ca, cb = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16) for k in (4, 5))
+        apart = np.abs(ca - cb).sum(axis=1, dtype=np.int64)
+        # alike sets differ in at most (q - p) / (q + p) of their sizes' sum
+        may = sum(ALIKE) * apart <= (ALIKE[1] - ALIKE[0]) * (b.column(2).to_numpy() + b.column(3).to_numpy())
+        yield pa.record_batch([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(may))
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """Of pairs (a, b) those whose sets are alike, by exact counts."""
+    side = lambda k: nodes.select(F.col("s").alias(k), F.col("n").alias(f"n{k}"), F.col("counts").alias(f"c{k}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ca", "cb")
+    pairs = materialize(both.mapInArrow(_may_be_alike, "a long, b long"), "shingle-pairs")
     named = pairs.select(F.col("a").alias("s")).unionAll(pairs.select(F.col("b").alias("s"))).distinct()
-    sets = materialize(nodes.select("s", "t").join(named, "s", "left_semi").mapInArrow(_sets, "s long, h array<long>"), "shingle-sets")
+    named = nodes.select("s", "th").join(named, "s", "left_semi")
+    sets = texts.join(named, "th").dropDuplicates(["s"]).select("s", "t").mapInArrow(_sets, "s long, h array<long>")
+    sets = materialize(sets, "shingle-sets")
     both = pairs.join(sets.select(F.col("s").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("s").alias("b"), F.col("h").alias("hb")), "b")
     shared = F.size(F.array_intersect("ha", "hb")).cast("long")
     # shared / (all - shared) >= p / q
-    return both.where(sum(ALIKE) * shared >= ALIKE[0] * (F.size("ha") + F.size("hb")).cast("long")).select("a", "b")
+    both = both.where(sum(ALIKE) * shared >= ALIKE[0] * (F.size("ha") + F.size("hb")).cast("long")).select("a", "b")
+    links = materialize(both, "shingle-links")
+    drop_materialized(sets)
+    return links
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -171,20 +193,20 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     prepare(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("t"))
-    marked = materialize(texts.mapInArrow(_measured(*_common(texts)), "id long, th long, s long, n long, files array<long>, t string"), "shingle-marked")
-    nodes = materialize(marked.dropDuplicates(["s"]).select("s", "n", "files", "t"), "shingle-nodes")
+    marked = materialize(texts.mapInArrow(_measured(*_common(texts)), "id long, th long, s long, n long, files array<long>, counts binary"), "shingle-marked")
+    nodes = materialize(marked.dropDuplicates(["s"]).select("s", "th", "n", "files", "counts"), "shingle-nodes")
     filed = nodes.select(F.explode("files").alias("x"), "s", "n")
     by_x = filed.repartition("x").sortWithinPartitions("x", F.xxhash64("x", "s")).select("x", "s", "n")
     met = materialize(by_x.mapInArrow(_window_pairs(window), _PAIRS).distinct(), "shingle-met")
     tried = met.where("pair").select("a", "b")
-    links = materialize(_verified(tried, nodes), "shingle-links")
+    links = _verified(tried, nodes, texts)
     found = materialize(connected_components(links), "shingle-components")
     full = met.where(~F.col("pair")).select(F.col("a").alias("x"))
     rest = filed.join(full, "x", "left_semi").join(found.withColumnRenamed("node", "s"), "s", "left").select("x", "s", "n", F.coalesce("component", "s").alias("c"))
     more = rest.repartition("x").sortWithinPartitions("x").mapInArrow(_all_pairs, _PAIRS).select("a", "b").distinct()
     more = materialize(more.join(tried, ["a", "b"], "left_anti"), "shingle-more")
     if not more.isEmpty():
-        links = links.unionAll(_verified(more, nodes))
+        links = links.unionAll(_verified(more, nodes, texts))
         found = materialize(connected_components(links), "shingle-components")
     return marked.select("id", "th", "s").join(found.withColumnRenamed("node", "s"), "s", "left").select("id", "th", F.coalesce("component", "s").alias("component"))
 
