@@ -28,6 +28,12 @@ _UPPER, _DIGIT = bytes(range(65, 91)), bytes(range(48, 58))
 _MARKS, _PUNCT, _SYMBOL, _HIGH = b"!?", b".,;:", b"#$%&*+/<=>@[\\]^_`{|}~", bytes(range(128, 256))
 
 
+def _packed(text: bytes, block: int = 1 << 20) -> int:
+    """Compressed size of a whole text, block by block."""
+    packer, view = zlib.compressobj(1), memoryview(text)
+    return sum(len(packer.compress(view[at : at + block])) for at in range(0, len(view), block)) + len(packer.flush())
+
+
 def features(text: bytes) -> list[float]:
     """Numbers that tell running prose from noise, of a whole text (empty texts have defined ones too)."""
     n = max(1, len(text))
@@ -45,7 +51,7 @@ def features(text: bytes) -> list[float]:
         float(np.log1p(len(words))), float(lengths.mean()), share(_UPPER), share(_DIGIT), share(_MARKS), share(_PUNCT), share(_SYMBOL),
         share(b" \t\r\n\v\f"), share(_HIGH), len(count) / m**0.8, sum(a == b for a, b in zip(words, words[1:])) / m,
         max(count.values(), default=0) / m, len(set(lines)) / max(1, len(lines)), float(np.log1p(n / max(1, len(lines)))),
-        float((lengths <= 3).mean()), float((lengths > 15).mean()), len(zlib.compress(text[:1_000_000], 1)) / (n if len(text) <= 1_000_000 else 1_000_000),
+        float((lengths <= 3).mean()), float((lengths > 15).mean()), _packed(text) / n,
         float(np.mean(recent)), float(np.log1p(len(words) / max(1, stops))),
     ]
 
