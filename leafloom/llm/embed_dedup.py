@@ -3,7 +3,9 @@
 Each pass orders all vectors lexicographically by a string of random hash bits (the signs of random projections) and
 compares every vector with a bounded window of its neighbours in that order; verified pairs of all passes are united.
 The number of passes follows the row count, so that a pair just at the threshold stays apart in all of them with a chance
-of at most MISS. Windows need not meet every pair of a dense group: they have to connect it. The links inside each
+of at most MISS. That holds if all meet that share the leading bits relied on: the window is WIDER times the one that the number of
+passes is for, and runs of equal leading bits that exceed even that (dense topics) are compared whole, tile by tile, where they are
+not in one component yet. The links inside each
 component are then counted exactly: vectors within half the threshold's angle of the component's centre are all
 linked with each other, and only those further out are compared, tile by tile.
 """
@@ -31,12 +33,21 @@ MISS = 1e-5
 SEED = 17
 #: Rows on each side of a tile of compared vectors.
 TILE = 512
+#: Windows are wider by this than halving rows would need, as no plane halves them exactly.
+WIDER = 4
+#: Rows on each side of a tile of a long run.
+RUN_ROWS = 2048
+
+
+def leading_bits(rows: int, window: int = WINDOW) -> float:
+    """Bits after which rows / 2^bits, halved once more for unevenness, fit in the window."""
+    return max(1.0, math.log2(max(2.0, rows / window)) + 1)
 
 
 def passes_for(rows: int, threshold: float = THRESHOLD, window: int = WINDOW, miss: float = MISS) -> int:
     """Two vectors at the threshold share a bit with chance 1 - angle / pi, and meet in a window once they share log2(rows / window) leading bits."""
     agree = 1 - math.acos(threshold) / math.pi
-    meet = agree ** max(1.0, math.log2(max(2.0, rows / window)) + 1)
+    meet = agree ** leading_bits(rows, window)
     return max(4, math.ceil(math.log(miss) / math.log(1 - meet)))
 
 
@@ -153,7 +164,7 @@ def _ends(window: int, threshold: float):
 def projection_links(vectors: DataFrame, rows: int, threshold: float = THRESHOLD, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """vectors: (vec_id, v) of unit length. Verified links (a, b) that connect what the passes find."""
     spark = vectors.sparkSession
-    passes = passes_for(rows, threshold, window)
+    passes, window = passes_for(rows, threshold, window), WIDER * window
     listed = vectors.mapInArrow(_ordered_batches(passes, seed), "dim int, pass int, key long, vec_id long, v array<double>")
     parts = int(max(1, min(rows * passes // (16 * window) + 1, max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows * passes // 50_000))))
     order = ["dim", "pass", "key", "vec_id"]
@@ -162,6 +173,57 @@ def projection_links(vectors: DataFrame, rows: int, threshold: float = THRESHOLD
     return met.where("edge = -2").select("a", "b").unionAll(ends)
 
 
+def _run_batches(passes: int, seed: int, bits: int):
+    def run(batches):
+        for b in batches:
+            for at, to in same_length(b.column(1)):
+                part = b.slice(at, to - at)
+                x = matrix(part.column(1))
+                keys = _keys(x, passes, seed) >> (BITS - bits)
+                n = len(x)
+                for p in range(passes):
+                    yield pa.record_batch([pa.array(np.full(n, x.shape[1], np.int32)), pa.array(np.full(n, p, np.int32)), pa.array(keys[:, p]), part.column(0)], names=["dim", "pass", "run", "vec_id"])
+
+    return run
+
+
+def _run_links(threshold: float):
+    def run(t: pa.Table) -> pa.Table:
+        c, own, ids = (t.column(k).to_numpy() for k in ("c", "own", "vec_id"))
+        order = np.argsort(c, kind="stable")  # blocks inside one component are passed over
+        x, c, own, ids = matrix(t.column("v"))[order], c[order], own[order], ids[order]
+        two = own.min() != own.max()
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for s in range(0, len(x), 256):
+            e = min(len(x), s + 256)
+            after = int(np.searchsorted(c, c[s], side="right")) if c[s] == c[e - 1] else s
+            for f in range(after, len(x), 4096):
+                g = min(len(x), f + 4096)
+                near = (x[s:e] @ x[f:g].T >= threshold) & (c[s:e, None] < c[None, f:g])
+                if two:
+                    near &= own[s:e, None] != own[None, f:g]
+                i, j = np.nonzero(near)
+                found.append((i + s, j + f))
+        a, b = _star(ids, *(np.concatenate(y) for y in zip(*found)))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def long_run_links(vectors: DataFrame, found: DataFrame, rows: int, threshold: float = THRESHOLD, window: int = WINDOW, seed: int = SEED) -> DataFrame:
+    """Links (a, b) between components (found: node, component) inside runs of equal leading bits that are longer than the wide window."""
+    passes, bits = passes_for(rows, threshold, window), min(BITS, math.floor(leading_bits(rows, window)))
+    keyed = materialize(vectors.mapInArrow(_run_batches(passes, seed, bits), "dim int, pass int, run long, vec_id long"), "proj-runs")
+    known = keyed.join(found.select(F.col("node").alias("vec_id"), F.col("component").alias("c")), "vec_id", "left").withColumn("c", F.coalesce("c", "vec_id"))
+    run = ["dim", "pass", "run"]
+    long = known.groupBy(*run).agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where((F.col("n") > WIDER * window + 1) & (F.col("c0") < F.col("c1")))
+    long = long.select(*run, F.ceil(F.col("n") / RUN_ROWS).cast("long").alias("parts"))
+    dealt = known.join(long, run).withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("parts")))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+    dealt = dealt.select(*run, (F.least("own", "other") * F.col("parts") + F.greatest("own", "other")).alias("tile"), "own", "vec_id", "c")
+    return dealt.join(vectors, "vec_id").groupBy(*run, "tile").applyInArrow(_run_links(threshold), "a long, b long")
+
+
 def _tile_counts(threshold: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, counts = [], []
@@ -215,7 +277,12 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector: str =
     prepare(df.sparkSession)
     every = materialize(one_per_id(df.select(F.col(id_col), F.col(vector).alias("_v")), id_col, "_v"), "proj-vectors")
     unit = materialize(every.where(usable("v")).mapInArrow(_unit_batches, "vec_id long, v array<double>"), "proj-unit")
-    found = connected_components(projection_links(unit, unit.count(), threshold, window, seed))
+    rows = unit.count()
+    links = materialize(projection_links(unit, rows, threshold, window, seed), "proj-links")
+    found = connected_components(links)
+    more = materialize(long_run_links(unit, found, rows, threshold, window, seed), "proj-more")
+    if not more.isEmpty():
+        found = connected_components(links.unionAll(more))
     found = materialize(found.select(F.col("node").alias("vec_id"), "component"), "proj-components")
     counts = link_counts(found.join(unit, "vec_id").select("component", "vec_id", "v"), threshold)
     out = every.select("vec_id").join(found, "vec_id", "left").join(counts, "vec_id", "left")
