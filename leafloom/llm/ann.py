@@ -3,7 +3,8 @@
 A vector is represented by its PREFIX nearest of PIVOTS pivots, in order. Shards of rows post those places in one inverted
 file per pivot. A query reads the files of its own nearest pivots, adds up how far the places agree (which ranks
 candidates by the footrule distance of the two permutations, absent pivots counting as place PREFIX), and reranks the
-best SHARE of each shard by the real distance. The pivots are a sample of at most PIVOTS rows; every row is indexed.
+best SHARE of each shard, with all that tie with the last of them, by the real distance. Equal vectors are one entry of the index with the
+smallest of their ids, as many as a result can hold. The pivots are a sample of at most PIVOTS different vectors; every vector is indexed.
 """
 
 from __future__ import annotations
@@ -36,37 +37,50 @@ def inverted_files(perm: np.ndarray, pivots: int) -> tuple[np.ndarray, np.ndarra
     return begin, (order // perm.shape[1]).astype(np.int32), (order % perm.shape[1]).astype(np.int32)
 
 
-def search_shard(ids, x, begin, row, place, queries, query_ids, query_perm, nearest=NEAREST, share=SHARE, least=LEAST):
-    """For each query the shard's nearest found: lists of (query_id, vec_id, distance)."""
+def search_shard(ids, many, x, begin, row, place, queries, query_ids, query_perm, nearest=NEAREST, share=SHARE, least=LEAST):
+    """For each query the shard's nearest found: lists of (query_id, vec_id, distance). Vector k of x has the next many[k] of ids."""
+    first = np.cumsum(many) - many
     prefix = query_perm.shape[1]
-    take = min(len(ids), max(least, int(np.ceil(share * len(ids)))))
+    take = min(len(x), max(least, int(np.ceil(share * len(x)))))
     out = []
     for q, qid, perm in zip(queries, query_ids, query_perm):
         spans = [(begin[p], begin[p + 1]) for p in perm]
         rows = np.concatenate([row[a:b] for a, b in spans])
         agree = np.concatenate([prefix - np.maximum(place[a:b], k) for k, (a, b) in enumerate(spans)])
-        score = np.bincount(rows, weights=agree, minlength=len(ids))
-        best = np.argpartition(-score, take - 1)[:take] if take < len(ids) else np.arange(len(ids))
-        best = best[ids[best] != qid]
+        score = np.bincount(rows, weights=agree, minlength=len(x))
+        best = np.flatnonzero(score >= np.partition(score, len(x) - take)[len(x) - take])
         d = np.sqrt(((x[best] - q) ** 2).sum(axis=1))
-        top = np.lexsort((ids[best], d))[:nearest]
-        out.append((np.full(len(top), qid), ids[best][top], d[top]))
+        if len(best) > nearest + 1:  # the query may be one of them
+            close = d <= np.partition(d, nearest)[nearest]
+            best, d = best[close], d[close]
+        found = np.concatenate([ids[first[k] : first[k] + many[k]] for k in best])
+        d = np.repeat(d, many[best])
+        found, d = found[found != qid], d[found != qid]
+        top = np.lexsort((found, d))[:nearest]
+        out.append((np.full(len(top), qid), found[top], d[top]))
     return out
 
 
+def distinct_vectors(vectors: DataFrame, most: int) -> DataFrame:
+    """(vec_id, ids, v): a row for each different vector, with the `most` smallest of its ids, ascending; vec_id is the first."""
+    lists = lambda ids: F.slice(F.sort_array(ids), 1, most)
+    some = vectors.groupBy("v", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("_part")).agg(lists(F.collect_list("vec_id")).alias("ids"))
+    return some.groupBy("v").agg(lists(F.flatten(F.collect_list("ids"))).alias("ids")).select(F.col("ids")[0].alias("vec_id"), "ids", "v")
+
+
 def build_index(vectors: DataFrame, rows: int, pivots: dict[int, np.ndarray], prefix: int = PREFIX, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """vectors: (vec_id, v). One row for each shard: dim, shard, ids, values, and its pivots' inverted files."""
+    """vectors: (vec_id, ids, v). One row for each shard: dim, shard, ids and how many each vector has, values, and its pivots' inverted files."""
     shards = max(1, -(-rows // shard_rows))
 
     def run(t: pa.Table) -> pa.Table:
-        x, ids = matrix(t.column("v")), t.column("vec_id").to_numpy()
+        x, ids = matrix(t.column("v")), t.column("ids").combine_chunks()
         dim = x.shape[1]
         begin, row, place = inverted_files(permutations(x, pivots[dim], prefix), len(pivots[dim]))
-        lists = {"ids": ids, "values": x.ravel(), "begin": begin, "row": row, "place": place}
+        lists = {"ids": ids.flatten().to_numpy(), "many": np.asarray(ids.value_lengths()), "values": x.ravel(), "begin": begin, "row": row, "place": place}
         return pa.table({"dim": pa.array([dim], pa.int32()), "shard": t.column("shard").slice(0, 1), **{k: pa.array([v]) for k, v in lists.items()}})
 
-    dealt = vectors.select(F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), "vec_id", "v")
-    return dealt.groupBy("dim", "shard").applyInArrow(run, "dim int, shard int, ids array<bigint>, values array<double>, begin array<bigint>, row array<int>, place array<int>")
+    dealt = vectors.select(F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), "vec_id", "ids", "v")
+    return dealt.groupBy("dim", "shard").applyInArrow(run, "dim int, shard int, ids array<bigint>, many array<int>, values array<double>, begin array<bigint>, row array<int>, place array<int>")
 
 
 def pick_pivots(vectors: DataFrame, pivots: int = PIVOTS) -> dict[int, np.ndarray]:
@@ -88,11 +102,11 @@ def nearest_neighbours(df: DataFrame, is_query, id_col: str = "vec_id", vector:
     prepare(df.sparkSession)
     every = one_per_id(df.select(id_col, vector), id_col, vector)
     vectors = materialize(every.where(usable("v")), "ann-vectors")
-    rows = vectors.count()
-    chosen = pick_pivots(vectors, pivots)
+    different = materialize(distinct_vectors(vectors, nearest + 1), "ann-distinct")
+    chosen = pick_pivots(different, pivots)
     asked = vectors.where(is_query)
     blocks = max(1, -(-asked.count() // QUERY_ROWS))
-    index = materialize(build_index(vectors, rows, chosen, prefix), "ann-index")
+    index = materialize(build_index(different, different.count(), chosen, prefix), "ann-index")
     shards = index.select("dim", "shard")
 
     def gather(t: pa.Table) -> pa.Table:
@@ -110,11 +124,11 @@ def nearest_neighbours(df: DataFrame, is_query, id_col: str = "vec_id", vector:
                 ids, x = np.array(r["ids"]), np.array(r["values"]).reshape(-1, dim)
                 q = np.array(r["q_values"]).reshape(-1, dim)
                 perm = permutations(q, chosen[dim], prefix)
-                got = search_shard(ids, x, np.array(r["begin"]), np.array(r["row"]), np.array(r["place"]), q, np.array(r["q_ids"]), perm, nearest, share)
+                got = search_shard(ids, np.array(r["many"]), x, np.array(r["begin"]), np.array(r["row"]), np.array(r["place"]), q, np.array(r["q_ids"]), perm, nearest, share)
                 a, c, d = (np.concatenate(y) for y in zip(*got))
                 yield pa.record_batch([pa.array(a), pa.array(c), pa.array(d)], names=["query_id", "vec_id", "score"])
 
-    found = met.select("dim", "ids", "values", "begin", "row", "place", "q_ids", "q_values").mapInArrow(search, "query_id long, vec_id long, score double")
+    found = met.select("dim", "ids", "many", "values", "begin", "row", "place", "q_ids", "q_values").mapInArrow(search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
 
