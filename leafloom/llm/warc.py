@@ -182,16 +182,16 @@ k AS (SELECT *, list_sort([x for x in string_split(query, '&') if length(x) > 0
 c AS (SELECT id, m, tm, regexp_replace(regexp_replace(lower(host), '^www[0-9]*[.]', ''), ':(80|443)$', '') || regexp_replace(path, '/+$', '')
         || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS url_key FROM k),
 v AS (SELECT *, tm + 2592030 AS ts FROM c),
-b AS (SELECT v.id, v.url_key, v.ts, v.m, max(struct_pack(tm := s.tm, rid := 'r' || s.id, m := s.m, day := s.id % 7)) AS b
+b AS (SELECT v.id, v.url_key, v.ts, v.m, max(struct_pack(tm := s.tm, rid := 'r' || s.id, m := s.m, day := s.id % 7)) AS base
       FROM v LEFT JOIN c s ON s.url_key = v.url_key AND s.tm < v.ts GROUP BY ALL),
-o AS (SELECT *, CASE WHEN b IS NULL OR b.rid IS NULL THEN 'no-base'
+o AS (SELECT *, CASE WHEN base IS NULL OR base.rid IS NULL THEN 'no-base'
    WHEN id % 5 = 3 THEN 'unchecked' WHEN id % 5 = 0 THEN 'changed'
-   WHEN id % 5 = 1 THEN CASE WHEN b.day = id % 7 THEN 'resolved' ELSE 'changed' END
-   WHEN substr(b.m, 1, 16) = substr(m, 1, 16) THEN 'resolved' ELSE 'changed' END AS outcome FROM b)
-SELECT 'v' || id AS record_id, url_key, ts, outcome, CASE WHEN outcome <> 'no-base' THEN b.rid END AS base_id,
+   WHEN id % 5 = 1 THEN CASE WHEN base.day = id % 7 THEN 'resolved' ELSE 'changed' END
+   WHEN substr(base.m, 1, 16) = substr(m, 1, 16) THEN 'resolved' ELSE 'changed' END AS outcome FROM b)
+SELECT 'v' || id AS record_id, url_key, ts, outcome, CASE WHEN outcome <> 'no-base' THEN base.rid END AS base_id,
   CASE WHEN outcome = 'resolved' THEN 200 END AS status,
   CASE WHEN outcome = 'resolved' THEN 'cache-control: max-age=120' || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || ts || chr(10)
-    || 'etag: ' || CASE WHEN id % 5 = 2 THEN 'W/' ELSE '' END || '"' || substr(b.m, 1, 16) || '"' || chr(10) || 'last-modified: day ' || b.day END AS headers,
-  CASE WHEN outcome = 'resolved' THEN 'md5:' || b.m END AS digest
+    || 'etag: ' || CASE WHEN id % 5 = 2 THEN 'W/' ELSE '' END || '"' || substr(base.m, 1, 16) || '"' || chr(10) || 'last-modified: day ' || base.day END AS headers,
+  CASE WHEN outcome = 'resolved' THEN 'md5:' || base.m END AS digest
 FROM o
 """

@@ -11,6 +11,7 @@ from leafloom.llm import ann, chat, mixing, packing, quality, registry, warc
 from leafloom.llm.tokens import load, tokenizer_path
 
 
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_against_sql(spark, sf, name):
     con = duckdb.connect()
