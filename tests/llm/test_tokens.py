@@ -45,8 +45,12 @@ def test_wavelet_matrix_round_trip():
     rnd = np.random.default_rng(3)
     for n in (0, 1, 63, 64, 512, 513, 5000):
         ids = (rnd.zipf(1.3, n) % 50257).astype(np.uint16)
-        wm, docs, sizes = T.load_shard(T.dump_shard(ids, [5, None], [n, 0]))
-        assert (wm.decode() == ids).all() and docs == [5, None] and sizes.tolist() == [n, 0]
+        ends = sorted({n // 2, n - 1}) if n else []
+        ids[ends] = T.END
+        wm, docs, among = T.load_shard(T.dump_shard(ids, [5, None][: len(ends)], ends))
+        assert docs == [5, None][: len(ends)] and wm.select_all(T.END, among).tolist() == ends
+        whole = T.load_shard(T.dump_shard(ids, [5, None][: len(ends)], ends))[0]
+        assert (whole.decode() == ids).all() and whole.select_all(T.END, among).tolist() == ends
         count = Counter(ids.tolist())
         for t in list(count)[:8]:
             assert wm.count(t) == count[t]
@@ -55,7 +59,7 @@ def test_wavelet_matrix_round_trip():
             assert wm.access(i) == ids[i] and wm.rank(int(ids[i]), i) == (ids[:i] == ids[i]).sum()
         assert wm.count(50300) == 0
     with pytest.raises(ValueError):
-        T.load_shard(b"XXXX" + T.dump_shard(ids, [1], [n])[4:])
+        T.load_shard(b"XXXX" + T.dump_shard(ids, [1], [n - 1])[4:])
 
 
 def check_index(rows, texts_by_order, tok):
@@ -86,3 +90,19 @@ def test_nulls_ties_and_small_shards(spark, tok):
 
 def test_empty_table(spark):
     assert T.read_token_index(T.write_token_shards(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
+
+
+def test_lookup_inflates_few_frames():
+    ids = np.tile(np.arange(1, 1000, dtype=np.uint16), 200)
+    ids[-1] = T.END
+    wm, _, among = T.load_shard(T.dump_shard(ids, [1], [len(ids) - 1]))
+    assert wm.select_all(T.END, among).tolist() == [len(ids) - 1] and wm.access(77_777) == ids[77_777] and wm.select(5, 100) == 100 * 999 + 4
+    known = sum(len(p.known) for p in wm.planes)
+    assert known < sum(len(p.frames) for p in wm.planes) / 2
+
+
+def test_very_long_text_and_clashing_columns(spark, tok):
+    text = "lorem ipsum dolor " * 120_000
+    df = spark.createDataFrame([(1, text, 5, b"x"), (2, "a", 6, b"y")], "doc_id long, text string, n_tokens int, payload binary")
+    rows = sorted(T.read_token_index(T.write_token_shards(df)).collect(), key=lambda r: r.doc_id)
+    check_index(rows, [text, "a"], tok)
