@@ -11,13 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, table
+from .common import materialize, prepare, table
 
 LEVELS = ("domain", "lang", "source")
 #: Production parameters of the query: weights not named are 1.
 DOMAIN_WEIGHTS = {"domain0": 4, "domain1": 3, "domain2": 2, "domain3": 1}
 LANG_WEIGHTS = {"en": 5, "fr": 2, "de": 2, "es": 1}
 BUDGET_PERCENT, EPOCHS, SEED = 50, 2, "mix-1"
+#: Leaves whose budgets are broadcast; of more leaves the hot ones are dealt out by SALTS.
+BROADCAST_LEAVES, SALTS = 100_000, 64
 #: Hex digits of the order key that cut a leaf's epoch into parts; prefix sums go over parts first, then within each.
 PART_DIGITS = 3
 
@@ -68,27 +70,37 @@ def leaf_budgets(leaves: DataFrame, weights: dict[str, dict[str, int]], percent:
     return leaves.join(root.withColumnRenamed("parent_budget", "budget"), list(LEVELS))
 
 
+def _with_leaf(rows: DataFrame, passes: DataFrame, levels: list[str], leaves: int) -> DataFrame:
+    """rows with the passes of their leaf. A leaf may hold a third of all rows, so its rows are never sent to one task."""
+    if leaves <= BROADCAST_LEAVES:
+        return rows.join(F.broadcast(passes), levels)
+    salted = passes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = F.pmod(F.xxhash64("doc_id", "text_md5"), F.lit(SALTS)).cast("int")
+    return rows.withColumn("_salt", own).join(salted, [*levels, "_salt"]).drop("_salt")
+
+
 def mix(docs: DataFrame, weights: dict[str, dict[str, int]] | None = None, percent: int = BUDGET_PERCENT, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
     """(doc_id, text_md5, LEVELS, epoch, n_tokens, prefix_tokens): the documents kept, once for each epoch that takes them.
 
     Tokens are words between ASCII white space. Null text is empty; a document without tokens goes along where its leaf takes
     any, and a leaf without tokens takes none. Null lang or source is ''. Repeated rows are documents of their own. Order keys
-    that tie go by text. An empty table gives none.
+    that tie go by text. Texts of any length are counted whole; columns of docs other than doc_id, text, lang and source are
+    not used, whatever their names. An empty table gives none.
     """
     prepare(docs.sparkSession)
     weights = {"domain": DOMAIN_WEIGHTS, "lang": LANG_WEIGHTS} if weights is None else weights
     source = F.coalesce(F.col("source"), F.lit(""))
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(
+    rows = materialize(docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.md5(text).alias("text_md5"), domain_of(source).alias("domain"), F.coalesce("lang", F.lit("")).alias("lang"), source.alias("source"), word_tokens(text).alias("n_tokens")
-    )
+    ), "mix-rows")  # texts are read and counted once
     levels = list(LEVELS)
-    leaves = leaf_budgets(rows.groupBy(*levels).agg(F.sum("n_tokens").alias("tokens")), weights, percent, epochs)
+    leaves = materialize(leaf_budgets(rows.groupBy(*levels).agg(F.sum("n_tokens").alias("tokens")), weights, percent, epochs), "mix-leaves")
     passes = leaves.select(*levels, "tokens", "budget", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"))
     room = F.greatest(F.lit(0), F.least(F.col("tokens"), F.col("budget") - F.col("epoch") * F.col("tokens")))
     passes = passes.select(*levels, "epoch", room.alias("room")).where("room > 0")
     key = F.md5(F.concat_ws("|", F.lit(seed), F.col("epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_md5")))
-    dealt = rows.join(passes, levels).withColumn("key", key).withColumn("part", F.substring("key", 1, PART_DIGITS))
+    dealt = _with_leaf(rows, passes, levels, leaves.count()).withColumn("key", key).withColumn("part", F.substring("key", 1, PART_DIGITS))
     leaf = [*levels, "epoch"]
     parts = dealt.groupBy(*leaf, "part").agg(F.sum("n_tokens").alias("n"))
     parts = parts.select(*leaf, "part", (F.sum("n").over(Window.partitionBy(*leaf).orderBy("part")) - F.col("n")).alias("before"))
