@@ -1,7 +1,8 @@
 """Connected components over an edge table by alternating large-star and small-star steps.
 
-Every step groups with a minimum (combined before the shuffle) and joins that minimum back, so a hub costs a
-skewed join that adaptive execution splits, never a group held in one task. Each round is written to the shared folder.
+Every step groups with a minimum (combined before the shuffle) and joins that minimum back. Edges of hubs get theirs from a
+broadcast table instead, so no hub's edges meet in one task: hubs have more than HUB edges, and more than one in HUBS of all
+edge ends, which is why there are never more than HUBS of them. Each round is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import drop_materialized, materialize
 
+HUB, HUBS = 64, 20_000
+
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """edges: two long columns. Returns (node, component): every node that has an edge, and the smallest node it reaches.
@@ -24,7 +27,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     for _ in range(max_rounds):
         if state[0] == 0:
             break
-        nxt = materialize(_small_star(_large_star(now)), "cc-round")
+        nxt = materialize(_small_star(_large_star(now, state[0]), state[0]), "cc-round")
         nxt_state = _state(nxt)
         drop_materialized(now)
         now, done, state = nxt, nxt_state == state, nxt_state
@@ -41,14 +44,25 @@ def _state(e: DataFrame) -> tuple:
     return (row[0], row[1])
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _with_least(e: DataFrame, least: DataFrame, edges: int) -> DataFrame:
+    """e (u, w) with m of least (u, m, n), n being the number of edges of u."""
+    hub = F.col("n") > max(HUB, 2 * edges // HUBS)
+    # at most HUBS rows of two numbers: safe to broadcast
+    known = e.join(F.broadcast(least.where(hub).select("u", F.col("m").alias("_hub_m"))), "u", "left")
+    # edges of hubs have their minimum already: they spread by their other end and meet nothing
+    keyed = known.withColumns({"_hub": F.col("_hub_m").isNotNull(), "_key": F.when(F.col("_hub_m").isNull(), F.col("u")).otherwise(F.col("w"))})
+    rest = least.where(~hub).select(F.lit(False).alias("_hub"), F.col("u").alias("_key"), F.col("m").alias("_m"))
+    return keyed.join(rest, ["_hub", "_key"], "left").select("u", "w", F.coalesce("_hub_m", "_m").alias("m"))
+
+
+def _large_star(e: DataFrame, edges: int) -> DataFrame:
     both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    out = e.select(F.col("v").alias("u"), F.col("u").alias("w")).join(least, "u").select(F.col("w").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    out = _with_least(e.select(F.col("v").alias("u"), F.col("u").alias("w")), least, edges).select(F.col("w").alias("u"), F.col("m").alias("v"))
     return out.where("u > v")
 
 
-def _small_star(e: DataFrame) -> DataFrame:
-    least = e.groupBy("u").agg(F.min("v").alias("m"))
-    down = e.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+def _small_star(e: DataFrame, edges: int) -> DataFrame:
+    least = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    down = _with_least(e.select("u", F.col("v").alias("w")), least, edges).where("w <> m").select(F.col("w").alias("u"), F.col("m").alias("v"))
     return down.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
