@@ -14,7 +14,8 @@ it too and travel as one run. Round by round only buckets with more than one mem
    windows, aligned to the q-gram, which meet by the identifier of the string that all windows of the cell hold;
 4. only cells that still differ within a shared bucket open into single windows.
 
-Identifiers are 64-bit hashes compared within a q-gram bucket that is itself 64 bits.
+Identifiers are 64-bit hashes compared within a q-gram bucket that is itself 64 bits, in every round: windows that meet by chance
+would have to share a q-gram and then a 64-bit identifier.
 """
 
 from __future__ import annotations
@@ -23,12 +24,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructType
 
 from .common import drop_materialized, materialize, prepare, release, table
 
 WIDTH = 200
-#: Bytes handled as one numpy array; longer texts get an array of their own. Positions inside must fit 20 bits.
-CHUNK = 64_000
+#: Bytes handled as one numpy array; longer texts get an array of their own, ranked in parts whose positions fit PLACE_BITS.
+CHUNK, PLACE_BITS = 64_000, 20
+#: Windows opened before their rows go on.
+OPEN_WINDOWS = 500_000
 
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _LETTERS = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -77,10 +81,13 @@ def windows_of(x: np.ndarray, width: int) -> dict[str, np.ndarray] | None:
     if len(x) < width:
         return None
     grams, half, whole = identifiers(x, (q, width // 2, width))
-    place_bits = np.uint64(max(20, int(len(x)).bit_length()))
-    low = (np.uint64(1) << place_bits) - np.uint64(1)
-    key = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
-    at = (_sliding_min(key, width - q + 1) & low).astype(np.int64)
+    low, n, parts = np.uint64((1 << PLACE_BITS) - 1), len(x) - width + 1, []
+    step = (1 << PLACE_BITS) - width
+    for a in range(0, n, step):  # the same bits rank q-grams in texts of any length
+        part = grams[a : a + step + width - q]
+        key = (part & ~low) | np.arange(len(part), dtype=np.uint64)
+        parts.append((_sliding_min(key, width - q + 1) & low).astype(np.int64) + a)
+    at = np.concatenate(parts)
     return {"at": at, "grams": grams, "half": half, "whole": whole}
 
 
@@ -186,31 +193,40 @@ def _cell_batches(width: int):
     return run
 
 
+def settled_rows(batch, parts) -> pa.RecordBatch:
+    """Opened windows of a batch as rows; those met twice among them are settled here."""
+    wid, gram, row, start, weight = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((gram, wid))
+    wid, gram, row, start, weight = wid[order], gram[order], row[order], start[order], weight[order]
+    new = np.append(True, (wid[1:] != wid[:-1]) | (gram[1:] != gram[:-1]))
+    total = np.bincount(np.cumsum(new) - 1, weights=weight)[np.cumsum(new) - 1]
+    # one row for each identifier goes on to meet those of other batches; the rest are settled or known
+    alone, lead, settled = total < 2, new & (total >= 2), (total >= 2) & (weight == 1)
+    out = np.concatenate([wid[alone], wid[lead], _mix(wid[settled], (row[settled] * 7919 + start[settled]).astype(np.uint64))])
+    grams = np.concatenate([gram[alone], gram[lead], gram[settled]])
+    kind = np.repeat(np.array([1, 2, 3], np.int32), [alone.sum(), lead.sum(), settled.sum()])
+    take = pa.array(np.concatenate([row[alone], row[lead], row[settled]]))
+    first = np.concatenate([start[alone], start[lead], start[settled]])
+    return pa.record_batch([pa.array(grams.view(np.int64)), pa.array(out.view(np.int64)), pa.array(kind), batch.column(0).take(take), batch.column(1).take(take), pa.array(first)], names=["bucket", "wid", "weight", "id", "th", "start"])
+
+
 def _open_batches(width: int):
-    """Opens the listed cells into windows; windows met twice in this batch are settled here."""
+    """Opens the listed cells into windows."""
 
     def run(batches):
         for batch in batches:
-            parts = []
+            parts, many = [], 0
             for r, k, lo, hi, weight in _asked(batch, width):
                 each, step = _spread(hi - lo + 1)
                 s, p = lo[each] + step, r.p[k][each]
                 wid = _mix(_mix(r.whole[s], r.grams[p]), (p - s).astype(np.uint64))
-                parts.append((wid, r.rows[r.owner[k]][each], s - r.begin[k][each], weight[each]))
-            if not parts:
-                continue
-            wid, row, start, weight = (np.concatenate(x) for x in zip(*parts))
-            order = np.argsort(wid, kind="stable")
-            wid, row, start, weight = wid[order], row[order], start[order], weight[order]
-            new = np.append(True, wid[1:] != wid[:-1])
-            total = np.bincount(np.cumsum(new) - 1, weights=weight)[np.cumsum(new) - 1]
-            # one row for each identifier goes on to meet those of other batches; the rest are settled or known
-            alone, lead, settled = total < 2, new & (total >= 2), (total >= 2) & (weight == 1)
-            out = np.concatenate([wid[alone], wid[lead], _mix(wid[settled], (row[settled] * 7919 + start[settled]).astype(np.uint64))])
-            kind = np.repeat(np.array([1, 2, 3], np.int32), [alone.sum(), lead.sum(), settled.sum()])
-            take = pa.array(np.concatenate([row[alone], row[lead], row[settled]]))
-            first = np.concatenate([start[alone], start[lead], start[settled]])
-            yield pa.record_batch([pa.array(out.view(np.int64)), pa.array(kind), batch.column(0).take(take), batch.column(1).take(take), pa.array(first)], names=["wid", "weight", "id", "th", "start"])
+                parts.append((wid, r.grams[p], r.rows[r.owner[k]][each], s - r.begin[k][each], weight[each]))
+                many += len(s)
+                if many >= OPEN_WINDOWS:
+                    yield settled_rows(batch, parts)
+                    parts, many = [], 0
+            if parts:
+                yield settled_rows(batch, parts)
 
     return run
 
@@ -283,13 +299,12 @@ def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Returns docs' columns (but the text) and kept (the remaining bytes; with as_text a string, without characters that a cut
     went through), removed_from and removed_to (arrays: maximal removed byte ranges), n_bytes. Null text is empty; repeated rows are documents of their own, so their long strings all go; ids may
-    be null or repeat; an empty table stays empty. Columns of docs that clash with the four new ones are replaced.
+    be null or repeat; texts may be of any length; an empty table stays empty. Columns of docs that clash with the four new ones are replaced.
     """
     spark = prepare(docs.sparkSession)
     docs = docs.drop("kept", "removed_from", "removed_to", "n_bytes")
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = [F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_sa_id"), F.xxhash64(text).alias("_sa_th"), text.alias("_text")]
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def reopened(known: DataFrame) -> DataFrame:
         ask = F.shiftleft("run", 1).bitwiseOR(F.col("same").cast("long"))
@@ -298,22 +313,21 @@ def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     runs = _meet(materialize(docs.select(*key).mapInArrow(_runs_batches(width), _ROWS), "sa-runs"), "sa-runs")
     cells = _meet(materialize(reopened(runs).mapInArrow(_cell_batches(width), _ROWS), "sa-cells"), "sa-cells")
-    windows = materialize(reopened(cells).mapInArrow(_open_batches(width), "wid long, weight int, id long, th long, start long"), "sa-windows")
+    windows = materialize(reopened(cells).mapInArrow(_open_batches(width), "bucket long, wid long, weight int, id long, th long, start long"), "sa-windows")
     release(spark)
-    met = windows.groupBy("wid").agg(F.sum("weight").alias("_t")).where("_t > 1").select("wid")
+    met = windows.where("weight < 3").groupBy("bucket", "wid").agg(F.sum("weight").alias("_t")).where("_t > 1").select("bucket", "wid")
     met = materialize(met, "sa-met")
-    hits = windows.where("weight = 1").join(met, "wid").select("id", "th", "start").unionAll(windows.where("weight = 3").select("id", "th", "start"))
+    hits = windows.where("weight = 1").join(met, ["bucket", "wid"]).select("id", "th", "start").unionAll(windows.where("weight = 3").select("id", "th", "start"))
 
     nothing = F.lit(None).cast("long")
     whole = runs.where("same").unionAll(cells.where("same"))
     marks = whole.select("id", "th", "run", nothing.alias("start")).unionAll(hits.select("id", "th", nothing.alias("run"), "start"))
     marks = marks.groupBy(F.col("id").alias("_sa_id"), F.col("th").alias("_sa_th")).agg(F.collect_set("run").alias("_runs"), F.collect_set("start").alias("_starts"))
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
-    joined = docs.select(*key, *rest).repartition(parts, "_sa_id", "_sa_th").join(marks, ["_sa_id", "_sa_th"], "left")
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in docs.columns if c != text_col)
-    return joined.select("_text", "_runs", "_starts", *rest).mapInArrow(
-        _apply_batches(width, as_text), f"{schema}, kept {'string' if as_text else 'binary'}, removed_from array<bigint>, removed_to array<bigint>, n_bytes bigint"
-    )
+    joined = docs.select(*key, *rest).join(marks, ["_sa_id", "_sa_th"], "left")
+    schema = StructType([f for f in docs.schema if f.name != text_col])
+    schema = schema.add("kept", "string" if as_text else "binary").add("removed_from", ArrayType(LongType())).add("removed_to", ArrayType(LongType())).add("n_bytes", LongType())
+    return joined.select("_text", "_runs", "_starts", *rest).mapInArrow(_apply_batches(width, as_text), schema)
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
