@@ -97,7 +97,8 @@ def nearest_neighbours(df: DataFrame, is_query, id_col: str = "vec_id", vector:
 
     Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows without an id; vectors
     of another length than the query's are no candidates. Repeated rows of an id are one vector. Equal distances go by the
-    smaller id. With fewer candidates than `nearest`, all are returned; an empty table gives none.
+    smaller id. With fewer candidates than `nearest`, all are returned; an empty table gives none. Other columns are not used,
+    whatever their names. share=1 reranks every vector and is exact.
     """
     prepare(df.sparkSession)
     every = one_per_id(df.select(id_col, vector), id_col, vector)
@@ -119,12 +120,12 @@ def nearest_neighbours(df: DataFrame, is_query, id_col: str = "vec_id", vector:
 
     def search(batches):
         for b in batches:
-            for r in b.to_pylist():
-                dim = r["dim"]
-                ids, x = np.array(r["ids"]), np.array(r["values"]).reshape(-1, dim)
-                q = np.array(r["q_values"]).reshape(-1, dim)
-                perm = permutations(q, chosen[dim], prefix)
-                got = search_shard(ids, np.array(r["many"]), x, np.array(r["begin"]), np.array(r["row"]), np.array(r["place"]), q, np.array(r["q_ids"]), perm, nearest, share)
+            flat = {n: b.column(n) for n in b.schema.names}
+            for k in range(b.num_rows):
+                dim = flat["dim"][k].as_py()
+                ids, many, values, begin, row, place, q_ids, q_values = (flat[n].slice(k, 1).flatten().to_numpy() for n in b.schema.names[1:])
+                q = q_values.reshape(-1, dim)
+                got = search_shard(ids, many, values.reshape(-1, dim), begin, row, place, q, q_ids, permutations(q, chosen[dim], prefix), nearest, share)
                 a, c, d = (np.concatenate(y) for y in zip(*got))
                 yield pa.record_batch([pa.array(a), pa.array(c), pa.array(d)], names=["query_id", "vec_id", "score"])
 
