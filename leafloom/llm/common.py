@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,10 +16,18 @@ _ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package where they run beside the driver's checkout."""
-    env = spark.sparkContext.environment
+    """Bounds Arrow batches, and lets Python workers import this package: from the driver's checkout where it is there, else as shipped."""
+    context = spark.sparkContext
+    env = context.environment
     if _ROOT not in env.get("PYTHONPATH", ""):
         env["PYTHONPATH"] = ":".join(x for x in (_ROOT, env.get("PYTHONPATH", "")) if x)
+    if not context.master.startswith("local") and not getattr(context, "_leafloom_shipped", False):
+        name = f"{tempfile.mkdtemp()}/leafloom.zip"  # the driver serves it to the executors
+        with zipfile.ZipFile(name, "w") as z:
+            for f in sorted(Path(_ROOT, "leafloom").rglob("*.py")):
+                z.write(f, str(f.relative_to(_ROOT)))
+        context.addPyFile(name)
+        context._leafloom_shipped = True
     for name, value in ARROW.items():
         spark.conf.set(name, value)
     return spark
@@ -29,9 +38,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: `spark.checkpoint.dir`. Only where all runs on one machine may it be unset (tests)."""
     kept = spark.conf.get("spark.checkpoint.dir", None)
     if not kept:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         kept = tempfile.mkdtemp(prefix="leafloom-")
         spark.conf.set("spark.checkpoint.dir", kept)
     return kept.rstrip("/")

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import prepare, table
 
@@ -190,7 +191,8 @@ def fit_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Additive
 def score_documents(docs: DataFrame, model: Additive, text_col: str = "text", keep_from: float | None = None, columns: list[str] | None = None) -> DataFrame:
     """docs (or the named columns of it) with column quality_score (0 to 1). With keep_from, only rows that reach it.
 
-    Null text is empty and has a score too; repeated rows and null ids are scored like any; an empty table stays empty.
+    Null text is empty and has a score too; repeated rows and null ids are scored like any; texts may be of any length; an empty
+    table stays empty. A column of docs named quality_score is replaced.
     """
     prepare(docs.sparkSession)
     docs = docs.drop("quality_score")
@@ -203,8 +205,7 @@ def score_documents(docs: DataFrame, model: Additive, text_col: str = "text", ke
             out = pa.record_batch([*(b.column(c) for c in names), pa.array(s)], names=[*names, "quality_score"])
             yield out if keep_from is None else out.filter(pa.array(s >= keep_from))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names)
-    return docs.mapInArrow(run, f"{schema}, quality_score double")
+    return docs.mapInArrow(run, StructType([f for f in docs.schema if f.name in names]).add("quality_score", "double"))
 
 
 def op8_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,15 @@
-"""Near-duplicate texts by an exact join of their sets of word shingles.
+"""Near-duplicate texts: SimHash groups by the trie self-join, then an exact join of sets of word shingles for what they leave apart.
+
+Every text has a SimHash fingerprint of its shingles; the binary trie of fingerprints is joined with itself (simhash.py) and the links found
+are verified. At the similarity asked for most alike texts differ in more bits than a trie join can afford (some 10 of 64), so
+what the fingerprints leave apart is completed exactly.
 
 Two texts are near copies where the Jaccard similarity of their shingle sets is ALIKE[0] / ALIKE[1] or more. In any one order of all
 shingles such sets share a shingle among the first n - ceil(0.8 n) + 1 of each, so only texts that meet under such a shingle are
 compared: by counts of shingles in BUCKETS parts, whose differences add up to no more than the sets differ in, and what that leaves by
 the shared shingles themselves. The order puts shingles that a sample shows to be common last; it decides
-the cost, never the result. First every text is compared with a window of those it meets, then all that meet and are
-not in one component yet, so a dense group costs no square of its size.
+the cost, never the result. Texts that are in one component already are not compared: first every text meets a window of others, then
+all others, so a dense group costs no square of its size.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import drop_materialized, materialize, prepare
 from .components import connected_components
+from .simhash import near_links
 
 WORDS, SEED = 5, 42
 ALIKE = (4, 5)
@@ -42,6 +47,14 @@ def shingles(text: bytes | None, words: int = WORDS) -> np.ndarray:
     return np.unique(np.array(hashes, dtype=np.uint64).view(np.int64))
 
 
+def simhash(have: np.ndarray) -> int:
+    """Signed 64-bit SimHash of a set of shingles: a bit is 1 where it is set in over half of them."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(have), 50_000):
+        counts += np.unpackbits(have[at : at + 50_000].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits((2 * counts > len(have)).astype(np.uint8), bitorder="little").view(np.int64)[0])
+
+
 def prefix(have: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """The shingles under which a set is filed. common: ascending hashes, the rarer of them lower in rank."""
     n = len(have)
@@ -73,7 +86,8 @@ def _measured(common: np.ndarray, rank: np.ndarray):
             files = _arrays([prefix(h, common, rank) for h in have])
             counts = [np.minimum(np.bincount(h & (BUCKETS - 1), minlength=BUCKETS), 255).astype(np.uint8).tobytes() for h in have]
             sizes = pa.array(np.fromiter(map(len, have), np.int64, len(have)))
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(s), sizes, files, pa.array(counts, pa.binary())], names=["id", "th", "s", "n", "files", "counts"])
+            prints = pa.array([simhash(h) for h in have], pa.int64())
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(s), sizes, files, pa.array(counts, pa.binary()), prints], names=["id", "th", "s", "n", "files", "counts", "fp"])
 
     return run
 
@@ -102,23 +116,23 @@ def _out(a: np.ndarray, b: np.ndarray, full: np.ndarray) -> pa.RecordBatch:
 
 
 def _window_pairs(window: int):
-    """Over rows (x, s, n) sorted by x: pairs at most `window` apart, and each x that has rows further apart than that."""
+    """Over rows (x, s, n, component) sorted by x: pairs of two components at most `window` apart, and each x that has rows further apart than that."""
 
     def run(batches):
-        tail = [np.zeros(0, np.int64)] * 3
+        tail = [np.zeros(0, np.int64)] * 4
         for b in batches:
             before = len(tail[0])
-            x, s, n = (np.concatenate([t, b.column(k).to_numpy()]) for k, t in enumerate(tail))
+            x, s, n, c0 = (np.concatenate([t, b.column(k).to_numpy()]) for k, t in enumerate(tail))
             a, c = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for d in range(1, window + 1):
                 i = np.flatnonzero(x[d:] == x[:-d])
                 i = i[i + d >= before]
-                i = i[_near_size(n[i], n[i + d])]
+                i = i[_near_size(n[i], n[i + d]) & (c0[i] != c0[i + d])]
                 a.append(s[i])
                 c.append(s[i + d])
             far = x[window + 1 :][x[window + 1 :] == x[: -window - 1]]
             yield _out(np.concatenate(a), np.concatenate(c), np.unique(far))
-            tail = [v[-window - 1 :] for v in (x, s, n)]
+            tail = [v[-window - 1 :] for v in (x, s, n, c0)]
 
     return run
 
@@ -185,24 +199,41 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame
     return links
 
 
+def _simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes that tie together what fingerprints within the trie join's budget do, of sizes that can be alike."""
+    own = materialize(nodes.where("n > 0").groupBy("fp").agg(F.min(F.struct("s", "n")).alias("lead")), "shingle-prints")
+    lead = own.select("fp", F.col("lead.s").alias("b"), F.col("lead.n").alias("nb"))
+    same = nodes.where("n > 0").select("fp", F.col("s").alias("a"), F.col("n").alias("na")).join(lead, "fp").where("a <> b")
+    near = near_links(own.select("fp"), own.count()).join(lead.select(F.col("fp").alias("a_fp"), F.col("b").alias("s"), F.col("nb").alias("na")), F.col("a") == F.col("a_fp"))
+    near = near.select("s", "na", F.col("b").alias("b_fp")).join(lead.withColumnRenamed("fp", "b_fp"), "b_fp").select(F.col("s").alias("a"), "b", "na", "nb")
+    pairs = same.select("a", "b", "na", "nb").unionAll(near).where(ALIKE[1] * F.least("na", "nb") >= ALIKE[0] * F.greatest("na", "nb"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """(id, th, component) for each row of docs: alike texts are linked, components take all that is reachable.
 
-    Texts without words are alike. An empty table gives an empty table.
+    Texts without words are alike. Null texts are empty, repeated rows are alike, ids may be null, texts may be of any length. An empty table gives an empty table.
     """
     prepare(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("t"))
-    marked = materialize(texts.mapInArrow(_measured(*_common(texts)), "id long, th long, s long, n long, files array<long>, counts binary"), "shingle-marked")
-    nodes = materialize(marked.dropDuplicates(["s"]).select("s", "th", "n", "files", "counts"), "shingle-nodes")
-    filed = nodes.select(F.explode("files").alias("x"), "s", "n")
-    by_x = filed.repartition("x").sortWithinPartitions("x", F.xxhash64("x", "s")).select("x", "s", "n")
+    marked = materialize(texts.mapInArrow(_measured(*_common(texts)), "id long, th long, s long, n long, files array<long>, counts binary, fp long"), "shingle-marked")
+    nodes = materialize(marked.dropDuplicates(["s"]).select("s", "th", "n", "files", "counts", "fp"), "shingle-nodes")
+    links = _verified(_simhash_pairs(nodes), nodes, texts)
+    found = materialize(connected_components(links), "shingle-components")
+
+    def filed() -> DataFrame:
+        own = nodes.join(found.withColumnRenamed("node", "s"), "s", "left")
+        return own.select(F.explode("files").alias("x"), "s", "n", F.coalesce("component", "s").alias("c"))
+
+    by_x = filed().repartition("x").sortWithinPartitions("x", F.xxhash64("x", "s")).select("x", "s", "n", "c")
     met = materialize(by_x.mapInArrow(_window_pairs(window), _PAIRS).distinct(), "shingle-met")
     tried = met.where("pair").select("a", "b")
-    links = _verified(tried, nodes, texts)
+    links = links.unionAll(_verified(tried, nodes, texts))
     found = materialize(connected_components(links), "shingle-components")
     full = met.where(~F.col("pair")).select(F.col("a").alias("x"))
-    rest = filed.join(full, "x", "left_semi").join(found.withColumnRenamed("node", "s"), "s", "left").select("x", "s", "n", F.coalesce("component", "s").alias("c"))
+    rest = filed().join(full, "x", "left_semi").select("x", "s", "n", "c")
     more = rest.repartition("x").sortWithinPartitions("x").mapInArrow(_all_pairs, _PAIRS).select("a", "b").distinct()
     more = materialize(more.join(tried, ["a", "b"], "left_anti"), "shingle-more")
     if not more.isEmpty():
