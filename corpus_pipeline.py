@@ -7,7 +7,7 @@ them, and an empty table gives an empty result; columns beside those of document
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafloom.llm.common import materialize, prepare, table
@@ -21,23 +21,30 @@ from leafloom.llm.suffix_dedup import suffix_array_dedup
 MIX_PERCENT, MIX_EPOCHS, MIX_SEED = 80, 1, "pipeline-1"
 
 
+def _apart(docs: DataFrame) -> DataFrame:
+    """(_row, doc_id, text): the columns of docs but the text wait in a struct, where no operator's own columns can clash with them."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_row"), "doc_id", "text")
+
+
+def _back(out: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
+    return out.select(*[new.get(c, F.col("_row").getField(c)).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality model scores at the threshold or above."""
     prepare(spark)
     model = fit_on(docs, table(spark, sf_dir, "labels"))
-    return score_documents(docs, model, keep_from=THRESHOLD).select(docs.columns)
+    return _back(score_documents(_apart(docs), model, keep_from=THRESHOLD), docs, text=F.col("text"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links of five-word Jaccard similarity 0.8 or more hold together."""
+    """One document of each group that links of five-word Jaccard similarity 0.8 or more hold together: SimHash groups first, the rest exactly."""
     return keep_one_alike(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the long byte strings that occur elsewhere too; a document that is left empty stays as an empty one."""
-    out = suffix_array_dedup(docs, as_text=True)
-    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
-    return out.select(*[new[c].alias(c) if new.get(c) is not None else F.col(f"`{c}`") for c in docs.columns])
+    return _back(suffix_array_dedup(_apart(docs), as_text=True), docs, text=F.col("kept"), n_chars=F.length("kept"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +61,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs)
 
 
-STAGES = [("quality classifier", quality), ("near-dedup", near_duplicates), ("suffix-array dedup", repeats), ("mixing to target weights", mixing), ("packing", packing)]
+STAGES = [("quality classifier", quality), ("SimHash near-dedup", near_duplicates), ("suffix-array dedup", repeats), ("mixing to target weights", mixing), ("packing", packing)]
 
 #: Tokenizing and fingerprinting are beyond SQL; tests/llm/test_pipeline.py holds every stage against a plain version.
 ORACLE_SQL = None
