@@ -162,14 +162,20 @@ def build_tree(text: str | None, summarise: Summariser = extractive) -> Node:
 
 NODE_SCHEMA = (
     "node_id string, parent string, depth int, doc_pos int, child_pos int, is_leaf boolean, text string, words int, span_start int, span_end int, "
-    "importance double, atomic boolean, title string, short_title string, hook string, key_points array<string>, cites array<string>, children array<string>"
+    "importance double, atomic boolean, title string, short_title string, hook string, key_points array<string>, cites array<string>, children array<string>, ancestors array<string>"
 )
 
 
+NODE_FIELDS = [c.split()[0] for c in NODE_SCHEMA.split(", ")]
+
+
 def rows_of(root: Node) -> list[tuple]:
     place = {c.id: k for n in root.walk() for k, c in enumerate(n.children)}
+    above = {root.id: []}
+    for n in root.walk():
+        above.update((c.id, [n.id, *above[n.id]]) for c in n.children)
     return [
-        (n.id, n.parent.id if n.parent else None, n.depth, k, place.get(n.id, 0), n.is_leaf, n.text, n.words, *n.span, n.importance, n.atomic, n.title, n.short_title, n.hook, n.key_points, n.cites, [c.id for c in n.children])
+        (n.id, n.parent.id if n.parent else None, n.depth, k, place.get(n.id, 0), n.is_leaf, n.text, n.words, *n.span, n.importance, n.atomic, n.title, n.short_title, n.hook, n.key_points, n.cites, [c.id for c in n.children], above[n.id])
         for k, n in enumerate(root.walk())
     ]
 
@@ -177,7 +183,7 @@ def rows_of(root: Node) -> list[tuple]:
 def build_trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", summarise: Summariser = extractive) -> DataFrame:
     """(tree_id, NODE_SCHEMA): a row for each node; doc_pos is its place in document order, parents before children."""
 
-    names = ["tree_id", *(c.split()[0] for c in NODE_SCHEMA.split(", "))]
+    names = ["tree_id", *NODE_FIELDS]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -210,18 +216,21 @@ def level_aggregate(groups: DataFrame, doc: str = "doc_id", pos: str = "leaf_no"
     )
 
 
-def closure(nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(tree_id, ancestor, node_id, distance), each node its own ancestor at 0. Depth is bounded, so is the number of joins."""
-    spark = nodes.sparkSession
-    name = f"nodes_{id(nodes):x}"
-    nodes.select("tree_id", "node_id", "parent").createOrReplaceTempView(name)
-    return spark.sql(f"""
-        WITH RECURSIVE up(tree_id, node_id, ancestor, distance) AS (
-          SELECT tree_id, node_id, node_id, 0 FROM {name}
-          UNION ALL
-          SELECT u.tree_id, u.node_id, n.parent, u.distance + 1 FROM up u JOIN {name} n ON u.tree_id = n.tree_id AND u.ancestor = n.node_id
-          WHERE n.parent IS NOT NULL AND u.distance < {rounds})
-        SELECT tree_id, ancestor, node_id, distance FROM up""")
+def closure(nodes: DataFrame) -> DataFrame:
+    """(tree_id, ancestor, node_id, distance), each node its own ancestor at 0: the ancestors that the build wrote with each node, nearest first."""
+    line = F.concat(F.array("node_id"), F.coalesce("ancestors", F.array().cast("array<string>")))
+    return nodes.select("tree_id", F.posexplode(line).alias("distance", "ancestor"), "node_id").select("tree_id", "ancestor", "node_id", "distance")
+
+
+def with_ancestors(nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """Stored nodes of older trees with column ancestors: one join of parents for each level there is."""
+    up = nodes.select("tree_id", F.col("node_id").alias("_of"), F.col("parent").alias("_up"))
+    now = nodes.drop("ancestors").withColumn("ancestors", F.when(F.col("parent").isNotNull(), F.array("parent")).otherwise(F.array().cast("array<string>")))
+    for _ in range(min(rounds, nodes.agg(F.max("depth")).first()[0] or 0)):
+        last = F.element_at("ancestors", -1)
+        met = now.withColumn("_of", F.when(F.size("ancestors") > 0, last)).join(up, ["tree_id", "_of"], "left")
+        now = met.withColumn("ancestors", F.when(F.col("_up").isNotNull(), F.concat("ancestors", F.array("_up"))).otherwise(F.col("ancestors"))).drop("_of", "_up")
+    return now
 
 
 def sections(nodes: DataFrame) -> DataFrame:

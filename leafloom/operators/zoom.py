@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
+from collections import deque
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,23 +16,30 @@ from leafloom.functions.chunking import word_count
 from leafloom.functions.text import first_clause
 from leafloom.functions.units import word_count as words_of
 
+from .tree import NODE_FIELDS, Summariser, build_tree, extractive, rows_of
+
 PROSE = "~"
 # A step must add this share of the page or this many words, whichever is less.
 GAIN_SHARE, GAIN_WORDS = 0.15, 25
 
 
 class Tree:
-    """One tree's rows, addressed by node id."""
+    """One tree's rows, addressed by node id, parents before children."""
 
-    def __init__(self, rows: pd.DataFrame):
-        r = rows.to_dict("records")
-        self.of = {x["node_id"]: x for x in r}
-        self.kids = {x["node_id"]: [] for x in r}
-        for x in r:
+    def __init__(self, rows: list[dict]):
+        self.of = {x["node_id"]: x for x in rows}
+        self.kids: dict[str, list[str]] = {k: [] for k in self.of}
+        for k, x in self.of.items():
             if x["parent"]:
-                self.kids[x["parent"]].append(x["node_id"])
-        self.root = next(x["node_id"] for x in r if not x["parent"])
+                self.kids[x["parent"]].append(k)
+        self.root = rows[0]["node_id"]
         self.mid = {k: (x["span_start"] + x["span_end"]) / 2 for k, x in self.of.items()}
+        self._words: dict[tuple[str, bool], int] = {}
+
+    @classmethod
+    def of_frame(cls, pdf: pd.DataFrame) -> Tree:
+        pdf = pdf.sort_values("doc_pos").astype(object)
+        return cls(pdf.where(pdf.notna(), None).to_dict("records"))
 
     def above(self, n: str) -> Iterator[str]:
         while n := self.of[n]["parent"]:
@@ -38,34 +48,14 @@ class Tree:
     def inside(self, n: str, scope: str | None) -> bool:
         return scope is None or n == scope or scope in self.above(n)
 
-    def page(self, opened: frozenset) -> tuple[str, ...]:
-        out, todo = [], [self.root]
-        while todo:
-            n = todo.pop()
-            if n in opened:
-                todo += reversed(self.kids[n])
-            else:
-                out.append(n)
-        return tuple(out)
-
-    def applied(self, state: tuple[frozenset, frozenset], token: str) -> tuple[frozenset, frozenset]:
-        n = token.removeprefix(PROSE)
-        opened = state[0] | set(self.above(n))
-        return (opened, state[1] | {n}) if token[0] == PROSE else (opened | {n}, state[1])
-
-    def words(self, state: tuple[frozenset, frozenset], scope: str | None = None) -> int:
-        page = self.page(state[0])
-        if scope is None and page == (self.root,):
-            x = self.of[self.root]
-            return word_count(x["hook"] or x["text"])
-        total = 0
-        for n in page:
-            if self.inside(n, scope):
-                x = self.of[n]
-                points = list(x["key_points"]) or ([x["hook"]] if x["hook"] else [])
-                skim = not x["is_leaf"] and n != self.root and n not in state[1] and points
-                total += word_count(x["title"] or _clause(x["text"])) + sum(map(word_count, points)) if skim else x["words"]
-        return total
+    def shown(self, n: str, prose: bool) -> int:
+        """Words of a node on the page: of its title and points, or of its paragraph."""
+        if (n, prose) not in self._words:
+            x = self.of[n]
+            points = list(x["key_points"]) or ([x["hook"]] if x["hook"] else [])
+            skim = not (prose or x["is_leaf"] or n == self.root) and points
+            self._words[n, prose] = sum(map(word_count, [x["title"] or _clause(x["text"]), *points])) if skim else x["words"]
+        return self._words[n, prose]
 
 
 def _clause(text: str) -> str:
@@ -73,63 +63,124 @@ def _clause(text: str) -> str:
     return text[: min(cut, 80)].strip() or text.strip()
 
 
+class Page:
+    """What the dial shows, kept up to date token by token: nodes on the page, which of them as prose, and words in scope."""
+
+    def __init__(self, tree: Tree, scope: str | None = None):
+        self.tree, self.scope = tree, scope
+        self.on, self.prose = {tree.root}, set()
+        self.total = self._in_scope(tree.root) * tree.of[tree.root]["words"]
+
+    def _in_scope(self, n: str) -> bool:
+        return self.tree.inside(n, self.scope)
+
+    @property
+    def words(self) -> int:
+        t = self.tree
+        if self.scope is None and self.on == {t.root}:
+            return word_count(t.of[t.root]["hook"] or t.of[t.root]["text"])
+        return self.total
+
+    def open_(self, n: str) -> None:
+        """The children of a node on the page take its place."""
+        self.on.remove(n)
+        self.on.update(self.tree.kids[n])
+        self.total += sum(self.tree.shown(c, False) for c in self.tree.kids[n] if self._in_scope(c)) - self._in_scope(n) * self.tree.shown(n, n in self.prose)
+        self.prose.discard(n)
+
+    def show_prose(self, n: str) -> None:
+        self.prose.add(n)
+        self.total += self._in_scope(n) * (self.tree.shown(n, True) - self.tree.shown(n, False))
+
+    def apply(self, token: str) -> None:
+        n = token.removeprefix(PROSE)
+        for up in reversed(list(self.tree.above(n))):
+            if up in self.on:
+                self.open_(up)
+        if n in self.on:
+            self.show_prose(n) if token[0] == PROSE else self.open_(n)
+
+
 def expansion_sequence(tree: Tree, anchor: str | None = None, keep: set[str] = frozenset(), scope: str | None = None) -> list[str]:
     """Tokens in the order the dial applies them: `~id` shows a node's paragraph, `id` its children.
 
-    Kept tokens come first, farthest from the anchor first (those outside the scope before those inside). Then the nearest
-    candidate opens; a step that adds too little is held back and joined with the next one that leads to the same page.
+    Kept tokens come first, farthest from the anchor first (those outside the scope before those inside). Then the nearest node on
+    the page takes its next form. A form that adds too little is followed down its own branch, paragraph to children to the
+    nearest child's paragraph, and only the token that ends such a chain is told, because it implies the others.
     """
-    anchor = anchor or tree.root
-    near = lambda t: (abs(tree.mid[n := t.removeprefix(PROSE)] - tree.mid[anchor]), -tree.of[n]["importance"], tree.of[n]["depth"], n, t[0] != PROSE)
-    state: tuple[frozenset, frozenset] = (frozenset(), frozenset())
-    out: list[str] = []
-    inner = lambda s: [n for n in tree.page(s[0]) if not tree.of[n]["is_leaf"]]
-    kept_inside = {t for t in keep if tree.inside(t.removeprefix(PROSE), scope)}
-    for left in [kept_inside] if scope is None else [set(keep) - kept_inside, kept_inside]:
-        left = set(left)
-        while ready := [t for t in left if t.removeprefix(PROSE) in inner(state) and t != PROSE + tree.root]:
-            token = max(ready, key=near)
+    mid = tree.mid[anchor or tree.root]
+    rank = {n: (abs(tree.mid[n] - mid), -x["importance"], x["depth"], n) for n, x in tree.of.items()}
+    page, out = Page(tree, scope), []
+    inner = lambda n: not tree.of[n]["is_leaf"]
+    lots = [{t for t in keep if tree.inside(t.removeprefix(PROSE), scope) == within} for within in ((True,) if scope is None else (False, True))]
+    for left in lots:
+        left.discard(PROSE + tree.root)
+        while ready := [t for t in left if (n := t.removeprefix(PROSE)) in page.on and inner(n)]:
+            token = max(ready, key=lambda t: (rank[t.removeprefix(PROSE)], t[0] != PROSE))
             left.remove(token)
+            page.apply(token)
             out.append(token)
-            state = tree.applied(state, token)
-    shown = lambda s: (tree.page(s[0]), s[1] & set(tree.page(s[0])))
-    settled, base, held = state, tree.words(state, scope), None
-    while True:
-        ready = [n if n == tree.root or n in state[1] else PROSE + n for n in inner(state) if tree.inside(n, scope)]
-        if held:
-            ready = [t for t in ready if shown(tree.applied(settled, t)) == shown(tree.applied(state, t))]
-            if not ready:
-                out.append(held)
-                settled, base, held = state, tree.words(state, scope), None
-                continue
-        if not ready:
-            return out
-        token = min(ready, key=near)
-        state = tree.applied(state, token)
-        now = tree.words(state, scope)
-        fresh = set(tree.page(state[0])) - set(tree.page(settled[0]))
-        passing = len(tree.kids[token.removeprefix(PROSE)]) == 1 or any(len(tree.kids[n]) == 1 and not tree.of[n]["is_leaf"] for n in fresh)
-        if not passing and now - base >= max(1.0, min(GAIN_SHARE * base, GAIN_WORDS)):
-            out.append(token)
-            settled, base, held = state, now, None
-        else:
-            held = token
+    queue = [(rank[n], n) for n in page.on if inner(n) and tree.inside(n, scope)]
+    heapify(queue)
+    lone = lambda n: inner(n) and len(tree.kids[n]) == 1
+    while queue:
+        if queue[0][1] not in page.on:  # opened since
+            heappop(queue)
+            continue
+        base, new_lone, n = page.words, set(), queue[0][1]
+        while True:
+            if n != tree.root and n not in page.prose:
+                token, below = PROSE + n, [n]
+                page.show_prose(n)
+            else:
+                token = n
+                page.open_(n)
+                below = [c for c in tree.kids[n] if inner(c) and tree.inside(c, scope)]
+                for c in below:
+                    heappush(queue, (rank[c], c))
+                new_lone = (new_lone - {n}) | {c for c in tree.kids[n] if lone(c)}
+            enough = page.words - base >= max(1.0, min(GAIN_SHARE * base, GAIN_WORDS))
+            if not below or (enough and len(tree.kids[n]) != 1 and not new_lone):
+                break
+            n = min(below, key=rank.get)
+        out.append(token)
+    return out
+
+
+_STEPS = "tree_id {kind}, step int, token string, node_id string, form string"
+
+
+def _step_rows(tree_id, tokens: list[str]) -> list[tuple]:
+    return [(tree_id, k + 1, t, t.removeprefix(PROSE), "prose" if t[0] == PROSE else "expand") for k, t in enumerate(tokens)]
+
+
+def _steps_frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["tree_id", "step", "token", "node_id", "form"])
+
+
+def document_steps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", summarise: Summariser = extractive) -> DataFrame:
+    """zoom_steps() of documents' trees, in the batch that builds them: no tree is moved."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            trees = ((i, Tree([dict(zip(NODE_FIELDS, r)) for r in rows_of(build_tree(t, summarise))])) for i, t in zip(pdf[id_col], pdf[text_col]))
+            yield _steps_frame([row for i, t in trees for row in _step_rows(i, expansion_sequence(t))])
+
+    return docs.select(id_col, text_col).mapInPandas(run, _STEPS.format(kind=kind))
 
 
 def zoom_steps(nodes: DataFrame, anchor: str | None = None) -> DataFrame:
-    """(tree_id, step from 1, token, node_id, form) for every tree; form is prose or expand."""
+    """(tree_id, step from 1, token, node_id, form) for every stored tree; form is prose or expand."""
     kind = nodes.schema["tree_id"].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_pos").astype(object)
-        pdf = pdf.where(pdf.notna(), None).assign(key_points=[json.loads(x or "[]") for x in pdf["key_points"]])
-        tokens = expansion_sequence(Tree(pdf), anchor)
-        rows = [(pdf["tree_id"].iloc[0], k + 1, t, t.removeprefix(PROSE), "prose" if t[0] == PROSE else "expand") for k, t in enumerate(tokens)]
-        return pd.DataFrame(rows, columns=["tree_id", "step", "token", "node_id", "form"])
+        pdf = pdf.assign(key_points=[json.loads(x or "[]") for x in pdf["key_points"]])
+        return _steps_frame(_step_rows(pdf["tree_id"].iloc[0], expansion_sequence(Tree.of_frame(pdf), anchor)))
 
     cols = ["tree_id", "node_id", "parent", "depth", "doc_pos", "is_leaf", "text", "words", "span_start", "span_end", "importance", "title", "hook"]
     packed = nodes.select(*cols, F.to_json(F.col("key_points")).alias("key_points"))
-    return packed.groupBy("tree_id").applyInPandas(run, f"tree_id {kind}, step int, token string, node_id string, form string")
+    return packed.groupBy("tree_id").applyInPandas(run, _STEPS.format(kind=kind))
 
 
 # ---------------------------------------------------------------- relational parts
@@ -247,36 +298,44 @@ PAD, TOP_GAP, INSET, GAP, LEAST = 12, 8, 10, 6, 24
 
 
 def strips(weights: list[float], x: float, y: float, w: float, h: float, gap: float) -> list[tuple[float, float, float, float]]:
-    """Ordered strip layout: items join a strip while that brings its cells closer to squares."""
-    x, y, w, h = x - gap / 2, y - gap / 2, w + gap, h + gap
-    rows, left, i, out = w >= h, sum(weights), 0, []
-
-    def aspect(part: list[float]) -> float:
-        s = sum(part)
-        thick, length = max(1e-6, (h if rows else w) * s / left), (w if rows else h)
-        sides = [max(1e-6, length * v / s) for v in part]
-        return sum(max(a / thick, thick / a) for a in sides) / len(part)
-
-    while i < len(weights):
-        j, now = i + 1, aspect(weights[i : i + 1])
-        while j < len(weights) and (nxt := aspect(weights[i : j + 1])) <= now:
-            j, now = j + 1, nxt
-        part = weights[i:j]
-        s = sum(part)
-        thick, at = (h if rows else w) * s / left, x if rows else y
-        for v in part:
-            size = (w if rows else h) * v / s
-            cell = (at, y, size, thick) if rows else (x, at, thick, size)
-            out.append((cell[0] + gap / 2, cell[1] + gap / 2, max(0.0, cell[2] - gap), max(0.0, cell[3] - gap)))
-            at += size
-        if rows:
-            y, h = y + thick, h - thick
-        else:
-            x, w = x + thick, w - thick
-        left, i = left - s, j
+    """Ordered strip layout: items join a strip while that brings its cells closer to squares. Strips lie across the longer side."""
+    v, flat = np.asarray(weights, float), w >= h
+    long, deep = (w, h) if flat else (h, w)
+    long, deep, total = long + gap, deep + gap, v.sum()
+    at, out = 0, []
+    while at < len(v):
+        before = v[:at].sum()
+        left = deep * (total - before) / total  # depth not yet taken
+        width = 8
+        while True:  # mean elongation of the strip v[at:at+k], for k = 1, 2, ...
+            part = v[at : at + width]
+            sums = np.cumsum(part)
+            thick = np.maximum(1e-6, left * sums / (total - before))
+            side = np.maximum(1e-6, long * part[None, :] / sums[:, None])
+            shape = np.where(np.tri(len(part), dtype=bool), np.maximum(side / thick[:, None], thick[:, None] / side), 0).sum(axis=1) / np.arange(1, len(part) + 1)
+            worse = np.flatnonzero(shape[1:] > shape[:-1])
+            if len(worse) or at + width >= len(v):
+                break
+            width *= 2
+        k = int(worse[0]) + 1 if len(worse) else len(part)
+        size = long * part[:k] / sums[k - 1]
+        along, across = np.concatenate(([0.0], np.cumsum(size)[:-1])), deep - left
+        for a, n in zip(along.tolist(), size.tolist()):
+            cell = (x + a, y + across, n, float(thick[k - 1])) if flat else (x + across, y + a, float(thick[k - 1]), n)
+            out.append((cell[0], cell[1], max(0.0, cell[2] - gap), max(0.0, cell[3] - gap)))
+        at += k
     return out
 
 
+def _body(x: float, y: float, w: float, h: float, level: int) -> tuple[float, float, float, float]:
+    """Where a tile's children go: beside its heading where it is wide, else below."""
+    if w > 1.8 * h and w >= 240:
+        head = min(200, 0.35 * w)
+        return x + head, y + INSET, w - head - INSET, h - 2 * INSET
+    head = 60.0 if level == 0 else 33.0
+    return x + INSET, y + head, w - 2 * INSET, h - head - INSET
+
+
 def treemap(nodes: DataFrame, source: DataFrame, section_ids: DataFrame, width: float, height: float) -> DataFrame:
     """(tree_id, node_id, x, y, w, h, level) of the map: sections at the top, children inside their parents while there is room."""
     kind = nodes.schema["tree_id"].dataType.simpleString()
@@ -289,23 +348,15 @@ def treemap(nodes: DataFrame, source: DataFrame, section_ids: DataFrame, width:
                 kids[up].append(k)
         root = pdf["node_id"].iloc[0]
         top = pdf.loc[pdf["section_no"].notna(), "node_id"].tolist() or kids[root] or [root]
-        rows = []
-
-        def weights(ids):
-            floor = 0.06 * sum(words[k] for k in ids)
-            return [max(words[k], floor, 1e-3) for k in ids]
-
-        def place(n, x, y, w, h, level):
-            rows.append((n, x, y, w, h, level))
-            side = w > 1.8 * h and w >= 240
-            head = min(200, 0.35 * w) if side else 60.0 if level == 0 else 33.0
-            cx, cy, cw, ch = (x + head, y + INSET, w - head - INSET, h - 2 * INSET) if side else (x + INSET, y + head, w - 2 * INSET, h - head - INSET)
-            if kids[n] and cw >= LEAST and ch >= LEAST:
-                for k, cell in zip(kids[n], strips(weights(kids[n]), cx, cy, cw, ch, GAP)):
-                    place(k, *cell, level + 1)
-
-        for k, cell in zip(top, strips(weights(top), PAD, PAD, max(0, width - 2 * PAD), max(0, height - 2 * PAD), TOP_GAP)):
-            place(k, *cell, 0)
+        rows, todo = [], deque([(top, (PAD, PAD, max(0, width - 2 * PAD), max(0, height - 2 * PAD)), TOP_GAP, 0)])
+        while todo:
+            ids, area, gap, level = todo.popleft()
+            each = np.array([words[k] for k in ids])
+            for k, cell in zip(ids, strips(np.maximum(np.maximum(each, 0.06 * each.sum()), 1e-3).tolist(), *area, gap)):
+                rows.append((k, *cell, level))
+                body = _body(*cell, level)
+                if kids[k] and min(body[2:]) >= LEAST:
+                    todo.append((kids[k], body, GAP, level + 1))
         out = pd.DataFrame(rows, columns=["node_id", "x", "y", "w", "h", "level"])
         out.insert(0, "tree_id", pdf["tree_id"].iloc[0])
         return out

@@ -256,8 +256,7 @@ def tree_sections(spark, sf_dir):
 
 @query()
 def tree_zoom_steps(spark, sf_dir):
-    n = tree.build_trees(_t(spark, sf_dir, "documents").select("doc_id", "text"))
-    return zoom.zoom_steps(n)
+    return zoom.document_steps(_t(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 @query()

@@ -67,11 +67,11 @@ def test_sections_tiles_and_tokens(spark):
     runs = reader.page_runs(page, of)
     assert runs.agg(F.max("run")).first()[0] == page.join(of, ["tree_id", "node_id"]).select("section_id").distinct().count()
     tokens = {r.token for r in reader.page_tokens(page, steps.where("step <= 4 and form = 'prose'"), up).collect()}
-    again = zoom.Tree(nodes.toPandas().sort_values("doc_pos").astype(object).pipe(lambda d: d.where(d.notna(), None)))
-    state = (frozenset(), frozenset())
+    again = zoom.Tree.of_frame(nodes.toPandas())
+    shown = zoom.Page(again)
     for t in zoom.expansion_sequence(again, keep=tokens)[: len(tokens)]:
-        state = again.applied(state, t)
-    assert set(again.page(state[0])) == {r.node_id for r in page.collect()}
+        shown.apply(t)
+    assert shown.on == {r.node_id for r in page.collect()}
     rects = zoom.treemap(nodes, zoom.words_in_source(nodes, up), secs, 1600, 1200)
     kinds = {r.kind for r in reader.tiles(rects, nodes, page, up).collect()}
     assert kinds <= {"sec-frame", "sec-solid", "leaf", "frame", "solid"} and kinds

@@ -16,7 +16,7 @@ def doc(seed, sections, most):
 
 def as_tree(text):
     df = pd.DataFrame(tree.rows_of(tree.build_tree(text)), columns=COLUMNS).astype(object)
-    return zoom.Tree(df.where(df.notna(), None))
+    return zoom.Tree.of_frame(df)
 
 
 def test_closed_form_is_the_loop():
@@ -54,21 +54,22 @@ def test_tiny_document_is_a_leaf():
 def test_zoom_invariants(seed):
     t = as_tree(doc(seed, 4, 1200))
     tokens = zoom.expansion_sequence(t)
-    state, words = (frozenset(), frozenset()), []
+    page, words = zoom.Page(t), []
     for token in tokens:
-        state = t.applied(state, token)
-        words.append(t.words(state))
+        page.apply(token)
+        words.append(page.words)
     assert len(set(tokens)) == len(tokens) and words == sorted(set(words))
-    assert all(t.of[n]["is_leaf"] for n in t.page(state[0]))
+    assert all(t.of[n]["is_leaf"] for n in page.on)
     kept = set(tokens[: len(tokens) // 2])
-    mid = (frozenset(), frozenset())
+    mid, again = zoom.Page(t), zoom.Page(t)
     for token in tokens[: len(tokens) // 2]:
-        mid = t.applied(mid, token)
-    keep = mid[0] | {zoom.PROSE + n for n in mid[1] if n not in mid[0]}
-    again = (frozenset(), frozenset())
-    for token in zoom.expansion_sequence(t, t.page(mid[0])[-1], keep)[: len(keep)]:
-        again = t.applied(again, token)
-    assert t.page(again[0]) == t.page(mid[0]) and kept
+        mid.apply(token)
+    opened = {a for n in mid.on for a in t.above(n)}
+    keep = opened | {zoom.PROSE + n for n in mid.prose & mid.on}
+    anchor = min(mid.on, key=lambda n: -t.of[n]["doc_pos"])
+    for token in zoom.expansion_sequence(t, anchor, keep)[: len(keep)]:
+        again.apply(token)
+    assert again.on == mid.on and kept
 
 
 def test_relational_forms_follow_the_sequence(spark):
@@ -83,10 +84,11 @@ def test_relational_forms_follow_the_sequence(spark):
             got.setdefault(r.tree_id, set()).add(r.node_id)
         for i in range(3):
             t = as_tree(doc(i, 3, 900))
-            state = (frozenset(), frozenset())
+            page = zoom.Page(t)
             for token in zoom.expansion_sequence(t)[:k]:
-                state = t.applied(state, token)
-            assert got[i] == set(t.page(state[0]))
+                page.apply(token)
+            assert got[i] == page.on
+    assert tree.closure(tree.with_ancestors(nodes)).exceptAll(up).count() == 0 == up.exceptAll(tree.closure(tree.with_ancestors(nodes))).count()
     total = {r.tree_id: r.source_words for r in zoom.words_in_source(nodes, up).join(nodes.where("parent is null").select("tree_id", "node_id"), ["tree_id", "node_id"]).collect()}
     assert total == {r.tree_id: r.w for r in nodes.where("is_leaf").groupBy("tree_id").agg(F.sum("words").cast("double").alias("w")).collect()}
     rects = zoom.treemap(nodes, zoom.words_in_source(nodes, up), tree.sections(nodes), 1200, 800).toPandas()
