@@ -44,12 +44,36 @@ def clean_events(parsed: DataFrame) -> DataFrame:
     return parsed.select("seq", text("ts").alias("ts"), *cols)
 
 
-def carry_experiment(events: DataFrame, by: list[str] = ()) -> DataFrame:
+def batch_problem(batch: Column, most_bytes: int = 1 << 20) -> Column:
+    """Why a posted batch of events (JSON text) is refused, else null: too large, or no array of objects."""
+    v = F.try_parse_json(batch)
+    kind = F.schema_of_variant(v)
+    items = F.try_variant_get(v, "$", "array<variant>")
+    objects = F.forall(items, lambda x: F.coalesce(F.schema_of_variant(x).startswith("OBJECT"), F.lit(False)))
+    return F.when(F.octet_length(batch) > most_bytes, "too large").when(v.isNull() | ~kind.startswith("ARRAY"), "no array").when(~objects, "no array of objects")
+
+
+# The types of events that readers send.
+EVENT_TYPES = (
+    "open", "close", "dial", "dwell", "idle", "jump_source", "hover_source", "highlight", "palette", "reading", "history", "search", "map", "not_helpful",
+    "checkin", "checkin_adjust_undo", "resume_build", "rebuild", "experiment", "did_it_help", "outcome",
+)
+
+
+def known_types(events: DataFrame, kind: str = "type") -> DataFrame:
+    """(type, events, known) over a log: how often each type comes, and whether it is one that readers send."""
+    return events.groupBy(F.col(kind).alias("type")).agg(F.count("*").alias("events")).withColumn("known", F.coalesce(F.col("type").isin(*EVENT_TYPES), F.lit(False)))
+
+
+def carry_experiment(events: DataFrame, by: list[str]) -> DataFrame:
     """Adds phase_of, condition_of, label_of to each event that is no `experiment` one: its own values, else those carried.
 
     An `experiment` event sets what it names until another does, or until one with action `end` resets all. A phase without a
-    condition implies the condition of its first letter. by: columns that keep logs apart (one log is one ordered stream).
+    condition implies the condition of its first letter. by: columns that keep logs apart, one at least: each log is an ordered
+    stream of its own and is sorted in one task.
     """
+    if not by:
+        raise ValueError("name the columns that keep logs apart")
     order = Window.partitionBy(*by).orderBy("seq")
     is_set = F.col("type") == "experiment"
     x = events.withColumn("_end", (is_set & (F.coalesce("action", F.lit("")) == "end")).cast("int"))

@@ -1,3 +1,4 @@
+import pytest
 import json
 
 from pyspark.sql import functions as F
@@ -31,7 +32,10 @@ def abab():
 
 
 def test_report(spark):
-    c = E.carry_experiment(log(spark, [{"type": "dial"}, *abab(), {"type": "experiment", "action": "end"}, {"type": "dial"}])).cache()
+    one = log(spark, [{"type": "dial"}, *abab(), {"type": "experiment", "action": "end"}, {"type": "dial"}]).withColumn("user_id", F.lit(1))
+    with pytest.raises(ValueError):
+        E.carry_experiment(one, [])
+    c = E.carry_experiment(one, ["user_id"]).cache()
     docs = E.documents_report(c)
     phases = E.phases_report(docs, c)
     assert {r.phase: (r.minutes_to_know_median, r.documents, r.session_ms_n) for r in phases.collect()} == {"A1": (15, 2, 2), "B1": (7, 2, 2), "A2": (14, 2, 2), "B2": (6, 2, 2)}
@@ -99,3 +103,31 @@ def test_mail(spark):
 def test_work_queue(spark):
     ids = lambda *x: spark.createDataFrame([(i,) for i in x], "tree_id string")
     assert {tuple(r) for r in sinks.work_queue(ids("a", "b", "c", "a"), ids("c"), ids("b")).collect()} == {("a", "build"), ("b", "resume")}
+
+
+def test_batches_and_types(spark):
+    rows = [('[{"type": "open"}, {"a": 1}]',), ("[]",), ('[1]',), ('{"a": 1}',), ("nope",), ('["' + "x" * (1 << 20) + '"]',)]
+    got = spark.createDataFrame(rows, "b string").select(E.batch_problem(F.col("b"))).collect()
+    assert [r[0] for r in got] == [None, None, "no array of objects", "no array", "no array", "too large"]
+    told = E.known_types(spark.createDataFrame([("open",), ("open",), ("zzz",), (None,)], "type string")).collect()
+    assert {(r.type, r.events, r.known) for r in told} == {("open", 2, True), ("zzz", 1, False), (None, 1, False)}
+
+
+def test_log_lines_keep_order_over_splits(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text("".join(f'{{"n": {k}}}\n' for k in range(5000)))
+    (tmp_path / "b.jsonl").write_text('{"n": 1}\n\nnope\n[1]\n')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        lines = files.read_jsonl(spark, str(tmp_path)).collect()
+        told = [(r.problem, r.finding is None) for r in files.read_ledger(spark, str(tmp_path / "b.jsonl")).orderBy("seq").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.value for r in sorted((r for r in lines if "a.jsonl" in r.file), key=lambda r: r.seq)] == [f'{{"n": {k}}}' for k in range(5000)]
+    assert told == [(None, False), ("b.jsonl:2: no JSON object", True), ("b.jsonl:3: no JSON object", True)]
+
+
+def test_mail_by_id_and_account(spark):
+    mail = spark.createDataFrame([("a", "1"), ("b", "1")], "account_id string, id string")
+    assert [r.account_id for r in files.get_message(mail, "b", "1").collect()] == ["b"]
+    asked = files.routed(spark.createDataFrame([("a",), ("z",)], "account_id string"), spark.createDataFrame([("a", "gmail")], "account_id string, provider string"))
+    assert {(r.account_id, r.problem) for r in asked.collect()} == {("a", None), ("z", "unknown account: z")}
