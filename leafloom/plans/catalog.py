@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from leafloom.functions import classify, evidence, repair, text, units
 from leafloom.functions.chunking import leaves as chunk_leaves
 from leafloom.operators import claims, events, ledger, tree, zoom
+from leafloom.sources.files import dealt
+
+from . import tree_queries
 
 _Q: dict = {}
 _SQL: dict[str, str] = {}
@@ -31,8 +34,13 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
+#: Tables whose rows cost more to work on than to move.
+TEXTS = ("documents", "pages")
+
+
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    t = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return dealt(t) if name in TEXTS else t
 
 
 W, C, P = units.WHITE, units.CJK, units.CJK_PUNCTUATION
@@ -202,7 +210,8 @@ SELECT doc_id, item_id, CAST(len(list_intersect(a, s)) AS INTEGER) AS shared, CA
 def claim_overlap(spark, sf_dir):
     """Each document against one benchmark item: shared content words and whether they are enough."""
     b = _t(spark, sf_dir, "benchmark")
-    d = _t(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % b.count()).alias("item_id"), F.col("text").alias("source"))
+    n = b.agg(F.count("*").alias("n"))  # one row
+    d = _t(spark, sf_dir, "documents").join(F.broadcast(n)).select("doc_id", (F.col("doc_id") % F.col("n")).alias("item_id"), F.col("text").alias("source"))
     o = evidence.overlap(F.col("text"), F.col("source"))
     x = d.join(b, "item_id").withColumn("o", o)
     return x.select("doc_id", "item_id", F.col("o.shared").alias("shared"), F.col("o.total").alias("total"), F.when(F.col("o.total") == 0, True).otherwise(F.col("o.shared") / F.col("o.total") >= evidence.OVERLAP_FLOOR).alias("ok"))
@@ -261,7 +270,20 @@ def tree_zoom_steps(spark, sf_dir):
 
 @query()
 def tree_search(spark, sf_dir):
-    return zoom.search(tree.build_trees(_t(spark, sf_dir, "documents").select("doc_id", "text")), "the on")
+    return zoom.search(tree.build_trees(_t(spark, sf_dir, "documents").select("doc_id", "text")), tree_queries.SOUGHT)
+
+
+def _over_documents(f):
+    def run(spark, sf_dir):
+        return f(_t(spark, sf_dir, "documents"))
+
+    run.__name__, run.__doc__ = f.__name__, f.__doc__
+    return run
+
+
+for _f in tree_queries.QUERIES:
+    query()(_over_documents(_f))
+_SQL |= tree_queries.TREE_SQL
 
 
 # ---------------------------------------------------------------- events
