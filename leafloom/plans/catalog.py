@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from leafloom.functions import classify, evidence, repair, text, units
 from leafloom.functions.chunking import leaves as chunk_leaves
 from leafloom.operators import claims, events, ledger, tree, zoom
-from leafloom.sources.files import dealt
+from leafloom.sources.files import dealt, read_extracted
 
-from . import tree_queries
+from . import claim_queries, log_queries, tree_queries
+from .tree_sql import LEAVES
+from .tree_sql import words as tree_sql_words
 
 _Q: dict = {}
 _SQL: dict[str, str] = {}
@@ -192,6 +194,45 @@ def doc_normalised(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", F.md5(repair.ingested(F.col("text"))).alias("text_md5"))
 
 
+@query("SELECT doc_id, true AS settled, true AS squeezed, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS letters FROM documents")
+def normalise_checks(spark, sf_dir):
+    """What holds for repaired texts: repairing again changes nothing, no blank space is left over, and no letter is lost or made."""
+    once = _t(spark, sf_dir, "documents").select("doc_id", repair.normalised(F.col("text")).alias("t"))
+    x = once.withColumn("again", repair.normalised(F.col("t")))
+    squeezed = ~F.col("t").rlike(r"\n{3,}|[ \t]\n|^\s|\s\z")
+    return x.select("doc_id", (F.col("t") == F.col("again")).alias("settled"), squeezed.alias("squeezed"), F.length(F.regexp_replace("t", "[^A-Za-z]", "")).cast("long").alias("letters"))
+
+
+_SAID = "regexp_replace(regexp_replace(text, '[^A-Za-z0-9 .,]+', ' ', 'g'), ' +', ' ', 'g')"
+_MAIL = ("From: a@b.c\nTo: x@y.z\nSubject: news\n\n", "\n\nBest regards,\nAnn Smith\n+44 123 456 789\n\nOn Monday 5 May, Bob Jones\nwrote:\n> old text\n> more of it\n", "\n\nSent from my phone\n-----Original Message-----\nFrom: q@r.s\n\nold")
+
+
+def _lit_sql(t: str) -> str:
+    return " || chr(10) || ".join(f"'{x}'" for x in t.split("\n"))
+
+
+def _said():
+    return F.regexp_replace(F.regexp_replace("text", "[^A-Za-z0-9 .,]+", " "), " +", " ")
+
+
+@query(f"""WITH s AS (SELECT conv_id, turn, {_SAID} AS t FROM conversations), m AS (SELECT *, {_lit_sql(_MAIL[0])} || t || CASE WHEN turn % 2 = 0 THEN {_lit_sql(_MAIL[1])} ELSE {_lit_sql(_MAIL[2])} END AS mail FROM s)
+SELECT conv_id, turn, CASE WHEN len({tree_sql_words('t')}) >= 8 THEN {_lit_sql(_MAIL[0])} || regexp_replace(t, ' +$', '') ELSE mail END AS newest FROM m""")
+def mail_noise(spark, sf_dir):
+    """Turns sent as mail, with signatures and quoted history: the new message alone where it says something."""
+    c = _t(spark, sf_dir, "conversations")
+    mail = F.concat(F.lit(_MAIL[0]), _said(), F.when(F.col("turn") % 2 == 0, _MAIL[1]).otherwise(_MAIL[2]))
+    return c.select("conv_id", "turn", repair.without_email_noise(mail).alias("newest"))
+
+
+@query(f"""SELECT conv_id, turn, 'What was said' || chr(10) || chr(10) || '- ' || t || chr(10) || '- Second point' || chr(10) || chr(10) || 'End of it.' AS repaired, t AS cell FROM (SELECT conv_id, turn, {_STRIP(_SAID)} AS t FROM conversations) WHERE t <> ''""")
+def list_repair(spark, sf_dir):
+    """Bullets of pasted text as list items set apart, and tables of one cell unwrapped."""
+    x = _t(spark, sf_dir, "conversations").select("conv_id", "turn", units.strip(_said()).alias("t")).where("t <> ''")
+    pasted = F.concat(F.lit("What was said\n\u2022 "), "t", F.lit("\n\u2022   Second point \nEnd of it.\n\n\n\n"))
+    x = x.select("conv_id", "turn", repair.normalised(pasted).alias("repaired"), F.concat(F.lit("| "), "t", F.lit(" |")).alias("cell"))
+    return read_extracted(x, "cell")
+
+
 # ---------------------------------------------------------------- evidence
 
 _TOKENS = f"""list_distinct([CASE WHEN regexp_matches(w, '[0-9]') THEN replace(w, ',', '') ELSE substr(CASE {" ".join(f"WHEN ends_with(w, '{s}') AND length(w) - {len(s)} >= 4 THEN substr(w, 1, length(w) - {len(s)})" for s in evidence.SUFFIXES)} ELSE w END, 1, 5) END
@@ -217,19 +258,6 @@ def claim_overlap(spark, sf_dir):
     return x.select("doc_id", "item_id", F.col("o.shared").alias("shared"), F.col("o.total").alias("total"), F.when(F.col("o.total") == 0, True).otherwise(F.col("o.shared") / F.col("o.total") >= evidence.OVERLAP_FLOOR).alias("ok"))
 
 
-_DATES = "VALUES ('2025-03-14', 'Friday 14 March 2025 at 5 pm', '17:00'), ('03-14', 'due 14 March, 9:30 am', '09:30'), ('02-29', 'on 29 Feb at noon', '12:00'), ('2025-13-01', 'x', '25:00'), ('----12-01', '1/12/2024 midnight', '00:00')"
-
-
-@query("""SELECT * FROM (VALUES ('2025-03-14', DATE '2025-03-14', false, true, true, true), ('03-14', DATE '2025-03-14', true, true, true, true), ('02-29', NULL, NULL, false, true, NULL),
-  ('2025-13-01', NULL, NULL, false, false, NULL), ('----12-01', DATE '2025-12-01', true, true, true, true)) t(iso, date, year_inferred, parsed, time_ok, in_source)""")
-def date_checks(spark, sf_dir):
-    """Dates and clock times of claims against their sources, on the day 2025-01-10."""
-    x = spark.sql(f"SELECT * FROM ({_DATES}) t(iso, source, hhmm)")
-    p = evidence.parse_iso(F.col("iso"), F.lit("2024-03-10").cast("date") + 306)
-    x = x.withColumn("p", p)
-    return x.select("iso", F.col("p.date").alias("date"), F.col("p.year_inferred").alias("year_inferred"), F.col("p").isNotNull().alias("parsed"), evidence.time_in(F.col("hhmm"), F.col("source")).alias("time_ok"), evidence.date_in(F.col("p.date"), F.col("source")).alias("in_source"))
-
-
 # ---------------------------------------------------------------- trees and zoom
 
 
@@ -273,17 +301,18 @@ def tree_search(spark, sf_dir):
     return zoom.search(tree.build_trees(_t(spark, sf_dir, "documents").select("doc_id", "text")), tree_queries.SOUGHT)
 
 
-def _over_documents(f):
+def _over(f, name: str):
     def run(spark, sf_dir):
-        return f(_t(spark, sf_dir, "documents"))
+        return f(_t(spark, sf_dir, name))
 
     run.__name__, run.__doc__ = f.__name__, f.__doc__
     return run
 
 
-for _f in tree_queries.QUERIES:
-    query()(_over_documents(_f))
-_SQL |= tree_queries.TREE_SQL
+for _name, _fs in (("documents", tree_queries.QUERIES), ("orders", claim_queries.OVER_ORDERS), ("customer", claim_queries.OVER_CUSTOMERS), ("events", log_queries.OVER_EVENTS)):
+    for _f in _fs:
+        query()(_over(_f, _name))
+_SQL |= tree_queries.TREE_SQL | claim_queries._sql(_TOKENS) | log_queries.LOG_SQL
 
 
 # ---------------------------------------------------------------- events
@@ -400,6 +429,17 @@ def conv_turns(spark, sf_dir):
     return _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.row_number().over(w).alias("place"), F.coalesce(F.col("role") != F.lag("role").over(w), F.lit(True)).alias("new_speaker"), F.lead("role").over(w).alias("next_role"), (upto - F.length("text")).alias("chars_before"))
 
 
+@query(_DOCS_SQL + " SELECT user_id, condition, count(*) AS documents, CAST(sum(sessions) AS BIGINT) AS sessions, array_to_string([x FOR x IN ['A1', 'B1', 'A2', 'B2'] IF list_contains(list(phase), x)], ',') AS phases FROM d GROUP BY user_id, condition")
+def experiment_conditions(spark, sf_dir):
+    d = events.documents_report(events.carry_experiment(_log(spark, sf_dir), ["user_id"]), ["user_id"])
+    return events.by_condition(d, ["user_id"]).select("user_id", "condition", "documents", "sessions", F.array_join("phases", ",").alias("phases"))
+
+
+@query(_LOG_SQL + " SELECT count(*) FILTER (phase_of IS NULL) AS unassigned_events FROM k")
+def experiment_unassigned(spark, sf_dir):
+    return events.unassigned(events.carry_experiment(_log(spark, sf_dir), ["user_id"]))
+
+
 # ---------------------------------------------------------------- ledger
 
 _ASSUMPTIONS = "VALUES ('A1', map('plan', 'Y', 'learn', 'C')), ('A2', map('plan', '?')), ('A3', map('plan', 'N', 'learn', 'Y'))"
@@ -431,6 +471,36 @@ def ledger_features(spark, sf_dir):
     return x.select("feature", "objective", "status", "supporting", F.array_join("opposed_by", ",").alias("opposed_by"))
 
 
+@query(_LEDGER_SQL + """, b AS (SELECT s.objective, h.a AS assumption FROM s JOIN f USING (finding) JOIN h ON h.objective = s.objective AND list_contains(f.aa, h.a) WHERE s.r = 2 AND h.r = 2)
+ SELECT objective, assumption, count(*) AS findings FROM b GROUP BY ALL""")
+def ledger_queue(spark, sf_dir):
+    """Unknown assumptions by how many findings they block."""
+    a, f, o = _ledger(spark)
+    return ledger.research_queue(ledger.finding_status(f, o, ledger.holds(a, o)))
+
+
+@query("""WITH h AS (SELECT * FROM (VALUES ('A1', 'plan', 'Y'), ('A1', 'learn', 'C'), ('A2', 'plan', 'C'), ('A3', 'plan', 'N'), ('A3', 'learn', 'Y')) t(assumption, objective, status))
+SELECT assumption, coalesce(max(status) FILTER (objective = 'plan'), '?') AS plan, coalesce(max(status) FILTER (objective = 'learn'), '?') AS learn FROM h GROUP BY assumption""")
+def ledger_matrix(spark, sf_dir):
+    """Assumptions by objectives, with one of them overridden."""
+    a, f, o = _ledger(spark)
+    return ledger.matrix(ledger.holds(a, o, spark.sql("SELECT 'A2' AS assumption, 'plan' AS objective, 'C' AS status")), ["plan", "learn"])
+
+
+@query(_LEDGER_SQL + """, c AS (SELECT feature, objective, coalesce(['Y', 'C', '?', 'N'][min(r) FILTER (effect <> 'opposes') + 1], '-') || CASE WHEN count(*) FILTER (effect = 'opposes' AND r <= 1) > 0 THEN '!' ELSE '' END AS cell FROM s GROUP BY ALL)
+ SELECT n.feature, coalesce(max(cell) FILTER (objective = 'plan'), '-') AS plan, coalesce(max(cell) FILTER (objective = 'learn'), '-') AS learn FROM (VALUES ('f1'), ('f2'), ('f3')) n(feature) LEFT JOIN c USING (feature) GROUP BY n.feature""")
+def ledger_feature_matrix(spark, sf_dir):
+    a, f, o = _ledger(spark)
+    by = ledger.feature_status(f, ledger.finding_status(f, o, ledger.holds(a, o)))
+    return ledger.feature_matrix(spark.sql("SELECT * FROM VALUES ('f1'), ('f2'), ('f3') t(id)"), by, ["plan", "learn"])
+
+
+@query(_LEDGER_SQL + " SELECT 'A2' AS assumption, 'plan' AS objective, (SELECT count(*) FROM f WHERE list_contains(aa, 'A2')) AS findings")
+def ledger_todo(spark, sf_dir):
+    a, f, o = _ledger(spark)
+    return ledger.open_cells(a, f)
+
+
 @query("SELECT o_orderkey, CASE WHEN d = 0 THEN 'Due today' WHEN d = 1 THEN 'Due tomorrow' WHEN d > 1 THEN 'Due in ' || d || ' days' WHEN d = -1 THEN 'Overdue by 1 day' ELSE 'Overdue by ' || -d || ' days' END AS wording, CAST(round_even(greatest(0, least(1, (o_orderkey % 150 - 20) / 100.0)) * 37, 0) AS INTEGER) AS k FROM (SELECT o_orderkey, date_diff('day', DATE '1996-01-01', CAST(o_orderdate AS DATE)) AS d FROM orders)")
 def due_and_dial(spark, sf_dir):
     """Wording of due dates on a fixed day, and dial positions as steps."""
@@ -438,7 +508,10 @@ def due_and_dial(spark, sf_dir):
     return o.select("o_orderkey", zoom.due_wording(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("1996-01-01").cast("date")).alias("wording"), zoom.k_for_z((F.col("o_orderkey") % 150 - 20) / 100, F.lit(37)).alias("k"))
 
 
-@query()
+@query(rf"""WITH RECURSIVE {LEAVES}, s AS (SELECT doc_id, leaf_no, unnest(range(0, len(p))) AS pos, unnest(p) AS s FROM (SELECT *, regexp_split_to_array(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), '\n+') AS p FROM leaves)),
+t AS (SELECT *, regexp_replace({_STRIP('s')}, '^[-*]+\s*', '') AS x FROM s)
+SELECT doc_id AS tree_id, CAST(leaf_no AS INTEGER) AS leaf_id, CAST(pos AS INTEGER) AS pos, nullif(regexp_extract(x, '{claims.ACTION}', 1), '') AS who, regexp_replace({_STRIP(f"regexp_extract(x, '{claims.ACTION}', 2)")}, '[.]+$', '') AS what,
+  nullif(regexp_extract(x, '{claims.ACTION}', 3), '') AS due FROM t WHERE regexp_matches(x, '{claims.ACTION}')""")
 def doc_actions(spark, sf_dir):
     """Sentences of all leaves that say who is to do what."""
     x = chunk_leaves(_t(spark, sf_dir, "documents")).select(F.col("doc_id").alias("tree_id"), F.col("leaf_no").alias("leaf_id"), "text")
