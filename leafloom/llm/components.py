@@ -39,6 +39,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(own)
 
 
+def grown(found: DataFrame, links: DataFrame) -> DataFrame:
+    """found (node, component) after further links (a, b), between whose components only the few links that join two are followed."""
+    side = lambda k: found.select(F.col("node").alias(k), F.col("component").alias(f"_{k}"))
+    between = links.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    more = materialize(connected_components(between.where("a <> b").distinct()), "cc-grown")
+    moved = found.join(more.select(F.col("node").alias("component"), F.col("component").alias("_now")), "component", "left").select("node", F.coalesce("_now", "component").alias("component"))
+    return moved.unionByName(more).distinct()
+
+
 def _state(e: DataFrame) -> tuple:
     row = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return (row[0], row[1])

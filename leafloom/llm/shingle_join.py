@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_materialized, materialize, prepare
-from .components import connected_components
+from .components import connected_components, grown
 from .simhash import near_links
 
 WORDS, SEED = 5, 42
@@ -137,11 +137,21 @@ def _window_pairs(window: int):
     return run
 
 
+def _within(ca: np.ndarray, cb: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Whether counts by part differ by no more than those of alike sets can: (q - p) / (q + p) of their sizes' sum."""
+    apart = np.abs(ca.astype(np.int16) - cb).sum(axis=1, dtype=np.int64)
+    return sum(ALIKE) * apart <= (ALIKE[1] - ALIKE[0]) * (na + nb)
+
+
+def _counts(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BUCKETS)
+
+
 def _all_pairs(batches):
-    """Over rows (x, s, n, component) sorted by x: all pairs of one x that are in different components."""
+    """Over rows (x, s, n, component, counts) sorted by x: all pairs of one x that are in different components and may be alike by their counts."""
 
     def group(rows):
-        x, s, n, c = (np.concatenate(v) for v in zip(*rows))
+        x, s, n, c, counts = (np.concatenate(v) for v in zip(*rows))
         edge = np.concatenate(([0], np.flatnonzero(x[1:] != x[:-1]) + 1, [len(x)]))
         for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
             if (c[lo:hi] == c[lo]).all():
@@ -150,14 +160,17 @@ def _all_pairs(batches):
             for at in range(lo, hi, step):
                 to = min(hi, at + step)
                 i, j = np.nonzero((c[at:to, None] != c[None, lo:hi]) & (s[at:to, None] < s[None, lo:hi]) & _near_size(n[at:to, None], n[None, lo:hi]))
-                if len(i):
-                    yield _out(s[at + i], s[lo + j], np.zeros(0, np.int64))
+                for k in range(0, len(i), 20_000):
+                    p, q = at + i[k : k + 20_000], lo + j[k : k + 20_000]
+                    may = _within(counts[p], counts[q], n[p], n[q])
+                    if may.any():
+                        yield _out(s[p[may]], s[q[may]], np.zeros(0, np.int64))
 
     rows, size = [], 0
     for b in batches:
-        cols = [b.column(k).to_numpy() for k in range(4)]
-        if not len(cols[0]):
+        if not b.num_rows:
             continue
+        cols = [*(b.column(k).to_numpy() for k in range(4)), _counts(b.column(4))]
         if size >= 50_000 and (new := np.flatnonzero(cols[0] != rows[-1][0][-1])).size:
             rows.append([v[: new[0]] for v in cols])
             yield from group(rows)
@@ -174,10 +187,7 @@ _PAIRS = "a long, b long, pair boolean"
 def _may_be_alike(batches):
     """Over rows (a, b, na, nb, ca, cb): pairs whose counts by part do not differ by more than those of alike sets can."""
     for b in batches:
-        ca, cb = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16) for k in (4, 5))
-        apart = np.abs(ca - cb).sum(axis=1, dtype=np.int64)
-        # alike sets differ in at most (q - p) / (q + p) of their sizes' sum
-        may = sum(ALIKE) * apart <= (ALIKE[1] - ALIKE[0]) * (b.column(2).to_numpy() + b.column(3).to_numpy())
+        may = _within(_counts(b.column(4)), _counts(b.column(5)), b.column(2).to_numpy(), b.column(3).to_numpy())
         yield pa.record_batch([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(may))
 
 
@@ -220,8 +230,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("t"))
     marked = materialize(texts.mapInArrow(_measured(*_common(texts)), "id long, th long, s long, n long, files array<long>, counts binary, fp long"), "shingle-marked")
     nodes = materialize(marked.dropDuplicates(["s"]).select("s", "th", "n", "files", "counts", "fp"), "shingle-nodes")
-    links = _verified(_simhash_pairs(nodes), nodes, texts)
-    found = materialize(connected_components(links), "shingle-components")
+    found = materialize(connected_components(_verified(_simhash_pairs(nodes), nodes, texts)), "shingle-components")
 
     def filed() -> DataFrame:
         own = nodes.join(found.withColumnRenamed("node", "s"), "s", "left")
@@ -230,15 +239,16 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     by_x = filed().repartition("x").sortWithinPartitions("x", F.xxhash64("x", "s")).select("x", "s", "n", "c")
     met = materialize(by_x.mapInArrow(_window_pairs(window), _PAIRS).distinct(), "shingle-met")
     tried = met.where("pair").select("a", "b")
-    links = links.unionAll(_verified(tried, nodes, texts))
-    found = materialize(connected_components(links), "shingle-components")
+    found = materialize(grown(found, _verified(tried, nodes, texts)), "shingle-components")
     full = met.where(~F.col("pair")).select(F.col("a").alias("x"))
-    rest = filed().join(full, "x", "left_semi").select("x", "s", "n", "c")
+    # written first: a repartition right after a join by the same key would be optimized away, and adaptive execution may
+    # then turn the join into a local read that scatters the rows of one x
+    rest = filed().join(full, "x", "left_semi").join(nodes.select("s", "counts"), "s").select("x", "s", "n", "c", "counts")
+    rest = materialize(rest, "shingle-rest")
     more = rest.repartition("x").sortWithinPartitions("x").mapInArrow(_all_pairs, _PAIRS).select("a", "b").distinct()
     more = materialize(more.join(tried, ["a", "b"], "left_anti"), "shingle-more")
     if not more.isEmpty():
-        links = links.unionAll(_verified(more, nodes, texts))
-        found = materialize(connected_components(links), "shingle-components")
+        found = materialize(grown(found, _verified(more, nodes, texts)), "shingle-components")
     return marked.select("id", "th", "s").join(found.withColumnRenamed("node", "s"), "s", "left").select("id", "th", F.coalesce("component", "s").alias("component"))
 
 

@@ -61,3 +61,12 @@ def test_stage_finds_near_copies(spark, sf):
     rows = near_copies(3)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in pipeline.near_duplicates(spark, df, sf).collect()) == kept_by_brute(rows)
+
+
+def test_grown_components(spark):
+    from leafloom.llm.components import connected_components, grown
+
+    first = spark.createDataFrame([(2, 1), (4, 3), (9, 8)], "a long, b long")
+    more = spark.createDataFrame([(4, 2), (2, 4), (7, 6), (9, 7), (5, 5), (2, 1)], "a long, b long")
+    got = {r.node: r.component for r in grown(connected_components(first), more).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 6: 6, 7: 6, 8: 6, 9: 6}
