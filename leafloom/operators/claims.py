@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leafloom.functions import evidence as E
 from leafloom.functions.classify import essential_rank
-from leafloom.functions.text import cap_chars, truncate_words
+from leafloom.functions.text import cap_chars, date_phrase, truncate_words
 from leafloom.functions.units import strip
 
 # Words and characters of each field, and how many items are kept.
@@ -94,8 +94,9 @@ ACTION = r"^([A-Z][a-z]+(?: [A-Z][a-z]+)?) to (.+?)(?: (?:by|on) ((?:[A-Z][a-z]+
 
 
 def extract_actions(leaves: DataFrame) -> DataFrame:
-    """(tree_id, leaf_id, pos, who, what, due) of sentences that say who is to do what, and by when."""
+    """(tree_id, leaf_id, pos, who, what, due, due_iso, cites) of sentences that say who is to do what, and by when (MM-DD where no year is written)."""
     s = F.posexplode(F.split("text", r"(?<=[.!?])\s+|\n+", -1)).alias("pos", "s")
     x = leaves.select("tree_id", "leaf_id", s).withColumn("s", F.regexp_replace(strip(F.col("s")), r"^[-*]+\s*", "")).where(F.col("s").rlike(ACTION))
     part = lambda k: F.nullif(F.regexp_extract("s", ACTION, k), F.lit(""))
-    return x.select("tree_id", "leaf_id", "pos", part(1).alias("who"), F.regexp_replace(strip(part(2)), "[.]+$", "").alias("what"), part(3).alias("due"))
+    x = x.select("tree_id", "leaf_id", "pos", part(1).alias("who"), F.regexp_replace(strip(part(2)), "[.]+$", "").alias("what"), part(3).alias("due"))
+    return x.withColumns({"due_iso": date_phrase(F.col("due"))["iso"], "cites": F.array("leaf_id")})

@@ -71,6 +71,29 @@ def research_queue(statuses: DataFrame) -> DataFrame:
     return x.groupBy("objective", "assumption").agg(F.count("*").alias("findings"))
 
 
+def impact(findings: DataFrame, assumptions: DataFrame, statuses: DataFrame, objective: str) -> DataFrame:
+    """(section, item, told, findings, names) for one objective: how many findings have each status, the unknown assumptions that block
+    findings (most first by `findings`), findings that do not apply with what fails, and each feature's status with what opposes it."""
+    at = statuses.where(F.col("objective") == objective)
+    names = F.array_sort(F.collect_list("finding"))
+    counted = at.groupBy("status").agg(F.count("*").alias("findings"))
+    every = at.sparkSession.createDataFrame([(r,) for r in RANKS], "status string").join(counted, "status", "left")
+    none = F.array().cast("array<string>")
+    counts = every.select(F.lit("status").alias("section"), F.col("status").alias("item"), F.lit(None).cast("string").alias("told"), F.coalesce("findings", F.lit(0)).alias("findings"), none.alias("names"))
+    b = at.select("finding", "status", F.explode("blockers").alias("b")).select("finding", "status", F.expr("substring(b, 1, length(b) - 2)").alias("assumption"), F.right("b", F.lit(1)).alias("why"))
+    blocked = b.where("status = '?' and why = '?'").groupBy("assumption").agg(F.count("*").alias("findings"), names.alias("names"))
+    queue = blocked.join(assumptions.select(F.col("id").alias("assumption"), "text"), "assumption", "left").select(F.lit("queue").alias("section"), F.col("assumption").alias("item"), F.col("text").alias("told"), "findings", "names")
+    fails = at.where("status = 'N'").select(F.lit("fails").alias("section"), F.col("finding").alias("item"), F.array_join(F.filter("blockers", lambda x: x.endswith("=N")), ", ").alias("told"), F.lit(1).cast("long").alias("findings"), none.alias("names"))
+    f = feature_status(findings, at).select(F.lit("feature").alias("section"), F.col("feature").alias("item"), F.col("status").alias("told"), F.col("supporting").alias("findings"), F.col("opposed_by").alias("names"))
+    return counts.unionByName(queue).unionByName(fails).unionByName(f)
+
+
+def finding_view(findings: DataFrame, statuses: DataFrame, finding: str) -> DataFrame:
+    """(finding, objective, status, blockers, json) of one finding: a row for each objective, none where the id is unknown."""
+    one = findings.where(F.col("id") == finding).select(F.col("id").alias("finding"), F.to_json(F.struct(*findings.columns)).alias("json"))
+    return one.join(statuses.where(F.col("finding") == finding), "finding").select("finding", "objective", "status", "blockers", "json")
+
+
 def open_cells(assumptions: DataFrame, findings: DataFrame) -> DataFrame:
     """(assumption, objective, findings): every `?` written down, and how many findings rest on the assumption."""
     cells = assumptions.select(F.col("id").alias("assumption"), F.explode("holds").alias("objective", "status")).where("status = '?'")

@@ -217,6 +217,12 @@ def frontier_of(nodes: DataFrame, expanded: DataFrame, up: DataFrame) -> DataFra
     return nodes.join(on, ["tree_id", "node_id"], "left_semi")
 
 
+def prose_of(page: DataFrame) -> DataFrame:
+    """(tree_id, prose) of a page's nodes (frontier_at, frontier_of): their texts in the order of the source. A page is never more than its document."""
+    got = page.groupBy("tree_id").agg(F.array_sort(F.collect_list(F.struct("span_start", "doc_pos", "text"))).alias("_l"))
+    return got.select("tree_id", F.array_join(F.transform("_l", lambda s: s["text"]), "\n\n").alias("prose"))
+
+
 def skim_words(nodes: DataFrame) -> Column:
     """Words of a node's title and points; of its text where it has neither points nor hook, or is a leaf or the root."""
     points = F.when(F.size("key_points") > 0, F.col("key_points")).otherwise(F.array("hook"))

@@ -9,8 +9,9 @@ from leafloom.functions import classify, evidence, repair, text, units
 from leafloom.functions.chunking import leaves as chunk_leaves
 from leafloom.operators import claims, events, ledger, tree, zoom
 from leafloom.sources.files import dealt, read_extracted
+from leafloom.sources.sinks import report_lines
 
-from . import claim_queries, log_queries, tree_queries
+from . import claim_queries, log_queries, overview_queries, tree_queries
 from .tree_sql import LEAVES
 from .tree_sql import words as tree_sql_words
 
@@ -309,10 +310,10 @@ def _over(f, name: str):
     return run
 
 
-for _name, _fs in (("documents", tree_queries.QUERIES), ("orders", claim_queries.OVER_ORDERS), ("customer", claim_queries.OVER_CUSTOMERS), ("events", log_queries.OVER_EVENTS)):
+for _name, _fs in (("documents", tree_queries.QUERIES), ("orders", claim_queries.OVER_ORDERS), ("customer", claim_queries.OVER_CUSTOMERS), ("events", log_queries.OVER_EVENTS), *overview_queries.OVER):
     for _f in _fs:
         query()(_over(_f, _name))
-_SQL |= tree_queries.TREE_SQL | claim_queries._sql(_TOKENS) | log_queries.LOG_SQL
+_SQL |= tree_queries.TREE_SQL | claim_queries._sql(_TOKENS) | log_queries.LOG_SQL | overview_queries.OVERVIEW_SQL
 
 
 # ---------------------------------------------------------------- events
@@ -435,6 +436,24 @@ def experiment_conditions(spark, sf_dir):
     return events.by_condition(d, ["user_id"]).select("user_id", "condition", "documents", "sessions", F.array_join("phases", ",").alias("phases"))
 
 
+def _figure_sql(c: str) -> str:
+    tenths = f"CAST(round({c} * 10) AS BIGINT)"
+    return f"coalesce(CAST({tenths} // 10 AS VARCHAR) || CASE WHEN {tenths} % 10 > 0 THEN '.' || {tenths} % 10 ELSE '' END, '-')"
+
+
+@query(_DOCS_SQL + f""", p AS (SELECT user_id, phase, min(condition) AS condition, count(*) AS n, CAST(sum(sessions) AS BIGINT) AS sessions, median(minutes_to_know) AS know, count(minutes_to_know) AS know_n, avg(checklist_score) AS score, count(checklist_score) AS score_n, avg(tlx_raw) AS tlx, count(tlx_raw) AS tlx_n,
+  count(*) FILTER (started_within_24h) AS y24, count(*) FILTER (NOT started_within_24h) AS n24 FROM d GROUP BY user_id, phase),
+ h AS (SELECT user_id, phase_of AS phase, count(*) FILTER (event_id % 5 = 0) AS yes, count(*) FILTER (event_id % 5 <> 0) AS no FROM k WHERE event_type = 'click' GROUP BY ALL)
+SELECT user_id, phase, phase || '  condition ' || condition || '  ' || n || ' document(s), ' || sessions || ' session(s)' || chr(10) || '    Minutes to know what to do: median ' || {_figure_sql('know')} || ' (n=' || know_n || ')' || chr(10)
+  || '    Checklist score (0 to 5): mean ' || {_figure_sql('score')} || ' (n=' || score_n || ')' || chr(10) || '    Effort (0 to 100): mean ' || {_figure_sql('tlx')} || ' (n=' || tlx_n || ')' || CASE WHEN y24 + n24 > 0 THEN chr(10) || '    Started within 24 hours: yes ' || y24 || ', no ' || n24 ELSE '' END
+  || CASE WHEN yes + no > 0 THEN chr(10) || '    Did it help: yes ' || yes || ', no ' || no ELSE '' END AS text FROM p LEFT JOIN h USING (user_id, phase)""")
+def experiment_report_lines(spark, sf_dir):
+    """The report's lines for each phase of a reader."""
+    c = events.carry_experiment(_log(spark, sf_dir), ["user_id"])
+    p = events.phases_report(events.documents_report(c, ["user_id"]), c, ["user_id"])
+    return report_lines(p, ["user_id"])
+
+
 @query(_LOG_SQL + " SELECT count(*) FILTER (phase_of IS NULL) AS unassigned_events FROM k")
 def experiment_unassigned(spark, sf_dir):
     return events.unassigned(events.carry_experiment(_log(spark, sf_dir), ["user_id"]))
@@ -471,6 +490,26 @@ def ledger_features(spark, sf_dir):
     return x.select("feature", "objective", "status", "supporting", F.array_join("opposed_by", ",").alias("opposed_by"))
 
 
+@query(_LEDGER_SQL + """, p AS (SELECT * FROM s WHERE objective = 'plan'), k AS (SELECT p.finding, p.r AS worst, h.a, h.r FROM p JOIN f USING (finding) JOIN h ON h.objective = 'plan' AND list_contains(f.aa, h.a))
+SELECT 'status' AS section, n.item, NULL AS told, (SELECT count(*) FROM p WHERE ['Y', 'C', '?', 'N'][r + 1] = n.item) AS findings, '' AS names FROM (VALUES ('Y'), ('C'), ('?'), ('N')) n(item)
+UNION ALL SELECT 'queue', a, a, count(*), string_agg(finding, ',' ORDER BY finding) FROM k WHERE worst = 2 AND r = 2 GROUP BY a
+UNION ALL SELECT 'fails', finding, string_agg(a || '=N', ', ' ORDER BY a) FILTER (r = 3), 1, '' FROM k WHERE worst = 3 GROUP BY finding
+UNION ALL SELECT 'feature', feature, coalesce(['Y', 'C', '?', 'N'][min(r) FILTER (effect <> 'opposes') + 1], '-'), count(*) FILTER (effect <> 'opposes'), coalesce(string_agg(finding, ',' ORDER BY finding) FILTER (effect = 'opposes' AND r <= 1), '') FROM p GROUP BY feature""")
+def ledger_impact(spark, sf_dir):
+    """What one objective means for findings, assumptions and features."""
+    a, f, o = _ledger(spark)
+    x = ledger.impact(f, a, ledger.finding_status(f, o, ledger.holds(a, o)), "plan")
+    return x.withColumn("names", F.array_join("names", ","))
+
+
+@query(_LEDGER_SQL + """ SELECT finding, objective, ['Y', 'C', '?', 'N'][r + 1] AS status, (SELECT string_agg(h.a || '=' || ['Y', 'C', '?', 'N'][h.r + 1], ' ' ORDER BY h.a) FROM h, f WHERE f.finding = s.finding AND h.objective = s.objective AND h.r > 0 AND list_contains(f.aa, h.a)) AS blockers
+ FROM s WHERE finding = 'F2'""")
+def ledger_finding(spark, sf_dir):
+    a, f, o = _ledger(spark)
+    x = ledger.finding_view(f, ledger.finding_status(f, o, ledger.holds(a, o)), "F2")
+    return x.select("finding", "objective", "status", F.array_join("blockers", " ").alias("blockers"))
+
+
 @query(_LEDGER_SQL + """, b AS (SELECT s.objective, h.a AS assumption FROM s JOIN f USING (finding) JOIN h ON h.objective = s.objective AND list_contains(f.aa, h.a) WHERE s.r = 2 AND h.r = 2)
  SELECT objective, assumption, count(*) AS findings FROM b GROUP BY ALL""")
 def ledger_queue(spark, sf_dir):
@@ -511,8 +550,8 @@ def due_and_dial(spark, sf_dir):
 @query(rf"""WITH RECURSIVE {LEAVES}, s AS (SELECT doc_id, leaf_no, unnest(range(0, len(p))) AS pos, unnest(p) AS s FROM (SELECT *, regexp_split_to_array(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), '\n+') AS p FROM leaves)),
 t AS (SELECT *, regexp_replace({_STRIP('s')}, '^[-*]+\s*', '') AS x FROM s)
 SELECT doc_id AS tree_id, CAST(leaf_no AS INTEGER) AS leaf_id, CAST(pos AS INTEGER) AS pos, nullif(regexp_extract(x, '{claims.ACTION}', 1), '') AS who, regexp_replace({_STRIP(f"regexp_extract(x, '{claims.ACTION}', 2)")}, '[.]+$', '') AS what,
-  nullif(regexp_extract(x, '{claims.ACTION}', 3), '') AS due FROM t WHERE regexp_matches(x, '{claims.ACTION}')""")
+  nullif(regexp_extract(x, '{claims.ACTION}', 3), '') AS due, {overview_queries.iso(f"regexp_extract(x, '{claims.ACTION}', 3)")} AS due_iso FROM t WHERE regexp_matches(x, '{claims.ACTION}')""")
 def doc_actions(spark, sf_dir):
     """Sentences of all leaves that say who is to do what."""
     x = chunk_leaves(_t(spark, sf_dir, "documents")).select(F.col("doc_id").alias("tree_id"), F.col("leaf_no").alias("leaf_id"), "text")
-    return claims.extract_actions(x)
+    return claims.extract_actions(x).drop("cites")

@@ -55,3 +55,13 @@ def append_to(stream: DataFrame, path: str, checkpoint: str, trigger: str | None
     """Starts writing a stream to Parquet; with a trigger such as `5 seconds`, else all that is there and no more."""
     w = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
     return (w.trigger(processingTime=trigger) if trigger else w.trigger(availableNow=True)).start(path)
+
+
+def progress_history(spark: SparkSession, path: str, schema: str, after: int = -1) -> DataFrame:
+    """Build events that were written before a reader came, in order of seq: what a late subscriber is told first."""
+    return spark.read.schema(schema).json(path).where(F.col("seq") > after).orderBy("seq")
+
+
+def progress_stream(spark: SparkSession, path: str, schema: str, after: int = -1) -> DataFrame:
+    """The same events from the first file on and then as they arrive, so that a subscriber misses none, however late."""
+    return spark.readStream.schema(schema).option("latestFirst", "false").json(path).where(F.col("seq") > after)
