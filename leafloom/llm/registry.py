@@ -8,6 +8,7 @@ from .embed_dedup import op2_embedding_near_dedup
 from .mixing import OP10_SQL, op10_hierarchical_mixing
 from .packing import op9_cutting_stock_packing
 from .quality import op8_additive_quality
+from .ranked_search import OP11_SQL, op11_tput_ranked_search
 from .runs import op12_lyndon_word_runs
 from .simhash import op4_simhash_near_dedup
 from .suffix_dedup import op1_suffix_array_dedup
@@ -18,7 +19,7 @@ from .warc import OP3_SQL, op3_warc_revisits
 _QUERIES = (
     op1_suffix_array_dedup, op2_embedding_near_dedup, op3_warc_revisits, op4_simhash_near_dedup, op5_wavelet_token_shards,
     op6_permutation_index, op7_chat_formatting, op8_additive_quality, op9_cutting_stock_packing, op10_hierarchical_mixing,
-    op12_lyndon_word_runs, op13_overlap_token_counts,
+    op11_tput_ranked_search, op12_lyndon_word_runs, op13_overlap_token_counts,
 )
 
 
@@ -27,4 +28,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op3_warc_revisits": OP3_SQL, "op7_chat_formatting": OP7_SQL, "op10_hierarchical_mixing": OP10_SQL}
+    return {"op3_warc_revisits": OP3_SQL, "op7_chat_formatting": OP7_SQL, "op10_hierarchical_mixing": OP10_SQL, "op11_tput_ranked_search": OP11_SQL}
