@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import HOT_ROWS, PIECES, before, beside, in_blocks
+
 PHASES = ("A1", "B1", "A2", "B2")
 TLX = tuple(f"tlx_{x}" for x in ("mental", "physical", "temporal", "performance", "effort", "frustration"))
 # Range of each number; whole numbers; truth values.
@@ -65,28 +67,64 @@ def known_types(events: DataFrame, kind: str = "type") -> DataFrame:
     return events.groupBy(F.col(kind).alias("type")).agg(F.count("*").alias("events")).withColumn("known", F.coalesce(F.col("type").isin(*EVENT_TYPES), F.lit(False)))
 
 
-def carry_experiment(events: DataFrame, by: list[str]) -> DataFrame:
+_STATE = "struct<phase:string,label:string,condition:string>"
+
+
+def _states_before(folded: Column) -> Column:
+    """Of a log's blocks in order (struct `block`, ended, phase, label, alone, after): the state that each starts with, as an array of (block, state).
+
+    A block changes a state so: where it ends the experiment, nothing is kept of what came in. Else what it names replaces what came in. The
+    condition it leaves depends on whether a phase came in: `alone` without one, `after` with one, `@` being that phase's letter.
+    """
+    none = F.lit(None).cast(_STATE)
+    start = F.struct(none.alias("now"), F.array().cast(f"array<struct<block:int,state:{_STATE}>>").alias("out"))
+
+    def step(acc: Column, b: Column) -> Column:
+        came = F.when(~b["ended"], acc["now"])
+        said = F.when(came["phase"].isNull(), F.coalesce(b["alone"], came["condition"])).when(b["after"] == "@", F.substring(came["phase"], 1, 1)).otherwise(F.coalesce(b["after"], came["condition"]))
+        now = F.struct(F.coalesce(b["phase"], came["phase"]).alias("phase"), F.coalesce(b["label"], came["label"]).alias("label"), said.alias("condition"))
+        return F.struct(now.cast(_STATE).alias("now"), F.array_append(acc["out"], F.struct(b["block"].alias("block"), acc["now"].alias("state"))).alias("out"))
+
+    return F.aggregate(F.array_sort(folded), start, step, lambda acc: acc["out"])
+
+
+def carry_experiment(events: DataFrame, by: list[str], pieces: int = PIECES, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Adds phase_of, condition_of, label_of to each event that is no `experiment` one: its own values, else those carried.
 
     An `experiment` event sets what it names until another does, or until one with action `end` resets all. A phase without a
-    condition implies the condition of its first letter. by: columns that keep logs apart, one at least: each log is an ordered
-    stream of its own and is sorted in one task.
+    condition implies the condition of its first letter. by: columns that keep logs apart, one at least; each log is an ordered
+    stream of its own. A log of very many events is scanned in blocks (see scan.py): each block's change of state is folded first.
     """
     if not by:
         raise ValueError("name the columns that keep logs apart")
-    order = Window.partitionBy(*by).orderBy("seq")
+    cut = in_blocks(events, by, F.col("seq").cast("long"), pieces, hot_rows)
     is_set = F.col("type") == "experiment"
-    x = events.withColumn("_end", (is_set & (F.coalesce("action", F.lit("")) == "end")).cast("int"))
-    x = x.withColumn("_island", F.sum("_end").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    run = Window.partitionBy(*by, "_island").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    named = lambda c: F.when(is_set & (F.col("_end") == 0), F.col(c))
+    x = cut.rows.withColumn("_end", (is_set & (F.coalesce("action", F.lit("")) == "end")).cast("int"))
+    x = x.withColumn("_island", F.sum("_end").over(cut.windows("seq").rowsBetween(Window.unboundedPreceding, 0)))
+    run = Window.partitionBy(*by, "_block", "_island").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    sets = is_set & (F.col("_end") == 0)
+    named = lambda c: F.when(sets, F.col(c))
     for c in ("phase", "doc_label"):
         x = x.withColumn(f"_{c}", F.last(named(c), ignorenulls=True).over(run))
-    x = x.withColumn("_says", F.coalesce(named("condition"), F.when(is_set & (F.col("_end") == 0), F.substring("_phase", 1, 1))))
-    x = x.withColumn("_condition", F.last("_says", ignorenulls=True).over(run)).where(~F.coalesce(is_set, F.lit(False)))
+    letter = F.substring("_phase", 1, 1)
+    x = x.withColumn("_alone", F.last(F.coalesce(named("condition"), F.when(sets, letter)), ignorenulls=True).over(run))
+    if cut.hot:
+        x = x.withColumn("_after", F.last(F.coalesce(named("condition"), F.when(sets, F.coalesce(letter, F.lit("@")))), ignorenulls=True).over(run))
+        last = F.struct((F.col("_island") > 0).alias("ended"), F.col("_phase").alias("phase"), F.col("_doc_label").alias("label"), F.col("_alone").alias("alone"), F.col("_after").alias("after"))
+        folded = x.where("_cut").groupBy(*by, "_block").agg(F.max_by(last, "seq").alias("b"))
+        blocks = folded.groupBy(*by).agg(F.collect_list(F.struct(F.col("_block").alias("block"), "b.*")).alias("l"))  # a row for each block: PIECES at most
+        states = blocks.select(*by, F.inline(_states_before(F.col("l")))).withColumnsRenamed({"block": "_block", "state": "_came"})
+        x = beside(x, states, [*by, "_block"])
+    else:
+        x = x.withColumns({"_after": F.lit(None).cast("string"), "_came": F.lit(None).cast(_STATE)})
+    came = F.when(F.col("_island") == 0, F.col("_came"))
+    x = x.where(~F.coalesce(is_set, F.lit(False))).withColumn("_came", came)
+    carried = F.when(F.col("_came.phase").isNull(), F.coalesce("_alone", "_came.condition")).when(F.col("_after") == "@", F.substring("_came.phase", 1, 1)).otherwise(F.coalesce("_after", "_came.condition"))
+    x = x.withColumns({"_phase": F.coalesce("_phase", "_came.phase"), "_doc_label": F.coalesce("_doc_label", "_came.label"), "_condition": carried})
     phase = F.coalesce("phase", "_phase")
     implied = F.when(F.col("phase").isNotNull(), F.substring("phase", 1, 1)).otherwise(F.coalesce("_condition", F.substring(phase, 1, 1)))
-    return x.withColumns({"phase_of": phase, "condition_of": F.coalesce("condition", implied), "label_of": F.coalesce("doc_label", "_doc_label", F.when(F.col("tree_id") != "", F.col("tree_id")), F.lit("(unlabelled)"))}).drop("_end", "_island", "_phase", "_doc_label", "_says", "_condition")
+    out = x.withColumns({"phase_of": phase, "condition_of": F.coalesce("condition", implied), "label_of": F.coalesce("doc_label", "_doc_label", F.when(F.col("tree_id") != "", F.col("tree_id")), F.lit("(unlabelled)"))})
+    return out.drop("_end", "_island", "_phase", "_doc_label", "_alone", "_after", "_came", "_condition", "_cut", "_block")
 
 
 def documents_report(carried: DataFrame, by: list[str] = ()) -> DataFrame:
@@ -151,18 +189,35 @@ def _micros(c: Column) -> Column:
     return F.unix_micros(c.cast("timestamp"))
 
 
-def sessions(events: DataFrame, user: str, ts: str, gap_s: float) -> DataFrame:
-    """events with session_no (from 1 for each user): a new one after a pause of more than gap_s seconds. Ties go by event order given in `seq`."""
-    w = Window.partitionBy(user).orderBy(ts, "seq")
-    pause = _micros(F.col(ts)) - _micros(F.lag(ts).over(w))
-    new = F.when(pause.isNull() | (pause > gap_s * 1_000_000), 1).otherwise(0)
-    return events.withColumn("_new", new).withColumn("session_no", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+def sessions(events: DataFrame, user: str, ts: str, gap_s: float, pieces: int = PIECES, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """events with session_no (from 1 for each user): a new one after a pause of more than gap_s seconds. Ties go by event order given in `seq`.
+
+    A user of very many events is scanned in blocks of time.
+    """
+    most = gap_s * 1_000_000
+    cut = in_blocks(events, [user], _micros(F.col(ts)), pieces, hot_rows)
+    w = cut.windows(ts, "seq")
+    x = cut.rows.withColumn("_t", _micros(F.col(ts))).withColumn("_first", F.row_number().over(w) == 1)
+    pause = F.col("_t") - F.lag("_t").over(w)
+    x = x.withColumn("_new", F.when(F.col("_first"), 0).when(pause.isNull() | (pause > most), 1).otherwise(0))
+
+    def scan(few, over):
+        near = F.coalesce(F.col("_from") - F.lag("_to").over(over) <= most, F.lit(False))
+        begun = few.withColumn("_opens", (~near).cast("int"))  # whether the block's first row begins a session
+        return begun.withColumn("_base", F.sum("_opens").over(over) + F.coalesce(F.sum("_inner").over(before(over)), F.lit(0)))
 
+    x = cut.carried(x, [F.min("_t").alias("_from"), F.max("_t").alias("_to"), F.sum("_new").alias("_inner")], scan, "_base")
+    number = F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce("_base", F.lit(1))
+    return x.withColumn("session_no", number.cast("long")).drop("_t", "_first", "_new", "_base", "_cut", "_block")
 
-def reading_sessions(events: DataFrame, user: str = "user_id", ts: str = "ts", kind: str = "type", opens: str = "open", closes: str = "close", dials: tuple = ("dial",), checks: tuple = ("jump_source", "hover_source"), z: str = "z_to") -> DataFrame:
+
+def reading_sessions(events: DataFrame, user: str = "user_id", ts: str = "ts", kind: str = "type", opens: str = "open", closes: str = "close", dials: tuple = ("dial",), checks: tuple = ("jump_source", "hover_source"), z: str = "z_to", pieces: int = PIECES, hot_rows: int = HOT_ROWS) -> DataFrame:
     """A row for each island that an opening event begins: session_ms to the first close, first_zoom_ms, source_checks, max_z."""
-    w = Window.partitionBy(user).orderBy(ts, "seq").rowsBetween(Window.unboundedPreceding, 0)
-    x = events.withColumn("island", F.sum((F.col(kind) == opens).cast("int")).over(w)).where("island > 0")
+    cut = in_blocks(events, [user], _micros(F.col(ts)), pieces, hot_rows)
+    x = cut.rows.withColumn("_open", (F.col(kind) == opens).cast("int"))
+    x = cut.carried(x, [F.sum("_open").alias("_n")], lambda few, over: few.withColumn("_base", F.sum("_n").over(before(over))), "_base")
+    own = F.sum("_open").over(cut.windows(ts, "seq").rowsBetween(Window.unboundedPreceding, 0))
+    x = x.withColumn("island", F.coalesce(own, F.lit(0)) + F.coalesce("_base", F.lit(0))).where("island > 0")
     ms = lambda c: _micros(c) / 1000
     begun = F.min(F.when(F.col(kind) == opens, ms(F.col(ts))))
     return x.groupBy(user, "island").agg(
@@ -171,19 +226,28 @@ def reading_sessions(events: DataFrame, user: str = "user_id", ts: str = "ts", k
     )
 
 
-def as_of(events: DataFrame, marks: DataFrame, key: str, ts: str, value: str, within_s: float) -> DataFrame:
-    """events with the value of the latest mark of the key at or before them, no older than within_s seconds; null without one. Of marks at one time the largest value counts."""
+def as_of(events: DataFrame, marks: DataFrame, key: str, ts: str, value: str, within_s: float, pieces: int = PIECES, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """events with the value of the latest mark of the key at or before them, no older than within_s seconds; null without one. Of marks at one time the largest value counts.
+
+    A key of very many events and marks is scanned in blocks of time.
+    """
     m = marks.select(key, ts, F.lit(0).alias("_side"), F.struct(ts, value).alias("_m"), *[F.lit(None).cast(events.schema[c].dataType).alias(c) for c in events.columns if c not in (key, ts)])
     e = events.withColumns({"_side": F.lit(1), "_m": F.lit(None).cast(m.schema["_m"].dataType)})
-    w = Window.partitionBy(key).orderBy(ts, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    x = e.unionByName(m).withColumn("_last", F.max("_m").over(w)).where("_side = 1")
+    cut = in_blocks(e.unionByName(m), [key], _micros(F.col(ts)), pieces, hot_rows)
+    x = cut.carried(cut.rows, [F.max("_m").alias("_best")], lambda few, over: few.withColumn("_earlier", F.max("_best").over(before(over))), "_earlier")
+    own = F.max("_m").over(cut.windows(ts, "_side").rowsBetween(Window.unboundedPreceding, 0))
+    x = x.withColumn("_last", F.coalesce(own, F.col("_earlier").cast(m.schema["_m"].dataType))).where("_side = 1")
     fresh = _micros(F.col(ts)) - _micros(F.col(f"_last.{ts}")) <= within_s * 1_000_000
-    return x.withColumn(value, F.when(fresh, F.col(f"_last.{value}"))).drop("_side", "_m", "_last")
+    return x.withColumn(value, F.when(fresh, F.col(f"_last.{value}"))).drop("_side", "_m", "_last", "_earlier", "_cut", "_block")
 
 
-def zoom_history(events: DataFrame, user: str, ts: str, merge_s: float = 1.0, jump: int = 3) -> DataFrame:
+def zoom_history(events: DataFrame, user: str, ts: str, merge_s: float = 1.0, jump: int = 3, pieces: int = PIECES, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The last snapshot of each burst (pauses under merge_s), with big: a move of `jump` steps or more, or into another section, since the burst before."""
-    x = sessions(events, user, ts, merge_s)
+    x = sessions(events, user, ts, merge_s, pieces, hot_rows)
     last = x.groupBy(user, "session_no").agg(F.max_by(F.struct(ts, "k", "section"), F.struct(ts, "seq")).alias("s")).select(user, "session_no", "s.*")
-    w = Window.partitionBy(user).orderBy("session_no")
-    return last.withColumn("big", F.coalesce((F.abs(F.col("k") - F.lag("k").over(w)) >= jump) | ~F.col("section").eqNullSafe(F.lag("section").over(w)), F.lit(False)))
+    cut = in_blocks(last, [user], F.col("session_no"), pieces, hot_rows)
+    y = cut.carried(cut.rows, [F.max_by(F.struct("k", "section"), "session_no").alias("_end")], lambda few, over: few.withColumn("_prior", F.lag("_end").over(over)), "_prior")
+    pair = F.struct("k", "section")
+    y = y.withColumn("_was", F.coalesce(F.lag(pair).over(cut.windows("session_no")), F.col("_prior").cast(last.select(pair).schema[0].dataType)))
+    big = F.coalesce((F.abs(F.col("k") - F.col("_was.k")) >= jump) | ~F.col("section").eqNullSafe(F.col("_was.section")), F.lit(False))
+    return y.withColumn("big", big).drop("_was", "_prior", "_cut", "_block")
