@@ -114,12 +114,16 @@ def resolve_revisits(records: DataFrame, period_s: int = PERIOD_S) -> DataFrame:
     `no-base` without an earlier full response (status 200, or null, of type response; of equal times the larger record_id);
     `changed` if validators differ; `unchecked` if the two share no validator. Validators in order: ETag (weak comparison),
     Last-Modified, payload digest. Only resolved rows have the base's status and digest and merged headers, sorted by
-    name. Records without a time are never a base, and a revisit without one has no base. Repeated rows stay repeated.
+    name. Records without a time are never a base, and a revisit without one has no base. Records without a URL (null, blank, or
+    nothing but a scheme) are no one's base and have none. Repeated rows stay repeated. Headers of any length are kept whole.
+    An empty table gives an empty result.
     """
     prepare(records.sparkSession)
     lower = F.transform(F.coalesce(F.col("headers"), F.from_json(F.lit("[]"), _HEADERS)), lambda h: F.struct(F.lower(h["name"]).alias("name"), h["value"].alias("value")))
     base = F.struct("ts", "record_id", "status", "headers", "digest")
     rows = records.select("record_id", "warc_type", canonical_url(F.col("url")).alias("url_key"), F.col("ts").cast("long").alias("ts"), F.col("status").cast("int").alias("status"), lower.alias("headers"), "digest")
+    bare = rows.where("url_key = '' and warc_type = 'revisit'")
+    rows = rows.where("url_key <> ''")
     full = (F.col("warc_type") == "response") & (F.coalesce("status", F.lit(200)) == 200) & F.col("ts").isNotNull()
     rows = rows.withColumn("period", F.floor(F.col("ts") / period_s)).withColumn("base", F.when(full, base)).where(full | (F.col("warc_type") == "revisit"))
     ends = rows.where(full).groupBy("url_key", "period").agg(F.max("base").alias("end"))
@@ -129,6 +133,7 @@ def resolve_revisits(records: DataFrame, period_s: int = PERIOD_S) -> DataFrame:
     before = Window.partitionBy("url_key", "period").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
     own = rows.withColumn("near", F.when(F.col("ts").isNotNull(), F.max("base").over(before))).where(F.col("warc_type") == "revisit")
     met = own.join(line, ["url_key", "period"], "left").withColumn("b", F.coalesce("near", "carried"))
+    met = met.unionByName(bare, allowMissingColumns=True)
     weak = lambda c: F.regexp_replace(c, "^W/", "")
     mine, theirs = F.col("headers"), F.col("b.headers")
     checks = [(weak(header(mine, "etag")), weak(header(theirs, "etag"))), (header(mine, "last-modified"), header(theirs, "last-modified")), (F.col("digest"), F.col("b.digest"))]
@@ -183,7 +188,7 @@ c AS (SELECT id, m, tm, regexp_replace(regexp_replace(lower(host), '^www[0-9]*[.
         || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS url_key FROM k),
 v AS (SELECT *, tm + 2592030 AS ts FROM c),
 b AS (SELECT v.id, v.url_key, v.ts, v.m, max(struct_pack(tm := s.tm, rid := 'r' || s.id, m := s.m, day := s.id % 7)) AS base
-      FROM v LEFT JOIN c s ON s.url_key = v.url_key AND s.tm < v.ts GROUP BY ALL),
+      FROM v LEFT JOIN c s ON s.url_key = v.url_key AND v.url_key <> '' AND s.tm < v.ts GROUP BY ALL),
 o AS (SELECT *, CASE WHEN base IS NULL OR base.rid IS NULL THEN 'no-base'
    WHEN id % 5 = 3 THEN 'unchecked' WHEN id % 5 = 0 THEN 'changed'
    WHEN id % 5 = 1 THEN CASE WHEN base.day = id % 7 THEN 'resolved' ELSE 'changed' END

@@ -15,7 +15,7 @@ from leafloom.llm.tokens import load, tokenizer_path
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_against_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     df = registry.queries()[name](spark, sf)
     cols = sorted(df.columns)
@@ -217,3 +217,17 @@ def test_files_and_resolution(spark, tmp_path):
 def test_digest_shas_are_of_whole_texts(spark, sf):
     out = {r.conv_id: r for r in chat.op7_chat_formatting(spark, sf).collect()}
     assert out[-1].loss_sha256 == hashlib.sha256(b"<|im_end|><|im_start|>assistant ok").hexdigest() and out[-1].n_turns == 2
+
+
+def test_revisits_without_a_url_and_odd_rows(spark):
+    h = lambda **x: [(k, v) for k, v in x.items()]
+    long = "v" * 200_000
+    rows = [
+        ("a", "response", None, 10, 200, h(etag="1"), "d"), ("b", "revisit", None, 20, 304, h(etag="1"), None), ("c", "response", "  ", 10, 200, h(etag="1"), "d"),
+        ("d", "revisit", " ", 20, 304, h(etag="1"), None), ("e", "revisit", "https://", 20, 304, h(etag="1"), "d"),
+        ("f", "response", "x.org", 10, None, h(etag="1", big=long), "d"), ("g", "revisit", "X.org/", 20, 304, h(etag="1"), None), ("g", "revisit", "X.org/", 20, 304, h(etag="1"), None), ("h", "revisit", "x.org", None, None, None, None),
+    ]
+    kind = "record_id string, warc_type string, url string, ts long, status int, headers array<struct<name:string,value:string>>, digest string"
+    odd = spark.createDataFrame(rows, kind).withColumns({"base": F.lit(1), "period": F.lit("p"), "outcome": F.lit("mine"), "url_key": F.lit("k")})
+    got = sorted((r.record_id, r.outcome, r.base_id, dict(r.headers or []).get("big") == long) for r in warc.resolve_revisits(odd).collect())
+    assert got == [(x, "no-base", None, False) for x in "bde"] + [("g", "resolved", "f", True)] * 2 + [("h", "no-base", None, False)]

@@ -118,3 +118,14 @@ def test_pieces_cover_all_tokens(staged):
 
 def test_run(spark, sf, staged):
     assert {(r.doc_id, r.start) for r in pipeline.run(spark, sf).collect()} == {(r.doc_id, r.start) for r in staged[5]}
+
+
+def test_repeated_rows_stay_within_the_mix(spark, sf):
+    """Ten equal rows and one other: the stage returns what the mix takes, not all copies of it."""
+    from leafloom.llm.mixing import mix
+
+    docs = spark.createDataFrame([(1, "one two three four five", "en", "s1", 23, k) for k in range(10)] + [(2, "a b c", "en", "s1", 5, 0)], "doc_id long, text string, lang string, source string, n_chars long, mine int")
+    taken = mix(docs, {"domain": pipeline.DOMAIN_WEIGHTS, "lang": pipeline.LANG_WEIGHTS}, pipeline.MIX_PERCENT, pipeline.MIX_EPOCHS, pipeline.MIX_SEED)
+    want = Counter(r.doc_id for r in taken.collect())
+    rows = pipeline.mixing(spark, docs, sf).collect()
+    assert Counter(r.doc_id for r in rows) == want and 0 < want[1] < 10 and sum(len(r.text.split()) for r in rows) <= 42
