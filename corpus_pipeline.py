@@ -2,7 +2,7 @@
 
 Every stage takes (spark, docs, sf_dir) and, but for the last, returns the columns of documents. Null texts count as empty, rows
 without a doc_id go through like any, repeated rows are documents of their own until the near-duplicate stage keeps one of
-them, and an empty table gives an empty result; columns beside those of documents go through the filters and have no effect.
+them, texts of any length are taken whole, and an empty table gives an empty result; columns beside those of documents go through the filters and have no effect.
 """
 
 from __future__ import annotations
@@ -48,12 +48,23 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the hierarchical budgets take."""
+    """Documents that the hierarchical budgets take.
+
+    The mix takes rows, and rows with one id, text, language and source are alike to it: where it takes fewer of them than there are, that
+    many stay (with the smallest of their further columns).
+    """
+    keys = ["_id", "_md5", "_lang", "_source"]
     chosen = mix(docs, {"domain": DOMAIN_WEIGHTS, "lang": LANG_WEIGHTS}, MIX_PERCENT, MIX_EPOCHS, MIX_SEED)
-    none = F.lit(-(2**63))
-    chosen = chosen.select(F.coalesce("doc_id", none).alias("_mix_id"), F.col("text_md5").alias("_mix_md5"))
-    keyed = docs.withColumns({"_mix_id": F.coalesce(F.col("doc_id").cast("long"), none), "_mix_md5": F.md5(F.coalesce("text", F.lit("")))})
-    return keyed.join(chosen, ["_mix_id", "_mix_md5"], "left_semi").select(docs.columns)
+    none, word = F.lit(-(2**63)), lambda c: F.coalesce(F.col(c), F.lit(""))
+    named = [F.coalesce(F.col("doc_id").cast("long"), none).alias("_id"), word("lang").alias("_lang"), word("source").alias("_source")]
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *named, F.md5(word("text")).alias("_md5"))
+    taken = chosen.select(*named, F.col("text_md5").alias("_md5"), F.lit(0).alias("_held"), F.lit(1).alias("_taken"))
+    counts = keyed.select(*keys, F.lit(1).alias("_held"), F.lit(0).alias("_taken")).unionByName(taken).groupBy(*keys).agg(F.sum("_held").alias("_held"), F.sum("_taken").alias("_taken"))
+    counts = materialize(counts.where("_taken > 0"), "mix-taken")
+    whole = keyed.join(counts.where("_taken >= _held").select(keys), keys, "left_semi").select("_row")
+    some = keyed.join(counts.where("_taken < _held"), keys)  # repeated rows only: one for each group goes into the shuffle from a task
+    some = some.groupBy(*keys, "_taken").agg(F.min("_row").alias("_row")).select("_row", F.explode(F.sequence(F.lit(1), F.col("_taken").cast("int")))).select("_row")
+    return whole.unionAll(some).select("_row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
