@@ -15,7 +15,7 @@ from leafloom.functions.text import cap_chars, date_phrase, truncate_words
 from leafloom.functions.units import head_words, strip
 
 from .claims import overview_line
-from .tree import Summariser
+from .tree import Request, Summariser
 
 # Words and characters of an overview's title and kind; share by which a summary may miss its length.
 TITLE, KIND, LENGTH_TOLERANCE = (16, 200), (4, 40), 0.35
@@ -141,18 +141,37 @@ def _reply(said: str | None) -> dict | None:
     """The JSON object in a reply, with or without a fence around it or words before and after."""
     found = re.search(r"\{.*\}", said or "", re.DOTALL)
     try:
-        got = json.loads(found[0]) if found else None
+        got = json.loads(found[0], parse_constant=lambda _: None) if found else None  # NaN and infinities say nothing
     except ValueError:
         return None
     return got if isinstance(got, dict) else None
 
 
+#: Characters and entries of any one value of a reply that travel on: far more than a field may keep, and a bound on what a model can make us carry.
+CARRIED_CHARS, CARRIED_ITEMS = 4_000, 1_000
+
+
+def _carried(v, depth: int = 0):
+    if isinstance(v, str):
+        return v[:CARRIED_CHARS]
+    if isinstance(v, list):
+        return [_carried(x, depth + 1) for x in v[:CARRIED_ITEMS]] if depth < 3 else None
+    if isinstance(v, dict):
+        return {str(k)[:100]: _carried(x, depth + 1) for k, x in list(v.items())[:CARRIED_ITEMS]} if depth < 3 else None
+    return v
+
+
 def asking(ask: Callable[[str, str], str | None], system: str = "") -> Summariser:
-    """A summariser for build_trees() from a function (prompt, system) -> reply. A reply that is no JSON is asked for once more, then the build
-    fails with ReplyError; a summary that misses its length by more than LENGTH_TOLERANCE is asked for once more and taken as it comes."""
+    """A summariser for build_trees() from a function (prompt, system) -> reply.
+
+    The prompt names every part and every citable passage by its id (Request.prompt). A reply that is no JSON is asked for once more, then the
+    build fails with ReplyError; a summary that misses its length by more than LENGTH_TOLERANCE is asked for once more and taken as it comes.
+    Only text and cites are used while the tree is built; the other fields travel in `reply` and are read by replies.told().
+    """
 
-    def summarise(texts: list[str], target: int) -> dict:
-        prompt = f"Target length: about {target} words\n\n" + "\n\n".join(texts)
+    def summarise(request: list[str], target: int) -> dict:
+        body = request.prompt() if isinstance(request, Request) else "\n\n".join(request)
+        prompt = f"Target length: about {target} words\n\n{body}"
         got = _reply(ask(prompt, system))
         if got is None:
             got = _reply(ask(prompt + "\n\nThat was no valid JSON. Answer with one JSON object and nothing else.", system))
@@ -165,7 +184,7 @@ def asking(ask: Callable[[str, str], str | None], system: str = "") -> Summarise
             if again is not None:
                 retold = again["text"].strip() if isinstance(again.get("text"), str) else ""
                 got, text = again, retold or text
-        lists = {k: got[k] if isinstance(got.get(k), list) else [] for k in ("key_points", "cites") if k in got}
-        return {**got, **lists, "text": text}
+        cites = got["cites"] if isinstance(got.get("cites"), list) else []
+        return {"text": text, "cites": [c for c in cites if isinstance(c, str)], "reply": _carried({k: v for k, v in got.items() if k not in ("text", "cites")})}
 
     return summarise

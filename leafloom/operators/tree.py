@@ -2,11 +2,13 @@
 
 A document's tree is bounded by the document, so a whole tree is built in the Arrow batch that holds its text: no shuffle and no
 driver loop over levels. The first level and the queries over finished trees are relational (first_level_groups, closure and
-zoom.py). A summariser is any function of (children's texts, target words) to a dict of fields; the default is extractive.
+zoom.py). A summariser is any function of (a Request, target words) to a dict of fields; the default is extractive. A model's replies
+are kept as they came (`reply`) and turned into fields by Columns (replies.py).
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -15,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafloom.functions.chunking import TINY_WORDS, chunk, word_count
+from leafloom.sources.shared import written
 
 # Children per summary, words of the final summary, rounds.
 RATIO, GIST_WORDS, ROUNDS, CONTEXT_CHARS = 3, 25, 40, 6000
@@ -40,6 +43,7 @@ class Node:
     hook: str | None = None
     key_points: list[str] = field(default_factory=list)
     depth: int = 0
+    reply: str | None = None
 
     def leaves(self) -> Iterator[Node]:
         if self.is_leaf:
@@ -89,30 +93,62 @@ def summary_target(words: int) -> int:
     return max(1, round(words / RATIO))
 
 
-def citable(children: list[Node], budget: int = CONTEXT_CHARS) -> list[str]:
-    """Leaves shown with a prompt: in order, until their characters reach the budget (the last one may be cut)."""
+def citable(children: list[Node], budget: int = CONTEXT_CHARS) -> list[tuple[str, str]]:
+    """(id, text) of the leaves shown with a prompt: in order, until their characters reach the budget (the last one may be cut)."""
     out, used = [], 0
     for leaf in (x for c in children for x in c.leaves()):
-        out.append(leaf.id)
-        used += min(len(leaf.text), budget - used)
+        out.append((leaf.id, leaf.text[: budget - used]))
+        used += len(out[-1][1])
         if used >= budget:
             break
     return out
 
 
+class Request(list):
+    """What a summariser is given: the children's texts, and beside them their ids and words and the leaves it may cite."""
+
+    def __init__(self, group: list[Node]):
+        super().__init__(c.text for c in group)
+        self.ids, self.words, self.shown = [c.id for c in group], [c.words for c in group], citable(group)
+
+    def prompt(self) -> str:
+        """Parts with their ids, then the passages that they come from with theirs: what a reply names them by."""
+        parts = [f"[part {i}, {n} words]\n{t}" for i, n, t in zip(self.ids, self.words, self)]
+        told = [f"[passage {i}]\n{t}" for i, t in self.shown]
+        last = f"Parts to rate and name: {', '.join(self.ids)}\nPassages to cite: {', '.join(i for i, _ in self.shown)}"
+        return "\n\n".join(["Summarise these parts, in their order.", *parts, "The passages behind them:", *told, last])
+
+
+def _said(x) -> str | None:
+    return x if isinstance(x, str) else None
+
+
+def _share(x) -> float | None:
+    try:
+        n = float(x)
+    except (TypeError, ValueError, OverflowError):
+        return None
+    return None if isinstance(x, bool) or n != n else max(0.0, min(1.0, n))
+
+
 def _summarised(group: list[Node], node_id: str, summarise: Summariser) -> Node:
     target = summary_target(sum(c.words for c in group))
-    got = summarise([c.text for c in group], target)
-    text = " ".join((got.get("text") or " ".join(c.text for c in group)[:200]).split()[: min(400, max(60, 3 * target))])
-    shown = citable(group)
+    asked = Request(group)
+    got = summarise(asked, target)
+    text = " ".join((_said(got.get("text")) or " ".join(c.text for c in group)[:200]).split()[: min(400, max(60, 3 * target))])
+    shown, cites, points = [i for i, _ in asked.shown], got.get("cites"), got.get("key_points")
     node = Node(
         node_id, text, word_count(text), (min(c.span[0] for c in group), max(c.span[1] for c in group)), False, children=list(group),
-        cites=[c for c in got.get("cites", shown) if c in shown], title=got.get("title"), short_title=got.get("short_title"), hook=got.get("hook"), key_points=list(got.get("key_points") or [])[:4],
+        cites=[c for c in shown if c in cites] if isinstance(cites, list) else shown, title=_said(got.get("title")), short_title=_said(got.get("short_title")), hook=_said(got.get("hook")),
+        key_points=[x for x in points if _said(x)][:4] if isinstance(points, list) else [],
     )
-    given = got.get("importance", {})
+    if "reply" in got:
+        node.reply = json.dumps({"said": got["reply"], "shown": shown})
+    given = got.get("importance")
     for k, c in enumerate(group):
         c.parent = node
-        c.importance = max(0.0, min(1.0, float(given.get(k, c.importance))))
+        rated = _share(given.get(c.id, given.get(k))) if isinstance(given, dict) else None
+        c.importance = c.importance if rated is None else rated
     return node
 
 
@@ -133,8 +169,8 @@ def collapsed(root: Node) -> Node:
     return root
 
 
-def build_tree(text: str | None, summarise: Summariser = extractive) -> Node:
-    """The tree of one document; ids are level and position, so that they follow from the text alone."""
+def build_tree(text: str | None, summarise: Summariser = extractive, collapse: bool = True) -> Node:
+    """The tree of one document; ids are level and position, so that they follow from the text alone. Without collapse, levels that a lone node passes through stay."""
     parts = chunk(text)
     nodes = [Node(f"n00-{k:06d}", t, w, (a, b), atomic=atomic) for k, (t, w, a, b, atomic, _) in enumerate(parts)]
     if word_count(text or "") <= TINY_WORDS or len(nodes) == 1 and nodes[0].words <= GIST_WORDS:
@@ -149,7 +185,7 @@ def build_tree(text: str | None, summarise: Summariser = extractive) -> Node:
         if len(nodes) == 1 and not nodes[0].is_leaf and nodes[0].words <= GIST_STOP:
             break
         groups = grouped(nodes)
-    root = collapsed(nodes[0])
+    root = collapsed(nodes[0]) if collapse else nodes[0]
     root.parent, root.importance = None, 1.0
     todo = [root]
     while todo:
@@ -180,18 +216,22 @@ def rows_of(root: Node) -> list[tuple]:
     ]
 
 
-def build_trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", summarise: Summariser = extractive) -> DataFrame:
-    """(tree_id, NODE_SCHEMA): a row for each node; doc_pos is its place in document order, parents before children."""
+def build_trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", summarise: Summariser = extractive, replies: bool = False) -> DataFrame:
+    """(tree_id, NODE_SCHEMA): a row for each node; doc_pos is its place in document order, parents before children.
+
+    With replies, nodes come with `reply`, a model's own words, and no level has been taken out: see replies.py.
+    """
 
-    names = ["tree_id", *NODE_FIELDS]
+    names = ["tree_id", *NODE_FIELDS, *(["reply"] if replies else [])]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(i, *r) for i, t in zip(pdf[id_col], pdf[text_col]) for r in rows_of(build_tree(t, summarise))]
+            trees = ((i, build_tree(t, summarise, collapse=not replies)) for i, t in zip(pdf[id_col], pdf[text_col]))
+            rows = [(i, *r, n.reply) if replies else (i, *r) for i, root in trees for r, n in zip(rows_of(root), root.walk())]
             yield pd.DataFrame(rows, columns=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInPandas(run, f"tree_id {kind}, {NODE_SCHEMA}")
+    return docs.select(id_col, text_col).mapInPandas(run, f"tree_id {kind}, {NODE_SCHEMA}{', reply string' if replies else ''}")
 
 
 # ---------------------------------------------------------------- relational parts
@@ -233,6 +273,52 @@ def with_ancestors(nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return now
 
 
+def _jumped(links: DataFrame) -> DataFrame:
+    """links (tree_id, node_id, to, n) followed to their ends, n summed: each round every link takes its target's link too, so that a
+    path of any length is followed in as many rounds as its length has binary digits."""
+    now, moved = written(links, "links"), True
+    while moved:
+        ahead = now.select("tree_id", F.col("node_id").alias("to"), F.col("to").alias("_to"), F.col("n").alias("_n"))
+        nxt = now.join(ahead, ["tree_id", "to"], "left")
+        nxt = written(nxt.select("tree_id", "node_id", F.coalesce("_to", "to").alias("to"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"), F.col("_to").isNotNull().alias("_moved")), "links")
+        moved = not nxt.where("_moved").isEmpty()
+        now = nxt.drop("_moved")
+    return now
+
+
+def collapsed_stored(nodes: DataFrame) -> DataFrame:
+    """Stored nodes (tree_id, node_id, parent, is_leaf, importance, title, short_title and more) without pass-through levels, as collapsed()
+    leaves them: parent, depth, importance and titles are those of the new shape; other columns stay.
+
+    An internal node that is its parent's only child is absorbed, together with the chain that it stands in, by the nearest node above that
+    is not: pointers up the chain are doubled, never walked. Then an internal node left with one leaf becomes that leaf, which takes its
+    importance and, where it has none of its own, its titles. A root stays. Nodes whose parent is missing are roots of their own.
+    """
+    key = ["tree_id", "node_id"]
+    born = nodes.select(*key, "parent", "is_leaf")
+    kids = born.where("parent is not null").groupBy("tree_id", F.col("parent").alias("node_id")).agg(F.count("*").alias("_kids"))
+    lone = born.where("not is_leaf and parent is not null").join(kids.withColumnRenamed("node_id", "parent"), ["tree_id", "parent"]).where("_kids = 1")
+    top = _jumped(lone.select(*key, F.col("parent").alias("to"), F.lit(1).alias("n")))
+    gone = top.select(*key)
+    to_top = top.select("tree_id", F.col("node_id").alias("parent"), F.col("to").alias("_top"))
+    kept = born.join(gone, key, "left_anti").join(to_top, ["tree_id", "parent"], "left").select(*key, F.coalesce("_top", "parent").alias("parent"), "is_leaf")
+    kept = written(kept, "kept-nodes")
+    # internal nodes other than roots with one leaf and nothing else
+    under = kept.where("parent is not null").groupBy("tree_id", F.col("parent").alias("node_id")).agg(F.count("*").alias("_kids"), F.min("node_id").alias("_leaf"), F.bool_and("is_leaf").alias("_leafy"))
+    shed = kept.where("not is_leaf and parent is not null").join(under, key).where("_kids = 1 and _leafy").select("tree_id", "node_id", F.col("parent").alias("_up"), "_leaf")
+    said = nodes.select(*key, *[F.col(c).alias(f"_{c}") for c in ("importance", "title", "short_title")])
+    heirs = shed.join(said, key).select("tree_id", F.col("_leaf").alias("node_id"), "_up", "_importance", "_title", "_short_title", F.lit(True).alias("_heir"))
+    out = kept.join(shed.select(*key), key, "left_anti").join(heirs, key, "left")
+    out = written(out.select(*key, F.when(F.col("_heir"), F.col("_up")).otherwise(F.col("parent")).alias("_parent"), "_heir", "_importance", "_title", "_short_title"), "shaped-nodes")
+    depth = _jumped(out.where("_parent is not null").select(*key, F.col("_parent").alias("to"), F.lit(1).alias("n"))).select(*key, F.col("n").alias("_depth"))
+    own = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col(c)).otherwise(F.col(f"_{c}"))
+    x = nodes.join(out, key).join(depth, key, "left")
+    return x.withColumns({
+        "parent": F.col("_parent"), "depth": F.coalesce("_depth", F.lit(0)).cast("int"), "importance": F.when(F.col("_heir"), F.col("_importance")).otherwise(F.col("importance")),
+        "title": F.when(F.col("_heir"), own("title")).otherwise(F.col("title")), "short_title": F.when(F.col("_heir"), own("short_title")).otherwise(F.col("short_title")),
+    }).drop("_parent", "_heir", "_importance", "_title", "_short_title", "_depth")
+
+
 def sections(nodes: DataFrame) -> DataFrame:
     """(tree_id, node_id, section_no): nodes of the first depth below the root that has two or more, in document order."""
     first = nodes.where("depth >= 1").groupBy("tree_id", "depth").count().where("count >= 2").groupBy("tree_id").agg(F.min("depth").alias("depth"))

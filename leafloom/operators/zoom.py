@@ -240,6 +240,79 @@ def anchor_for(page: DataFrame, offset: Column) -> DataFrame:
     return page.groupBy("tree_id").agg(F.min_by("node_id", rank).alias("anchor"))
 
 
+def _pieces(page: DataFrame, width: int) -> DataFrame:
+    """page with a row for each bucket of `width` characters that a node's span touches."""
+    last = F.greatest(F.col("span_start"), F.col("span_end") - 1)
+    return page.withColumn("_bucket", F.explode(F.sequence((F.col("span_start") / width).cast("long"), (last / width).cast("long"))))
+
+
+def anchors_at(page: DataFrame, offsets: DataFrame, width: int = 4096) -> DataFrame:
+    """offsets (tree_id, offset_id, offset) with anchor: the node of the page that anchor_for() names, for any number of offsets a tree.
+
+    Offsets meet the nodes of their own bucket of characters only. Those that no node holds take the nearer middle of the node before
+    and the node behind in the order of middles, found by running over nodes and offsets together; of equal distances the first node in
+    document order counts. No offset is compared with all nodes of its tree. Offsets without a tree keep a null anchor; a null offset
+    has none either.
+    """
+    asked = offsets.select("tree_id", "offset_id", "offset")
+    near = page.select("tree_id", "node_id", "doc_pos", "span_start", "span_end")
+    at = asked.where("offset is not null").withColumn("_bucket", F.floor(F.col("offset") / width))
+    met = at.join(_pieces(near, width), ["tree_id", "_bucket"]).where("span_start <= offset and offset < span_end")
+    rank = F.struct((F.col("span_end") - F.col("span_start")).alias("a"), F.col("doc_pos"))
+    held = met.groupBy("tree_id", "offset_id").agg(F.min_by("node_id", rank).alias("_held"))
+    # of nodes with one middle the first stands for all, so a node is told from an offset by its middle alone
+    middle = (F.col("span_start") + F.col("span_end")) / 2
+    mids = near.groupBy("tree_id", middle.alias("at")).agg(F.min(F.struct("doc_pos", "node_id")).alias("n"))
+    both = mids.select("tree_id", "at", F.struct("at", F.col("n.doc_pos").alias("doc_pos"), F.col("n.node_id").alias("node_id")).alias("n"), F.lit(None).cast(asked.schema["offset_id"].dataType).alias("offset_id"), F.lit(False).alias("_asked"))
+    left = at.join(held, ["tree_id", "offset_id"], "left_anti").select("tree_id", F.col("offset").cast("double").alias("at"), F.lit(None).cast(both.schema["n"].dataType).alias("n"), "offset_id", F.lit(True).alias("_asked"))
+    line = both.unionByName(left)
+    w = Window.partitionBy("tree_id").orderBy("at")
+    line = line.withColumns({
+        "_b": F.last("n", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0)), "_a": F.first("n", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing)),
+    }).where("_asked")
+    side = lambda c: F.struct(F.abs(F.col(f"{c}.at") - F.col("at")).alias("d"), F.col(f"{c}.doc_pos").alias("p"), F.col(f"{c}.node_id").alias("id"))
+    best = F.array_min(F.filter(F.array(side("_b"), side("_a")), lambda x: x["id"].isNotNull()))
+    nearest = line.select("tree_id", "offset_id", best["id"].alias("_near"))
+    out = asked.join(held, ["tree_id", "offset_id"], "left").join(nearest, ["tree_id", "offset_id"], "left")
+    return out.select("tree_id", "offset_id", "offset", F.coalesce("_held", "_near").alias("anchor"))
+
+
+def page_words(nodes: DataFrame, steps: DataFrame, opened: DataFrame, reveal: DataFrame) -> DataFrame:
+    """(tree_id, k, page_words): words on the page after every number k of steps, from 0 on, for all trees at once.
+
+    A node is on the page from the step that reveals it to the step that opens it, in short form until its paragraph is shown. So each node
+    adds its words where it comes, what its paragraph adds where that is shown, and takes both away where it opens; a running sum over the
+    steps gives every page. No page is built. Before the first step the page is the root's hook, else its text.
+    """
+    n = nodes.join(reveal.withColumnRenamed("k", "_from"), ["tree_id", "node_id"]).where("_from is not null").join(opened, ["tree_id", "node_id"], "left")
+    shown = steps.where("form = 'prose'").groupBy("tree_id", "node_id").agg(F.min("step").alias("_shown"))
+    n = n.join(shown, ["tree_id", "node_id"], "left").withColumn("_skim", skim_words(n))
+    # a paragraph counts while the node is on the page: from its own step, or from when the node comes, if that is later
+    prose = F.when(F.col("_shown").isNotNull() & (F.col("opened_at").isNull() | (F.greatest("_shown", "_from") < F.col("opened_at"))), F.greatest("_shown", "_from"))
+    more = F.col("words") - F.col("_skim")
+    change = lambda k, v: F.struct(k.cast("int").alias("k"), v.cast("long").alias("v"))
+    last = F.col("_skim") + F.when(prose.isNotNull(), more).otherwise(0)
+    parts = F.array(change(F.col("_from"), F.col("_skim")), change(prose, more), change(F.col("opened_at"), -last))
+    diffs = n.select("tree_id", F.inline(parts)).where("k is not null").unionByName(steps.select("tree_id", F.col("step").alias("k"), F.lit(0).cast("long").alias("v")))
+    sums = diffs.groupBy("tree_id", "k").agg(F.sum("v").alias("v"))
+    run = Window.partitionBy("tree_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    hook = F.when(F.coalesce("hook", F.lit("")) != "", F.col("hook")).otherwise(F.col("text"))
+    gist = nodes.where("parent is null").select("tree_id", words_of(hook).alias("_gist"))
+    x = sums.select("tree_id", "k", F.sum("v").over(run).alias("page_words")).join(gist, "tree_id")
+    return x.select("tree_id", "k", F.when(F.col("k") == 0, F.col("_gist")).otherwise(F.col("page_words")).cast("long").alias("page_words"))
+
+
+def dial_for_minutes(words: DataFrame, whole: DataFrame, targets: list[float], minutes_of) -> DataFrame:
+    """(tree_id, minutes, z): where the dial starts for a reader with so many minutes, by initial_z() over every page.
+
+    words: page_words(). whole (tree_id, words): of the source. minutes_of: words to minutes, as a Column function.
+    """
+    total = words.groupBy("tree_id").agg(F.greatest(F.max("k"), F.lit(1)).alias("total"))
+    x = words.join(total, "tree_id").join(whole.select("tree_id", minutes_of(F.col("words")).alias("_whole")), "tree_id")
+    x = x.withColumn("minutes", F.explode(F.array(*map(F.lit, targets)))).withColumn("page_minutes", minutes_of(F.col("page_words")))
+    return x.groupBy("tree_id", "minutes").agg(initial_z(x, F.col("minutes"), F.col("_whole"), F.col("total")).alias("z"))
+
+
 def words_in_source(nodes: DataFrame, up: DataFrame) -> DataFrame:
     """(tree_id, node_id, source_words): words of the leaves below; a sixth of the span where they have none."""
     leaf = nodes.where("is_leaf").select("tree_id", "node_id", "words")

@@ -9,9 +9,10 @@ from leafloom.functions import classify, evidence, repair, text, units
 from leafloom.functions.chunking import leaves as chunk_leaves
 from leafloom.operators import claims, events, ledger, tree, zoom
 from leafloom.sources.files import dealt, read_extracted
+from leafloom.sources.shared import written
 from leafloom.sources.sinks import report_lines
 
-from . import claim_queries, log_queries, overview_queries, tree_queries
+from . import claim_queries, log_queries, mail_queries, overview_queries, tree_queries
 from .tree_sql import LEAVES
 from .tree_sql import words as tree_sql_words
 
@@ -289,7 +290,7 @@ def doc_trees(spark, sf_dir):
 @query()
 def tree_sections(spark, sf_dir):
     n = tree.build_trees(_t(spark, sf_dir, "documents").select("doc_id", "text"))
-    return tree.sections(n)
+    return tree.sections(written(n.select("tree_id", "node_id", "depth", "doc_pos"), "nodes"))
 
 
 @query()
@@ -310,10 +311,10 @@ def _over(f, name: str):
     return run
 
 
-for _name, _fs in (("documents", tree_queries.QUERIES), ("orders", claim_queries.OVER_ORDERS), ("customer", claim_queries.OVER_CUSTOMERS), ("events", log_queries.OVER_EVENTS), *overview_queries.OVER):
+for _name, _fs in (("documents", tree_queries.QUERIES), ("orders", claim_queries.OVER_ORDERS), ("customer", claim_queries.OVER_CUSTOMERS), ("events", log_queries.OVER_EVENTS), ("conversations", (mail_queries.mail_by_account,)), *overview_queries.OVER):
     for _f in _fs:
         query()(_over(_f, _name))
-_SQL |= tree_queries.TREE_SQL | claim_queries._sql(_TOKENS) | log_queries.LOG_SQL | overview_queries.OVERVIEW_SQL
+_SQL |= {"mail_by_account": mail_queries.MAIL_SQL} | tree_queries.TREE_SQL | claim_queries._sql(_TOKENS) | log_queries.LOG_SQL | overview_queries.OVERVIEW_SQL
 
 
 # ---------------------------------------------------------------- events

@@ -38,14 +38,13 @@ def event_types_known(events):
 
 
 def event_batches(events):
-    """Batches of a user's events as they are posted: why they are refused."""
-    one = F.concat(F.lit('{"type": "'), _kind(), F.lit('"}'))
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    few = events.withColumn("_n", F.row_number().over(w)).where("_n <= 3")
-    b = few.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_list(one)), ",").alias("b"))
+    """Each user's events of a day as they are posted, some of them spoilt: why batches are refused."""
+    one = F.struct("event_id", F.concat(F.lit('{"type": "'), _kind(), F.lit('"}')).alias("json"))
+    day = F.to_date("ts").alias("day")
+    b = events.groupBy("user_id", day).agg(F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["json"]), ",").alias("b"))
     u = F.col("user_id") % 4
     batch = F.when(u == 0, F.concat(F.lit("["), "b", F.lit("]"))).when(u == 1, F.concat(F.lit("[1,"), "b", F.lit("]"))).when(u == 2, F.concat(F.lit('{"all": ['), "b", F.lit("]}"))).otherwise(F.concat(F.lit("["), "b"))
-    return b.select("user_id", E.batch_problem(batch).alias("problem"))
+    return b.select("user_id", "day", E.batch_problem(batch, 4_000).alias("problem"))
 
 
 def event_fields_clean(events):
@@ -83,7 +82,10 @@ s AS (SELECT *, sum(new_) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS
 l AS (SELECT user_id, CAST(session_no AS BIGINT) AS session_no, ts, event_id % 7 AS k, event_id % 3 AS section FROM s QUALIFY row_number() OVER (PARTITION BY user_id, session_no ORDER BY ts DESC, event_id DESC) = 1)
 SELECT *, abs(k - lag(k) OVER w) >= 3 OR section IS DISTINCT FROM lag(section) OVER w AS big FROM l WINDOW w AS (PARTITION BY user_id ORDER BY session_no)""",
     "event_types_known": f"SELECT {_KIND} AS type, count(*) AS events, true AS known FROM events GROUP BY ALL",
-    "event_batches": "SELECT user_id, CASE user_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'no array of objects' ELSE 'no array' END AS problem FROM events GROUP BY user_id",
+    "event_batches": f"""WITH b AS (SELECT user_id, CAST(ts AS DATE) AS day, string_agg('{{"type": "' || {_KIND} || '"}}', ',' ORDER BY event_id) AS b FROM events GROUP BY ALL),
+t AS (SELECT *, CASE user_id % 4 WHEN 0 THEN '[' || b || ']' WHEN 1 THEN '[1,' || b || ']' WHEN 2 THEN '{{"all": [' || b || ']}}' ELSE '[' || b END AS batch FROM b),
+j AS (SELECT *, TRY_CAST(batch AS JSON) AS v FROM t)
+SELECT user_id, day, CASE WHEN strlen(batch) > 4000 THEN 'too large' WHEN v IS NULL OR json_type(v) <> 'ARRAY' THEN 'no array' WHEN len([x FOR x IN json_extract(v, '$[*]') IF json_type(x) <> 'OBJECT']) > 0 THEN 'no array of objects' END AS problem FROM j""",
     "event_fields_clean": _clean_sql(),
     "reader_state_checks": """SELECT event_type, count(*) FILTER (event_id % 6 > 0 AND event_id % 4 > 1 AND event_id % 5 > 0) AS highlights, count(*) FILTER (event_id % 3 > 0 AND event_id % 4 <> 1 AND value IS NOT NULL) AS positions FROM events GROUP BY event_type""",
 }

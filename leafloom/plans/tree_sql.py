@@ -56,15 +56,15 @@ def _level(k: int) -> str:
     below = "l0" if k == 1 else f"l{k - 1}"
     going = f"SELECT doc_id FROM {below} GROUP BY doc_id HAVING count(*) > 1 OR {'min(total) > ' + str(chunking.TINY_WORDS) if k == 1 else 'min(words) > ' + str(tree.GIST_STOP)}"
     return f"""g{k} AS (SELECT x.*, least(pos // 3, greatest(0, CAST(ceil((count(*) OVER (PARTITION BY doc_id) - 6) / 3.0) AS BIGINT))) AS grp FROM {below} x WHERE doc_id IN ({going})),
-l{k} AS (SELECT doc_id, total, grp AS pos, least(400, CAST(greatest(1, round_even(sum(words) / 3.0, 0)) AS BIGINT)) AS words, min(span_start) AS span_start, max(span_end) AS span_end,
+l{k} AS (SELECT doc_id, total, grp AS pos, CAST(greatest(1, round_even(sum(words) / 3.0, 0)) AS BIGINT) AS target, least(400, CAST(greatest(1, round_even(sum(words) / 3.0, 0)) AS BIGINT)) AS words, min(span_start) AS span_start, max(span_end) AS span_end,
   flatten(list(told ORDER BY pos)) AS every, flatten(list(told ORDER BY pos))[1 : least(400, CAST(greatest(1, round_even(sum(words) / 3.0, 0)) AS BIGINT))] AS told FROM g{k} GROUP BY doc_id, total, grp)"""
 
 
-_ALL = "\n  UNION ALL ".join(f"SELECT doc_id, {k} AS level, pos, words, span_start, span_end, told, every, count(*) OVER (PARTITION BY doc_id) AS wide FROM l{k}" for k in range(LEVELS + 1))
+_ALL = "\n  UNION ALL ".join(f"SELECT doc_id, {k} AS level, pos, words, span_start, span_end, told, every, target, count(*) OVER (PARTITION BY doc_id) AS wide FROM l{k}" for k in range(LEVELS + 1))
 
-#: nodes(doc_id, level, pos, node_id, parent, depth, is_leaf, words, span_start, span_end, text, title, points array), without the levels that a lone node passes through.
+#: nodes(doc_id, level, pos, node_id, parent, depth, is_leaf, words, span_start, span_end, text, title, hook_words, target words, first six words told, points array), without the levels that a lone node passes through.
 NODES = f"""{LEAVES},
-l0 AS (SELECT doc_id, (SELECT n FROM docs d WHERE d.doc_id = v.doc_id) AS total, leaf_no AS pos, words, span_start, span_end, {words('text')} AS every, {words('text')} AS told FROM leaves v),
+l0 AS (SELECT doc_id, (SELECT n FROM docs d WHERE d.doc_id = v.doc_id) AS total, leaf_no AS pos, CAST(0 AS BIGINT) AS target, words, span_start, span_end, {words('text')} AS every, {words('text')} AS told FROM leaves v),
 {",".join(chr(10) + _level(k) for k in range(1, LEVELS + 1))},
 every_level AS ({_ALL}),
 tops AS (SELECT doc_id, max(level) AS top FROM every_level GROUP BY doc_id),
@@ -74,7 +74,7 @@ name_ AS (SELECT k.*, s.depth, s.next_, 'n' || lpad(CAST(k.level AS VARCHAR), 2,
   CASE WHEN s.next_ = k.top THEN 0 ELSE least(k.pos // 3, greatest(0, CAST(ceil((k.wide - 6) / 3.0) AS BIGINT))) END AS parent_pos FROM kept k JOIN steps s ON k.doc_id = s.doc_id AND k.level = s.level),
 nodes AS (SELECT n.doc_id, n.level, n.pos, n.node_id, CASE WHEN n.next_ IS NOT NULL THEN 'n' || lpad(CAST(n.next_ AS VARCHAR), 2, '0') || '-' || lpad(CAST(n.parent_pos AS VARCHAR), 6, '0') END AS parent, n.depth, n.level = 0 AS is_leaf,
   n.words, n.span_start, n.span_end, CASE WHEN n.level = 0 THEN v.text ELSE array_to_string(n.told, ' ') END AS text,
-  CASE WHEN n.level > 0 THEN array_to_string(n.every[1:5], ' ') END AS title, CASE WHEN n.level = 0 THEN [] ELSE [x FOR x IN [array_to_string(n.every[1:4], ' '), array_to_string(n.every[5:8], ' ')] IF x <> ''] END AS points
+  CASE WHEN n.level > 0 THEN array_to_string(n.every[1:5], ' ') END AS title, CASE WHEN n.level > 0 THEN least(15, len(n.every)) ELSE n.words END AS hook_words, n.target, n.every[1:6] AS six, CASE WHEN n.level = 0 THEN [] ELSE [x FOR x IN [array_to_string(n.every[1:4], ' '), array_to_string(n.every[5:8], ' ')] IF x <> ''] END AS points
   FROM name_ n LEFT JOIN leaves v ON n.level = 0 AND v.doc_id = n.doc_id AND v.leaf_no = n.pos)"""
 
 #: up(doc_id, node_id, ancestor, distance): every node's ancestors, itself at 0.

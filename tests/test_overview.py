@@ -66,7 +66,7 @@ def test_asking_again():
     with pytest.raises(O.ReplyError):
         model(["x", None])(["a b"], 3)
     root = tree.build_tree("word " * 400, O.asking(lambda p, s: json.dumps({"text": "all of it", "cites": "no list", "key_points": None})))
-    assert root.text == "all of it" and root.key_points == []
+    assert root.text == "all of it" and root.key_points == [] and json.loads(root.reply)["said"] == {"key_points": None}
 
 
 def test_prompts(spark):
