@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from leafloom.functions.ordered import places_below
+
 #: Blocks of a hot key at most, and rows that any task takes without being cut.
 PIECES, HOT_ROWS = 256, 1_000_000
 
@@ -71,9 +73,7 @@ def in_blocks(rows: DataFrame, by: list[str], at: Column, pieces: int = PIECES,
     held = beside(rows.withColumn("_at", at), hot, by).where("_hot")
     bounds = held.groupBy(*by).agg(F.percentile_approx("_at", shares, 20 * pieces).alias("_bounds"))
     kept = spark.createDataFrame(bounds.collect(), bounds.schema)
-    steps = F.array(*[F.lit(1 << k) for k in range(pieces.bit_length() - 1, -1, -1)])
-    # how many bounds lie below: halving steps over the sorted bounds
-    below = F.aggregate(steps, F.lit(0), lambda n, s: F.when(F.get("_bounds", n + s - 1) < F.col("_at"), n + s).otherwise(n))
+    below = places_below(F.col("_bounds"), F.col("_at"), pieces)
     out = beside(rows.withColumn("_at", at), kept, by).withColumn("_cut", F.col("_bounds").isNotNull())
     return Blocks(out.withColumn("_block", F.when(F.col("_cut"), below).otherwise(0)).drop("_bounds", "_at"), by, True)
 

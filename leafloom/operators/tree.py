@@ -286,18 +286,19 @@ def _jumped(links: DataFrame) -> DataFrame:
     return now
 
 
-def collapsed_stored(nodes: DataFrame) -> DataFrame:
+def collapsed_stored(nodes: DataFrame, absorb: bool = True) -> DataFrame:
     """Stored nodes (tree_id, node_id, parent, is_leaf, importance, title, short_title and more) without pass-through levels, as collapsed()
     leaves them: parent, depth, importance and titles are those of the new shape; other columns stay.
 
     An internal node that is its parent's only child is absorbed, together with the chain that it stands in, by the nearest node above that
     is not: pointers up the chain are doubled, never walked. Then an internal node left with one leaf becomes that leaf, which takes its
-    importance and, where it has none of its own, its titles. A root stays. Nodes whose parent is missing are roots of their own.
+    importance and, where it has none of its own, its titles. A root stays. Nodes whose parent is missing are roots of their own. Without
+    absorb the shape stays and only depths are told anew.
     """
     key = ["tree_id", "node_id"]
     born = nodes.select(*key, "parent", "is_leaf")
     kids = born.where("parent is not null").groupBy("tree_id", F.col("parent").alias("node_id")).agg(F.count("*").alias("_kids"))
-    lone = born.where("not is_leaf and parent is not null").join(kids.withColumnRenamed("node_id", "parent"), ["tree_id", "parent"]).where("_kids = 1")
+    lone = born.where("not is_leaf and parent is not null").join(kids.withColumnRenamed("node_id", "parent"), ["tree_id", "parent"]).where("_kids = 1").where(F.lit(absorb))
     top = _jumped(lone.select(*key, F.col("parent").alias("to"), F.lit(1).alias("n")))
     gone = top.select(*key)
     to_top = top.select("tree_id", F.col("node_id").alias("parent"), F.col("to").alias("_top"))
@@ -305,7 +306,7 @@ def collapsed_stored(nodes: DataFrame) -> DataFrame:
     kept = written(kept, "kept-nodes")
     # internal nodes other than roots with one leaf and nothing else
     under = kept.where("parent is not null").groupBy("tree_id", F.col("parent").alias("node_id")).agg(F.count("*").alias("_kids"), F.min("node_id").alias("_leaf"), F.bool_and("is_leaf").alias("_leafy"))
-    shed = kept.where("not is_leaf and parent is not null").join(under, key).where("_kids = 1 and _leafy").select("tree_id", "node_id", F.col("parent").alias("_up"), "_leaf")
+    shed = kept.where("not is_leaf and parent is not null").join(under, key).where("_kids = 1 and _leafy").where(F.lit(absorb)).select("tree_id", "node_id", F.col("parent").alias("_up"), "_leaf")
     said = nodes.select(*key, *[F.col(c).alias(f"_{c}") for c in ("importance", "title", "short_title")])
     heirs = shed.join(said, key).select("tree_id", F.col("_leaf").alias("node_id"), "_up", "_importance", "_title", "_short_title", F.lit(True).alias("_heir"))
     out = kept.join(shed.select(*key), key, "left_anti").join(heirs, key, "left")

@@ -12,7 +12,7 @@ from leafloom.sources.files import dealt, read_extracted
 from leafloom.sources.shared import written
 from leafloom.sources.sinks import report_lines
 
-from . import claim_queries, log_queries, mail_queries, overview_queries, tree_queries
+from . import claim_queries, log_queries, mail_queries, overview_queries, page_queries, tree_queries
 from .tree_sql import LEAVES
 from .tree_sql import words as tree_sql_words
 
@@ -311,10 +311,10 @@ def _over(f, name: str):
     return run
 
 
-for _name, _fs in (("documents", tree_queries.QUERIES), ("orders", claim_queries.OVER_ORDERS), ("customer", claim_queries.OVER_CUSTOMERS), ("events", log_queries.OVER_EVENTS), ("conversations", (mail_queries.mail_by_account,)), *overview_queries.OVER):
+for _name, _fs in (("documents", tree_queries.QUERIES), ("orders", claim_queries.OVER_ORDERS), ("customer", claim_queries.OVER_CUSTOMERS), ("events", log_queries.OVER_EVENTS), ("conversations", (mail_queries.mail_by_account,)), ("pages", (page_queries.link_checks,)), ("documents", (page_queries.corpus_search, page_queries.build_actions)), *overview_queries.OVER):
     for _f in _fs:
         query()(_over(_f, _name))
-_SQL |= {"mail_by_account": mail_queries.MAIL_SQL} | tree_queries.TREE_SQL | claim_queries._sql(_TOKENS) | log_queries.LOG_SQL | overview_queries.OVERVIEW_SQL
+_SQL |= {"mail_by_account": mail_queries.MAIL_SQL, "link_checks": page_queries.LINK_SQL, "corpus_search": page_queries.SEARCH_SQL, "build_actions": page_queries.BUILDS_SQL} | tree_queries.TREE_SQL | claim_queries._sql(_TOKENS) | log_queries.LOG_SQL | overview_queries.OVERVIEW_SQL
 
 
 # ---------------------------------------------------------------- events

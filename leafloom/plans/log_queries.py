@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from leafloom.operators import events as E
-from leafloom.operators import reader
+from leafloom.operators import medians, reader
 
 #: What the tables' event types stand for in a reader's log.
 KINDS = {"signup": "open", "purchase": "close", "click": "dial", "view": "jump_source", "error": "hover_source"}
@@ -47,6 +47,13 @@ def event_batches(events):
     return b.select("user_id", "day", E.batch_problem(batch, 4_000).alias("problem"))
 
 
+def event_medians(events):
+    """Exact medians of values by event type and by hour, in groups of any size."""
+    x = events.select("event_type", F.hour("ts").alias("hour"), "value")
+    kinds = medians.exact_medians(x, ["event_type"], "value").select("event_type", F.lit(None).cast("int").alias("hour"), "n", "median")
+    return kinds.unionByName(medians.exact_medians(x, ["hour"], "value").select(F.lit(None).cast("string").alias("event_type"), "hour", "n", "median"))
+
+
 def event_fields_clean(events):
     """All experiment fields of events that hold numbers, truth values and text of any kind, cleaned."""
     v, k = F.col("value"), F.col("event_id")
@@ -86,7 +93,8 @@ SELECT *, abs(k - lag(k) OVER w) >= 3 OR section IS DISTINCT FROM lag(section) O
 t AS (SELECT *, CASE user_id % 4 WHEN 0 THEN '[' || b || ']' WHEN 1 THEN '[1,' || b || ']' WHEN 2 THEN '{{"all": [' || b || ']}}' ELSE '[' || b END AS batch FROM b),
 j AS (SELECT *, TRY_CAST(batch AS JSON) AS v FROM t)
 SELECT user_id, day, CASE WHEN strlen(batch) > 4000 THEN 'too large' WHEN v IS NULL OR json_type(v) <> 'ARRAY' THEN 'no array' WHEN len([x FOR x IN json_extract(v, '$[*]') IF json_type(x) <> 'OBJECT']) > 0 THEN 'no array of objects' END AS problem FROM j""",
+    "event_medians": "SELECT event_type, NULL::INTEGER AS hour, count(value) AS n, median(value) AS median FROM events WHERE value IS NOT NULL GROUP BY event_type UNION ALL SELECT NULL, CAST(hour(ts) AS INTEGER), count(value), median(value) FROM events WHERE value IS NOT NULL GROUP BY 2",
     "event_fields_clean": _clean_sql(),
     "reader_state_checks": """SELECT event_type, count(*) FILTER (event_id % 6 > 0 AND event_id % 4 > 1 AND event_id % 5 > 0) AS highlights, count(*) FILTER (event_id % 3 > 0 AND event_id % 4 <> 1 AND value IS NOT NULL) AS positions FROM events GROUP BY event_type""",
 }
-OVER_EVENTS = (reading_session_figures, zoom_history_bursts, event_types_known, event_batches, event_fields_clean, reader_state_checks)
+OVER_EVENTS = (reading_session_figures, zoom_history_bursts, event_types_known, event_batches, event_medians, event_fields_clean, reader_state_checks)
