@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, prepare, table
+from .common import materialize, prepare, release, table
 from .components import connected_components
 from .simhash import local_components
 from .vectors import matrix, one_per_id, same_length, usable
@@ -32,8 +32,8 @@ from .vectors import matrix, one_per_id, same_length, usable
 THRESHOLD = 0.95
 WINDOW = 64
 BITS = 48
-#: More passes than these are never made; where they would be needed (any two vectors nearly as close as the threshold asks), the chance of a miss is larger than MISS.
-MOST_PASSES = 512
+#: Passes that are sorted at one time; where more are needed, they are made in turns, so that what lies on disk does not grow with their number.
+PASSES_AT_ONCE = 512
 MISS = 1e-5
 SEED = 17
 #: Rows on each side of a tile of compared vectors, and members of small components that one group takes on average.
@@ -58,13 +58,23 @@ def agreement(threshold: float, radius2: float) -> float:
 def passes_for(rows: int, agree: float, window: int = WINDOW, miss: float = MISS) -> int:
     """Two vectors meet in a window once they share log2(rows / window) leading bits."""
     meet = max(agree, 0.5) ** leading_bits(rows, window)
-    return min(MOST_PASSES, max(4, math.ceil(math.log(miss) / math.log(1 - meet))))
+    return max(4, math.ceil(math.log(miss) / math.log1p(-meet)))
 
 
 def plan_passes(rows: int, agree: float, window: int = WINDOW) -> tuple[int, int]:
-    """(passes, window) of the least work: a pass moves every row once and compares it with a window."""
-    some = [(passes_for(rows, agree, w), w) for w in (window << k for k in range(7))]
-    return min(some, key=lambda x: x[0] * (256 + x[1]))
+    """(passes, window) of the least work: a pass moves every row once and compares it with a window. Windows wider than 64 times `window`
+    are weighed where the others ask for more passes than are made at one time. MISS holds for whatever is chosen: nothing is capped."""
+    plans = lambda ks: [(passes_for(rows, agree, w), w) for w in (window << k for k in ks)]
+    work = lambda x: x[0] * (256 + x[1])
+    best = min(plans(range(7)), key=work)
+    if best[0] <= PASSES_AT_ONCE:
+        return best
+    return min([best, *plans(range(7, 11))], key=work)
+
+
+def turns(passes: int) -> list[range]:
+    """The passes, PASSES_AT_ONCE at a time."""
+    return [range(a, min(passes, a + PASSES_AT_ONCE)) for a in range(0, passes, PASSES_AT_ONCE)]
 
 
 def _unit_batches(batches):
@@ -77,13 +87,13 @@ def _unit_batches(batches):
             yield pa.record_batch([b.column(0).slice(at, to - at), flat], names=["vec_id", "v"])
 
 
-def _keys(x: np.ndarray, mean: np.ndarray, passes: int, seed: int) -> np.ndarray:
+def _keys(x: np.ndarray, mean: np.ndarray, passes: range, seed: int) -> np.ndarray:
     """(rows, passes) of BITS sign bits, the first projection on top."""
-    out = np.empty((len(x), passes), dtype=np.int64)
+    out = np.empty((len(x), len(passes)), dtype=np.int64)
     weights, x = np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64), x - mean
-    for p in range(passes):
+    for k, p in enumerate(passes):
         planes = np.random.default_rng((seed, p, x.shape[1])).standard_normal((x.shape[1], BITS))
-        out[:, p] = ((x @ planes) >= 0) @ weights
+        out[:, k] = ((x @ planes) >= 0) @ weights
     return out
 
 
@@ -103,15 +113,15 @@ def _decoded(codes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return raw[:, 8:].view(np.int8).astype(np.float32) * head[:, :1], head[:, 1].copy()
 
 
-def _ordered_batches(passes: int, seed: int, means: dict[int, np.ndarray]):
+def _ordered_batches(passes: range, seed: int, means: dict[int, np.ndarray]):
     def run(batches):
         for b in batches:
             for at, to in same_length(b.column(1)):
                 part = b.slice(at, to - at)
                 x = matrix(part.column(1))
                 keys, codes, n = _keys(x, means[x.shape[1]], passes, seed), pa.array(_codes(x), pa.binary()), len(x)
-                for p in range(passes):
-                    yield pa.record_batch([pa.array(np.full(n, x.shape[1], np.int32)), pa.array(np.full(n, p, np.int32)), pa.array(keys[:, p]), part.column(0), codes], names=["dim", "pass", "key", "vec_id", "q"])
+                for k, p in enumerate(passes):
+                    yield pa.record_batch([pa.array(np.full(n, x.shape[1], np.int32)), pa.array(np.full(n, p, np.int32)), pa.array(keys[:, k]), part.column(0), codes], names=["dim", "pass", "key", "vec_id", "q"])
 
     return run
 
@@ -168,7 +178,7 @@ def _window_batches(window: int, threshold: float):
             for at, to in zip(edge, edge[1:]):
                 codes = all_codes[at:to]
                 (x, error), ids = _decoded(codes), b.column(3).to_numpy()[at:to]
-                grp = dims[at:to].astype(np.int64) * 4096 + b.column(1).to_numpy()[at:to]
+                grp = dims[at:to].astype(np.int64) * (1 << 32) + b.column(1).to_numpy()[at:to]
                 if head_left > 0:
                     n = min(head_left, len(ids))
                     yield rows(ids[:n], ids[:n], part - 1, 1, np.arange(window - head_left, window - head_left + n), grp[:n], pa.array(codes[:n], pa.binary()))
@@ -231,11 +241,11 @@ def _exact(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
     return pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(dot >= threshold).select("a", "b")
 
 
-def projection_links(vectors: DataFrame, means: dict[int, np.ndarray], rows: int, passes: int, window: int, threshold: float = THRESHOLD, seed: int = SEED) -> DataFrame:
+def projection_links(vectors: DataFrame, means: dict[int, np.ndarray], rows: int, passes: range, window: int, threshold: float = THRESHOLD, seed: int = SEED) -> DataFrame:
     """vectors: (vec_id, v) of unit length. Verified links (a, b) that connect what the passes find."""
     spark, window = vectors.sparkSession, WIDER * window
     listed = vectors.mapInArrow(_ordered_batches(passes, seed, means), "dim int, pass int, key long, vec_id long, q binary")
-    parts = int(max(1, min(rows * passes // (16 * window) + 1, max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows * passes // 200_000))))
+    parts = int(max(1, min(rows * len(passes) // (16 * window) + 1, max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows * len(passes) // 200_000))))
     order = ["dim", "pass", "key", "vec_id"]
     met = materialize(listed.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_window_batches(window, threshold), _PAIR_SCHEMA), "proj-met")
     ends = materialize(met.where("edge > -2 and edge >= 0").groupBy("edge").applyInPandas(_ends(window, threshold), "a long, b long, edge int"), "proj-ends")
@@ -243,7 +253,7 @@ def projection_links(vectors: DataFrame, means: dict[int, np.ndarray], rows: int
     return found.where("edge = -2").select("a", "b").unionAll(_exact(found.where("edge = -3").select("a", "b"), vectors, threshold))
 
 
-def _run_batches(passes: int, seed: int, bits: int, means: dict[int, np.ndarray]):
+def _run_batches(passes: range, seed: int, bits: int, means: dict[int, np.ndarray]):
     def run(batches):
         for b in batches:
             for at, to in same_length(b.column(1)):
@@ -251,8 +261,8 @@ def _run_batches(passes: int, seed: int, bits: int, means: dict[int, np.ndarray]
                 x = matrix(part.column(1))
                 keys = _keys(x, means[x.shape[1]], passes, seed) >> (BITS - bits)
                 n = len(x)
-                for p in range(passes):
-                    yield pa.record_batch([pa.array(np.full(n, x.shape[1], np.int32)), pa.array(np.full(n, p, np.int32)), pa.array(keys[:, p]), part.column(0)], names=["dim", "pass", "run", "vec_id"])
+                for k, p in enumerate(passes):
+                    yield pa.record_batch([pa.array(np.full(n, x.shape[1], np.int32)), pa.array(np.full(n, p, np.int32)), pa.array(keys[:, k]), part.column(0)], names=["dim", "pass", "run", "vec_id"])
 
     return run
 
@@ -280,7 +290,7 @@ def _run_links(threshold: float):
     return run
 
 
-def long_run_links(vectors: DataFrame, found: DataFrame, means: dict[int, np.ndarray], rows: int, passes: int, window: int, threshold: float = THRESHOLD, seed: int = SEED) -> DataFrame:
+def long_run_links(vectors: DataFrame, found: DataFrame, means: dict[int, np.ndarray], rows: int, passes: range, window: int, threshold: float = THRESHOLD, seed: int = SEED) -> DataFrame:
     """Links (a, b) between components (found: node, component) inside runs of equal leading bits that are longer than the wide window."""
     bits = min(BITS, math.floor(leading_bits(rows, window)))
     keyed = materialize(vectors.mapInArrow(_run_batches(passes, seed, bits, means), "dim int, pass int, run long, vec_id long"), "proj-runs")
@@ -350,16 +360,23 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector: str =
     lengths with each other. Repeated rows of an id count as one vector and give one row. Rows with a null id come once,
     without links or component, not kept. An empty table gives an empty table.
     """
-    prepare(df.sparkSession)
+    spark = prepare(df.sparkSession)
     every = materialize(one_per_id(df.select(F.col(id_col), F.col(vector).alias("_v")), id_col, "_v"), "proj-vectors")
     unit = materialize(every.where(usable("v")).mapInArrow(_unit_batches, "vec_id long, v array<double>"), "proj-unit")
     means, rows, radius2 = means_of(unit)
     passes, window = plan_passes(rows, agreement(threshold, radius2), window)
-    links = materialize(projection_links(unit, means, rows, passes, window, threshold, seed), "proj-links")
-    found = connected_components(links)
-    more = materialize(long_run_links(unit, found, means, rows, passes, window, threshold, seed), "proj-more")
-    if not more.isEmpty():
-        found = connected_components(links.unionAll(more))
+    found, links = None, None
+    for turn in turns(passes):
+        met = projection_links(unit, means, rows, turn, window, threshold, seed)
+        links = materialize(met if links is None else links.unionAll(met), "proj-links")
+        found = connected_components(links)
+        more = materialize(long_run_links(unit, found, means, rows, turn, window, threshold, seed), "proj-more")
+        if not more.isEmpty():
+            links = links.unionAll(more)
+            found = connected_components(links)
+        if turn.stop < passes:  # of the links so far, those that tie the components are enough
+            links = materialize(found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")), "proj-turn")
+            release(spark)
     found = materialize(found.select(F.col("node").alias("vec_id"), "component"), "proj-components")
     counts = link_counts(found.join(unit, "vec_id").select("component", "vec_id", "v"), threshold)
     out = every.select("vec_id").join(found, "vec_id", "left").join(counts, "vec_id", "left")
