@@ -22,9 +22,21 @@ def status_of(r: Column) -> Column:
     return F.get(F.array(*map(F.lit, RANKS)), r)
 
 
+#: Objectives of a ledger: columns of its matrix, named by people.
+MOST_OBJECTIVES = 1_000
+
+
+def _by_objective(rows: DataFrame, objectives: DataFrame) -> DataFrame:
+    """rows once for each objective (column `objective`). There may be MOST_OBJECTIVES; more are refused, as every row is repeated."""
+    ids = [r[0] for r in objectives.select("id").distinct().limit(MOST_OBJECTIVES + 1).collect()]
+    if len(ids) > MOST_OBJECTIVES:
+        raise ValueError(f"more than {MOST_OBJECTIVES} objectives")
+    return rows.withColumn("objective", F.explode(F.array(*map(F.lit, sorted(ids))).cast("array<string>")))
+
+
 def holds(assumptions: DataFrame, objectives: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
     """(assumption, objective, status): `?` where an assumption says nothing. overrides: (assumption, objective, status) for what-if runs."""
-    x = assumptions.select(F.col("id").alias("assumption"), "holds").join(F.broadcast(objectives.select(F.col("id").alias("objective"))))  # objectives are a handful of fixed rows
+    x = _by_objective(assumptions.select(F.col("id").alias("assumption"), "holds"), objectives)
     x = x.select("assumption", "objective", F.coalesce(F.element_at("holds", F.col("objective")), F.lit("?")).alias("status"))
     if overrides is None:
         return x
@@ -38,7 +50,7 @@ def finding_status(findings: DataFrame, objectives: DataFrame, held: DataFrame)
     worst = rests.groupBy("finding", "objective").agg(
         F.max(rank(F.col("status"))).alias("r"), F.array_sort(F.collect_list(F.when(F.col("status") != "Y", F.struct("pos", F.concat("assumption", F.lit("="), "status").alias("b"))))).alias("b")
     )
-    every = findings.select(F.col("id").alias("finding")).join(F.broadcast(objectives.select(F.col("id").alias("objective"))))
+    every = _by_objective(findings.select(F.col("id").alias("finding")), objectives)
     return every.join(worst, ["finding", "objective"], "left").select("finding", "objective", status_of(F.coalesce("r", F.lit(0))).alias("status"), F.coalesce(F.transform("b", lambda x: x["b"]), F.array().cast("array<string>")).alias("blockers"))
 
 

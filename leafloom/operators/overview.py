@@ -97,26 +97,26 @@ def assembled(raw: DataFrame, trees: DataFrame, essentials: DataFrame, starts: D
 
 # ---------------------------------------------------------------- what a summariser is asked
 
-#: What a summary brings out for a reader's goal, and what one of that kind of document covers; the wording is ours.
+# The goals and kinds of documents, and the first line of each block. What follows says which of a node's fields matter there.
 GOAL_FOCUS = {
-    "execute": "Reader's goal: execute\nSomething must be done. Say first what must be produced, then requirements, limits, criteria, dates and steps.",
-    "learn": "Reader's goal: learn\nThe reader wants to understand. Bring out ideas, how they hang together, and the reasons that the source gives.",
-    "decide": "Reader's goal: decide\nA decision is due. Bring out the options, what speaks for and against each, and any recommendation.",
-    "reference": "Reader's goal: reference\nThings will be looked up. Bring out facts, definitions, names, values and where they stand.",
-    "plan": "Reader's goal: plan\nSomething is being planned. Bring out order, dependencies, dates, means and limits.",
-    "communicate": "Reader's goal: communicate\nAn answer is due. Bring out what is asked, by whom, by when, and what the reader must supply.",
+    "execute": "Reader's goal: execute\nFill `steps`; put what would make the work fail into the key points.",
+    "learn": "Reader's goal: learn\nLet key points explain each other; choose a key fact that surprises.",
+    "decide": "Reader's goal: decide\nGive every option a key point of its own with its price.",
+    "reference": "Reader's goal: reference\nPrefer titles that one would search for; keep values next to their names.",
+    "plan": "Reader's goal: plan\nOrder key points by time; say what waits for what.",
+    "communicate": "Reader's goal: communicate\nBegin with the question to be answered and its sender.",
 }
 GENRE_FOCUS = {
-    "assignment": "Document genre: assignment\nUnpack the task: limits and dates, the task itself, what to hand in, how it is judged, what is not allowed.",
-    "paper": "Document genre: paper\nKeep question, method, sample, main result with its number, and limits, in this order.",
-    "news": "Document genre: news\nEarlier paragraphs weigh more. Keep who said what; a claim stays a claim.",
-    "email": "Document genre: email\nFirst what is asked and by when; then what is settled and what is open. Leave out greetings.",
-    "meeting": "Document genre: meeting\nKeep decisions with their reasons, actions with owner and date, and open questions apart.",
-    "legal": "Document genre: legal\nKeep who is bound, duties, permissions, exceptions, negations and dates exactly as strong as they are.",
-    "technical": "Document genre: technical\nKeep the order of steps, and commands, names and values to the letter.",
-    "article": "Document genre: article\nBring out the main claim, its best support, and what to take away.",
+    "assignment": "Document genre: assignment\nThe key fact is a limit or a date; `steps` hold what is handed in.",
+    "paper": "Document genre: paper\nThe key fact is the result, with its uncertainty beside it.",
+    "news": "Document genre: news\nTie every statement to its source in the same key point.",
+    "email": "Document genre: email\nThe title is the request; skip what only greets.",
+    "meeting": "Document genre: meeting\nOne key point for each decision; people go into `steps` with what they took on.",
+    "legal": "Document genre: legal\nNever trade a `must` for a `should`; conditions stay in the sentence they limit.",
+    "technical": "Document genre: technical\nQuote names and commands unchanged; `steps` keep their order.",
+    "article": "Document genre: article\nThe title is the claim, the key fact its evidence.",
 }
-FOCUS_TAIL = "\nOnly the emphasis changes: whatever is said must stand in the source."
+FOCUS_TAIL = "\nNothing may be added that the parts do not say."
 
 
 def with_focus(system: Column, goal: Column, genre: Column) -> Column:

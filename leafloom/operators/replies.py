@@ -3,13 +3,16 @@ caps, and what it says of children and passages joined by their ids. Whatever do
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafloom.functions import text
+from leafloom.functions.units import head_words, strip
 from leafloom.sources.shared import written
+from leafloom.sources.sinks import missing_short_titles
 
 from . import claims, tree
 from .overview import asking
@@ -90,3 +93,33 @@ def asked_trees(docs: DataFrame, ask: Callable[[str, str], str | None], system:
     # the places of a node among its siblings and in its document
     among = Window.partitionBy("tree_id", "parent").orderBy("doc_pos")
     return out.withColumns({"child_pos": F.row_number().over(among) - 1, "doc_pos": F.row_number().over(Window.partitionBy("tree_id").orderBy("doc_pos")) - 1})
+
+
+LABEL_SYSTEM = "Name each part below for a small map, in three words or fewer and at most 24 characters. Answer with one JSON object from id to name and nothing else."
+
+
+def asked_labels(nodes: DataFrame, section_depth: DataFrame, ask: Callable[[str, str], str | None], limit: int = 400) -> DataFrame:
+    """nodes (tree_id, node_id, doc_pos, depth, title, hook, text, short_title) with short titles where they had none: one request for each tree, for
+    the first `limit` of its nodes from the section level down. section_depth (tree_id, depth).
+
+    Names that are too long, empty or no text are dropped, and so are ids that were not asked for; a reply without JSON names nothing.
+    """
+    key = ["tree_id", "node_id"]
+    asked = missing_short_titles(nodes, section_depth, limit).join(nodes.select(*key, "doc_pos", "title", "hook", "text"), key)
+    squeeze = lambda c: F.regexp_replace(strip(c), "\\s+", " ")
+    given = lambda a, b: F.when(F.coalesce(strip(F.col(a)), F.lit("")) != "", F.col(a)).otherwise(F.col(b))
+    line = F.concat(F.lit("["), "node_id", F.lit("] "), head_words(given("title", "text"), 12), F.lit(": "), F.substring(squeeze(given("hook", "text")), 1, 140))
+    prompts = asked.groupBy("tree_id").agg(F.array_sort(F.collect_list(F.struct("doc_pos", "node_id", line.alias("line")))).alias("l"))
+    prompts = prompts.select("tree_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("prompt"), F.transform("l", lambda x: x["node_id"]).alias("ids"))
+    kind = nodes.schema["tree_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"tree_id": b["tree_id"], "ids": b["ids"], "reply": [ask(p, LABEL_SYSTEM) for p in b["prompt"]]})
+
+    said = written(prompts.mapInPandas(run, f"tree_id {kind}, ids array<string>, reply string"), "labels")  # a model is asked once
+    body = F.try_parse_json(F.regexp_extract("reply", r"(?s)\{.*\}", 0))
+    named = _of_children(F.coalesce(F.try_variant_get(body, "$.titles", "variant"), body), F.col("ids"))
+    names = said.select("tree_id", F.explode(F.transform_values(named, lambda _, x: text.clean_short_title(_string(x)))).alias("node_id", "_name"))
+    own = F.when(F.coalesce(F.col("short_title"), F.lit("")) != "", F.col("short_title"))
+    return nodes.join(names.where("_name is not null"), key, "left").withColumn("short_title", F.coalesce(own, "_name")).drop("_name")

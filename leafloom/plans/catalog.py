@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leafloom.functions import classify, evidence, repair, text, units
 from leafloom.functions.chunking import leaves as chunk_leaves
 from leafloom.operators import claims, events, ledger, tree, zoom
-from leafloom.sources.files import dealt, read_extracted
+from leafloom.sources.files import dealt, read_extracted, recent_trees
 from leafloom.sources.shared import written
 from leafloom.sources.sinks import report_lines
 
@@ -413,9 +413,8 @@ def checkin_asof(spark, sf_dir):
 @query("SELECT event_id, user_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1 ORDER BY ts DESC, event_id DESC LIMIT 20")
 def recent_top20(spark, sf_dir):
     """The latest entry of each user, newest twenty."""
-    e = _t(spark, sf_dir, "events")
-    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    return e.withColumn("n", F.row_number().over(w)).where("n = 1").orderBy(F.desc("ts"), F.desc("event_id")).limit(20).select("event_id", "user_id", "ts")
+    e = _t(spark, sf_dir, "events").select(F.col("user_id").alias("tree_id"), F.struct("ts", "event_id").alias("saved_at"))
+    return recent_trees(e).select("saved_at.event_id", F.col("tree_id").alias("user_id"), "saved_at.ts")
 
 
 @query("SELECT quality, toxic, count(*) AS documents, avg(n_chars) AS chars_mean, median(n_chars) AS chars_median, min(n_chars) AS chars_min, max(n_chars) AS chars_max FROM labels JOIN documents USING (doc_id) GROUP BY quality, toxic")

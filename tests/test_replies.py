@@ -126,3 +126,21 @@ def test_claims_of_other_numbers_are_dropped(spark):
 def test_no_documents(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert replies.asked_trees(docs, lambda p, s: json.dumps(good(p))).where(F.lit(True)).count() == 0
+
+
+def test_labels_are_asked_for_once_a_tree(spark, tmp_path):
+    log = str(tmp_path / "asked")
+
+    def ask(prompt, system):
+        with open(log, "a") as f:
+            f.write("x")
+        ids = re.findall(r"^\[(\S+)\] ", prompt, re.M)
+        said = {"a": "Good name", "b": "far too many words here", "c": 7, "d": " ", "e": "Second", "zz": "Not asked"}
+        return "no json" if "g" in ids else "Sure: " + json.dumps({"titles": said} if "e" in ids else said)
+
+    rows = [(1, "r", 0, 0, None), (1, "a", 1, 1, None), (1, "b", 2, 1, ""), (1, "c", 3, 1, None), (1, "d", 4, 1, None), (1, "k", 5, 1, "Kept"), (2, "e", 0, 0, None), (3, "g", 0, 0, None)]
+    n = spark.createDataFrame([(t, i, k, d, "Some title", "a hook", "text  of it", s) for t, i, k, d, s in rows], "tree_id int, node_id string, doc_pos int, depth int, title string, hook string, text string, short_title string")
+    depth = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "tree_id int, depth int")
+    got = {r.node_id: r.short_title for r in replies.asked_labels(n, depth, ask).collect()}
+    assert got == {"r": None, "a": "Good name", "b": None, "c": None, "d": None, "k": "Kept", "e": "Second", "g": None}
+    assert len(open(log).read()) == 3

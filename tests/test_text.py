@@ -92,10 +92,18 @@ def test_email_noise(spark):
     assert col(spark, [MAIL, None], repair.without_email_noise) == [out, None]
 
 
-def test_running_lines():
+def test_running_lines(spark):
     pages = [f"Report\nbody {k}\nmore\nlast {k}\nPage {k} of 4" for k in range(1, 5)]
-    out = repair.running_lines_dropped(pages)
-    assert all("Page" not in p for p in out) and out[0].startswith("Report") and not out[1].startswith("Report")
+    few, alone, odd = pages[:2], ["a", "b", "c"], ["", "Head 1\nx", "head 2", "HEAD 3\ny\n\n z ", "long " * 40]
+    out, same, other, last = col(spark, [pages, few, alone, odd], repair.without_running_lines, "array<string>")
+    assert all("Page" not in p for p in out) and out[0].startswith("Report") and not out[1].startswith("Report") and out[1] == "more"
+    assert same == few and other == alone and last == ["", "x", "", "y\n z ", "long " * 40]
+
+
+def test_one_cells(spark):
+    docs = ["| all of it |\n| opens\ncloses |\n|  |\n||\n# Head ¶\n# x |\na | b", "| a | b |\n|---|---|\n| one |", None]
+    got = col(spark, docs, repair.one_cells_unwrapped)
+    assert got == ["all of it\nopens\ncloses\n\n||\n# Head\n# x |\na | b", docs[1], None]
 
 
 def test_chunks():
@@ -125,3 +133,12 @@ def test_udtf(spark):
     spark.udtf.register("chunk_text", chunking.ChunkText)
     spark.createDataFrame([("a " * 300,)], "text string").createOrReplaceTempView("one_doc")
     assert spark.sql("SELECT leaf_no, words FROM one_doc, LATERAL chunk_text(text) ORDER BY 1").collect() == [(0, 120), (1, 120), (2, 60)]
+
+
+def test_limits(spark):
+    from leafloom.sources import files
+
+    rows = [(1, "words", 3, 10), (2, " \n\t", 0, 10), (3, None, 0, 10), (4, "long", files.MAX_WORDS + 1, 10), (5, "large", 3, files.MAX_UPLOAD + 1), (6, "edge", files.MAX_WORDS, files.MAX_UPLOAD)]
+    d = spark.createDataFrame(rows, "k int, text string, n int, size long")
+    assert {r.k: r.problem for r in files.within_limits(d, "n", size="size").collect()} == {1: None, 2: "empty", 3: "empty", 4: "too many words", 5: "file too large", 6: None}
+    assert files.within_limits(d, "n").where("k = 5").first().problem is None
