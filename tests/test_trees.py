@@ -111,3 +111,24 @@ def test_claims(spark):
     assert [r.label for r in claims.essentials(items, leaves).orderBy("place").collect()] == ["Due", "Budget", "Length"]
     acts = claims.extract_actions(leaves).collect()
     assert [(a.who, a.what, a.due) for a in acts] == [("Ann", "write the summary", "3 May")]
+
+
+def test_anchor_counts_are_those_of_single_offsets(spark):
+    rng = random.Random(3)
+    page, asked = [], []
+    for t in range(40):
+        at = 0
+        for k in range(rng.randrange(9)):
+            at = max(0, at + rng.randrange(-4, 12))
+            page.append((t, f"n{k}", k, at, at + rng.randrange(20)))
+        asked += [(t, i, rng.randrange(-20, 120)) for i in range(60)] + [(t, 60, None)]
+    n = spark.createDataFrame(page, "tree_id long, node_id string, doc_pos int, span_start int, span_end int")
+    o = spark.createDataFrame(asked, "tree_id long, offset_id long, offset long")
+    want = zoom.anchors_at(n, o, 16).groupBy("tree_id", "anchor").agg(F.count("*").alias("n"), F.sum("offset").alias("s"))
+    got = zoom.anchor_counts(n, o.groupBy("tree_id").agg(F.sort_array(F.collect_list(F.coalesce("offset", F.lit(10**6)))).alias("l")), F.expr("transform(l, x -> nullif(x, 1000000))"))
+    assert sorted(map(str, got.collect())) == sorted(str(r).replace(", n=", ", offsets=").replace(", s=", ", offset_sum=") for r in want.collect())
+
+
+def test_frames_are_bounded():
+    sizes = [len(f) for f in tree.frames(((k, k) for k in range(7)), ["a", "b"], 3)]
+    assert sizes == [3, 3, 1] and list(tree.frames(iter(()), ["a"])) == []
