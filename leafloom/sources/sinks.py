@@ -29,8 +29,11 @@ def write_report(documents: DataFrame, path: str) -> None:
 
 
 def _figure(c: Column) -> Column:
-    """A figure of at least zero with one decimal, halves up, and none where it is 0; `-` for null."""
-    tenths = F.round(c.cast("double") * 10).cast("long")
+    """A figure of at least zero with one decimal, halves up, and none where it is 0; `-` for null.
+
+    A mean that lies on a half comes out a last bit above or below it, by the order in which its values met: it counts as the half.
+    """
+    tenths = F.round(F.round(c.cast("double") * 10, 6)).cast("long")
     return F.coalesce(F.concat(F.floor(tenths / 10).cast("string"), F.when(tenths % 10 > 0, F.concat(F.lit("."), tenths % 10)).otherwise("")), F.lit("-"))
 
 
