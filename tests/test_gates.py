@@ -1,7 +1,8 @@
 from pyspark.sql import functions as F
 
-from leafloom.functions import text, units
+from leafloom.functions import classify, text, units
 
+CUES = [p for cues in classify.CUES.values() for p in cues] + [p for goal in classify.GOALS.values() for p, _ in goal] + [p for _, p, _ in classify.BOOSTS.values()]
 TEXTS = ["\n# Head\nx", "  \n  \n plain line, long enough to be cut somewhere behind ninety characters, as titles of pasted text are, here", "", None, "a\nb\n" * 12, "Lines of middling length, as they are wrapped by hand\n" * 9]
 
 
@@ -24,3 +25,17 @@ def test_lines_are_split_and_told_once(spark):
     titled = df.select(text.title_from_text(F.col("t")).alias("x"))
     assert plan(titled).count("split(") == 0
     assert [r.x for r in titled.collect()] == ["Head", "plain line, long enough to be cut somewhere behind ninety characters, as titles of pasted…", "Untitled", "Untitled", "a", "Lines of middling length, as they are wrapped by hand"]
+
+
+def test_patterns_find_what_their_words_pass(spark):
+    """A text is passed over only where its pattern can't match; most patterns have words, and none is tried without them."""
+    from leafloom.functions.classify import _needed, _seen
+
+    assert _needed(r"\bbrief\b|\bworth \d+\s*%") == ["brief", "worth "] and _needed(r"^#{1,6}\s*(?:references|bibliography)\b") == ["#"] and _needed(r"\bp\s*[<=]") is None
+    assert sum(_needed(p) is not None for p in CUES) > 0.9 * len(CUES)
+    told = ["We report p < .05", "ASSIGNMENT brief, worth 20 % of the final mark", "# Methods\n## Results", "Options: a | b --flag", "hi all,\nre: thanks,", "Due: by Friday vs. Monday", "said on Monday (AP)", "minute taker, chaired", "pip install x", "explained"]
+    df = spark.createDataFrame([(t,) for t in told], "t string")
+    for flags in ("im", "i"):
+        t = F.col("t")
+        row = df.select(*[F.sum((_seen(t, F.lower(t), p, flags) != t.rlike(f"(?{flags}){p}")).cast("int")).alias(str(k)) for k, p in enumerate(CUES)]).first()
+        assert not any(row)
