@@ -236,7 +236,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         own = nodes.join(found.withColumnRenamed("node", "s"), "s", "left")
         return own.select(F.explode("files").alias("x"), "s", "n", F.coalesce("component", "s").alias("c"))
 
-    by_x = filed().repartition("x").sortWithinPartitions("x", F.xxhash64("x", "s")).select("x", "s", "n", "c")
+    # one order of the texts under every x: those that share many shingles meet the same others under each, not new ones
+    by_x = filed().repartition("x").sortWithinPartitions("x", F.xxhash64("s")).select("x", "s", "n", "c")
     met = materialize(by_x.mapInArrow(_window_pairs(window), _PAIRS).distinct(), "shingle-met")
     tried = met.where("pair").select("a", "b")
     found = materialize(grown(found, _verified(tried, nodes, texts)), "shingle-components")
