@@ -70,3 +70,15 @@ def test_grown_components(spark):
     more = spark.createDataFrame([(4, 2), (2, 4), (7, 6), (9, 7), (5, 5), (2, 1)], "a long, b long")
     got = {r.node: r.component for r in grown(connected_components(first), more).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 6: 6, 7: 6, 8: 6, 9: 6}
+
+
+def test_dense_group_meets_few_pairs(spark, monkeypatch):
+    """The windows' pairs follow the number of texts, not its square: each text meets much the same others under every shingle."""
+    rnd = random.Random(5)
+    base = [f"w{k}" for k in range(300)]
+    rows = list(enumerate(" ".join(changed(rnd, base, 4)) for _ in range(120)))
+    met, verified = [], J._verified
+    monkeypatch.setattr(J, "_verified", lambda pairs, *more: met.append(pairs.count()) or verified(pairs, *more))
+    groups = J.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert groups.select("component").distinct().count() == len(kept_by_brute(rows))
+    assert met[1] < 2 * J.WINDOW * len(rows)  # the second call has what the windows found
