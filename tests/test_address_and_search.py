@@ -64,3 +64,20 @@ def test_only_some_buckets_are_read(spark, nodes, tmp_path):
     search.write_index(search.entries(nodes), str(tmp_path))
     plan = search.find(search.read_index(spark, str(tmp_path)), "lathe")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [(bucket" in plan
+
+
+def test_queries_go_through_the_index_together(spark, nodes, tmp_path, monkeypatch):
+    """Before: find() read all postings and moved all texts once for each query."""
+    search.write_index(search.entries(nodes), str(tmp_path))
+    index = search.read_index(spark, str(tmp_path))
+    asked = ["the", "he o", "aa", "a", "on another th", "nothing here", "THE  on"]
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    want = sorted(((q, *r) for q in asked for r in rows(search.find(index, q))), key=str)
+    found = search.find_all(index, asked)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(found) == want and want and plan.count("Relation [entry#") == 1 == plan.count("Relation [tree_id#")
+    monkeypatch.setattr(search, "BITS", 3)  # several turns, and more words than there are bits for
+    monkeypatch.setattr(search, "BROADCAST_WORDS", 0)
+    long = "then on another then on"
+    assert rows(search.find_all(index, [*asked, long])) == sorted([*want, *((long, *r) for r in rows(search.find(index, long)))], key=str)
+    assert search.find_all(index, ["a"]).count() == 0 == search.find_all(index, []).count()
