@@ -98,6 +98,8 @@ class WordCachedTokenizer:
         tail = piece[len(base) :]
         if tail not in self.stops:
             self.stops[tail] = self._whole(tail)
+        if tail and not new:
+            return self.words[base] + self.stops[tail]  # the word alone is met more often, and remembered
         if not word.isascii():
             word = word.encode().decode("latin-1").translate(self.alphabet)
         if new:

@@ -106,3 +106,12 @@ def test_very_long_text_and_clashing_columns(spark, tok):
     df = spark.createDataFrame([(1, text, 5, b"x"), (2, "a", 6, b"y")], "doc_id long, text string, n_tokens int, payload binary")
     rows = sorted(T.read_token_index(T.write_token_shards(df)).collect(), key=lambda r: r.doc_id)
     check_index(rows, [text, "a"], tok)
+
+
+def test_a_word_before_stops_is_asked_once():
+    """Before: the model was asked anew for a known word with stops behind it."""
+    tok = T.WordCachedTokenizer(T.tokenizer_path())
+    asked, model = [], tok.model
+    tok.model = lambda word: asked.append(word) or model(word)
+    same(tok, ["so zyxel zyxel, zyxel. zyxel; été été!"])
+    assert len(asked) == len(set(asked)) and len(asked) <= 3
