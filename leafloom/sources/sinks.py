@@ -28,18 +28,20 @@ def write_report(documents: DataFrame, path: str) -> None:
     documents.select(*REPORT_COLUMNS).orderBy("phase", "doc_label").write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
 
 
-def _figure(c: Column) -> Column:
+def _figure(c: Column, mean: bool = True) -> Column:
     """A figure of at least zero with one decimal, halves up, and none where it is 0; `-` for null.
 
-    A mean that lies on a half comes out a last bit above or below it, by the order in which its values met: it counts as the half.
+    A mean that lies on a half comes out a last bit above or below it, by the order in which its values met: it counts as the half. A median
+    does not hang on an order and is rounded as it stands, so that one of 44.449999999999996 is 44.4.
     """
-    tenths = F.round(F.round(c.cast("double") * 10, 6)).cast("long")
+    tens = c.cast("double") * 10
+    tenths = F.round(F.round(tens, 6) if mean else tens).cast("long")
     return F.coalesce(F.concat(F.floor(tenths / 10).cast("string"), F.when(tenths % 10 > 0, F.concat(F.lit("."), tenths % 10)).otherwise("")), F.lit("-"))
 
 
 def report_lines(phases: DataFrame, by: list[str] = ()) -> DataFrame:
     """(by, phase, text): what a report says of each phase, a line for each figure that there is."""
-    f, n = lambda c: _figure(F.col(c)), F.col
+    f, n = lambda c: _figure(F.col(c), mean=c.endswith("_mean")), F.col
     yes_no = lambda c, told: F.when(n(f"{c}_yes") + n(f"{c}_no") > 0, F.concat(F.lit(f"    {told}: yes "), n(f"{c}_yes"), F.lit(", no "), n(f"{c}_no")))
     lines = [
         F.concat("phase", F.lit("  condition "), "condition", F.lit("  "), "documents", F.lit(" document(s), "), "sessions", F.lit(" session(s)")),
