@@ -144,3 +144,27 @@ def test_labels_are_asked_for_once_a_tree(spark, tmp_path):
     got = {r.node_id: r.short_title for r in replies.asked_labels(n, depth, ask).collect()}
     assert got == {"r": None, "a": "Good name", "b": None, "c": None, "d": None, "k": "Kept", "e": "Second", "g": None}
     assert len(open(log).read()) == 3
+
+
+def test_what_replies_say_is_not_joined(spark):
+    docs = spark.createDataFrame([(1, "Alpha beta gamma delta. " * 100)], "doc_id long, text string")
+    x = replies.told(tree.build_trees(docs, summarise=overview.asking(lambda p, s: json.dumps(good(p))), replies=True))
+    plan = x._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan and plan.count("MapInPandas") == 1
+    assert x.where("key_fact is not null").count() > 0
+
+
+def test_a_leaf_in_a_summarys_place_takes_what_was_said_of_it(spark):
+    def leaf(k):
+        return tree.Node(f"n00-{k:06d}", f"words of leaf {k}", 4, (k, k + 1))
+
+    def said(group, i, **more):
+        reply = {"title": f"own {i}", "importance": {c.id: 0.1 for c in group}} | more
+        return tree._summarised(group, i, lambda r, t: {"text": "told", "reply": reply})
+
+    lone, named = said([leaf(0)], "n01-000000"), said([leaf(1)], "n01-000001", child_titles={"n00-000001": "Named"})
+    root = tree.collapsed(said([lone, named, leaf(2)], "n02-000000", importance={"n01-000000": 0.9, "n00-000002": 0.7}, child_titles={"n01-000001": "Other"}))
+    rows = [(1, n.id, n.importance, tree.told_of(n), n.fact_cites, n.fact_source) for n in root.walk()]
+    nodes = spark.createDataFrame(rows, "tree_id int, node_id string, importance double, reply string, fact_cites array<string>, fact_source string")
+    got = {r.node_id: (r.importance, r.title) for r in replies.told(nodes).collect()}
+    assert got == {"n02-000000": (0.5, "own n02-000000"), "n00-000000": (0.9, "own n01-000000"), "n00-000001": (0.5, "Named"), "n00-000002": (0.7, None)}
