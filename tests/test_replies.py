@@ -166,5 +166,5 @@ def test_a_leaf_in_a_summarys_place_takes_what_was_said_of_it(spark):
     root = tree.collapsed(said([lone, named, leaf(2)], "n02-000000", importance={"n01-000000": 0.9, "n00-000002": 0.7}, child_titles={"n01-000001": "Other"}))
     rows = [(1, n.id, n.importance, tree.told_of(n), n.fact_cites, n.fact_source) for n in root.walk()]
     nodes = spark.createDataFrame(rows, "tree_id int, node_id string, importance double, reply string, fact_cites array<string>, fact_source string")
-    got = {r.node_id: (r.importance, r.title) for r in replies.told(nodes).collect()}
+    got = {r.node_id: (r.importance, r.title) for r in replies.told(nodes, ("node_id", "importance", "title")).collect()}
     assert got == {"n02-000000": (0.5, "own n02-000000"), "n00-000000": (0.9, "own n01-000000"), "n00-000001": (0.5, "Named"), "n00-000002": (0.7, None)}
